@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import ann, chat, hmm, mixing, packing, quality, toxicity, urls
+from . import ann, chat, hmm, mixing, neardup, packing, quality, suffix, toxicity, urls
+
+
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.components(read_table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +20,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_conversations(turns))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.measure(read_table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return toxicity.score_documents(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
@@ -48,7 +56,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_format, op4_toxicity, op5_mix_sources, op6_lm_score, op7_url_filter, op8_nearest_neighbours, op9_quality_rules, op10_packing)}
+    return {f.__name__: f for f in (op1_near_duplicates, op2_chat_format, op3_suffix_dedup, op4_toxicity, op5_mix_sources, op6_lm_score, op7_url_filter, op8_nearest_neighbours, op9_quality_rules, op10_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
