@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, packing, quality
+from tessera.llm import mixing, neardup, packing, quality, suffix
 from tessera.llm.common import cut
 from tessera.session import read_table
 
@@ -14,6 +14,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.filter_quality(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of every group linked by five-word shingles."""
+    return neardup.deduplicate(docs, width=5, percent=80)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the passages that start earlier elsewhere."""
+    return suffix.deduplicate(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by their calibrated probabilities."""
     return mixing.sample_mix(docs)
@@ -24,7 +34,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("mix_sources", mix_sources), ("pack_sequences", pack_sequences)]
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("mix_sources", mix_sources), ("pack_sequences", pack_sequences)]
 
 #: Tokenisation and sum-of-squares packing aren't SQL; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
