@@ -129,8 +129,8 @@ def filter_quality(docs: DataFrame, text: str = "text", rules: Sequence[Rule] =
     """The rows of docs that no rule rejects, with all their columns."""
     t = F.coalesce(F.col(text), F.lit(""))
     ordered = order_rules(docs, text, rules)
-    held = docs.withColumn("__words", words(t))
-    return held.where(verdict(ordered, t, F.col("__words")).isNull()).drop("__words")
+    # bound by let(), as a filter on a projected column would be pushed below it and split the text for every use
+    return docs.where(let(words(t), lambda ws: verdict(ordered, t, ws)).isNull())
 
 
 def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
