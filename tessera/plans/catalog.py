@@ -2,10 +2,566 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..embedding import HashingEmbedder, embed
+from ..functions import glob as globs
+from ..functions import language as lang
+from ..functions import pdf
+from ..functions import text as T
+from ..operators import chunking, fusion, keyword, knn, navigation, snapshot, stats
+from ..operators import commits as history
+from ..session import read_table
+from . import corpus
+from .corpus import COMMITS, FILES, SPANS
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+#: The keyword query and the limit that the searches below use.
+TEXT, LIMIT = "the blest thin", 10
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+# ---- SQL pieces ----
+Q0 = "q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0)"
+L2 = "list_sum(list_transform(range(1, len(e.v) + 1), lambda i: (e.v[i] - q.v[i]) * (e.v[i] - q.v[i])))"
+VECS = f"{Q0}, vecs AS (SELECT vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS v, 'p' || label AS project FROM embeddings), dist AS (SELECT chunk_id, project, {L2} AS distance FROM vecs e, q)"
+LINES = "l AS (SELECT *, CASE WHEN content = '' THEN [] WHEN string_split(content, chr(10))[-1] = '' THEN string_split(content, chr(10))[1:-2] ELSE string_split(content, chr(10)) END AS ls FROM files)"
+TOKENS = "list_filter(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+'), lambda t: length(t) < 40)"
+TERMS = "['the', 'blest', 'thin']"
+BM25 = f"""tok AS (SELECT doc_id, {TOKENS} AS t FROM files), st AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(t)) AS mean FROM tok),
+tf AS (SELECT doc_id, len(t) AS length, term, len(list_filter(t, lambda x: x = term)) AS tf FROM tok, (SELECT unnest({TERMS}) AS term)),
+df AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM tf WHERE tf > 0 GROUP BY term),
+bm AS (SELECT doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) AS keyword_score FROM tf JOIN df USING (term), st WHERE tf > 0 GROUP BY doc_id)"""
+HYBRID = f"""{FILES}, {VECS}, {BM25},
+v AS (SELECT chunk_id, 1 / (1 + distance) AS vector_score, row_number() OVER (ORDER BY 1 / (1 + distance) DESC, chunk_id) AS rank FROM (SELECT * FROM dist WHERE chunk_id IN (SELECT doc_id FROM files) ORDER BY distance, chunk_id LIMIT 30)),
+w AS (SELECT chunk_id, keyword_score, row_number() OVER (ORDER BY keyword_score DESC, chunk_id) AS rank FROM (SELECT doc_id AS chunk_id, keyword_score FROM bm ORDER BY keyword_score DESC, doc_id LIMIT 30)),
+f AS (SELECT chunk_id, sum(term) AS score, coalesce(max(vs), 0.0) AS vector_score, max(ks) AS keyword_score FROM
+  (SELECT chunk_id, 1 / (60.0 + rank) AS term, vector_score AS vs, NULL AS ks FROM v UNION ALL SELECT chunk_id, 1 / (60.0 + rank), NULL, keyword_score FROM w) GROUP BY chunk_id),
+fused AS (SELECT * FROM f ORDER BY score DESC, chunk_id LIMIT 10)""".replace("FROM files), st AS", "FROM files WHERE doc_id IN (SELECT vec_id FROM embeddings)), st AS")
+
+
+def _hybrid(spark: SparkSession, sf_dir: str, limit: int = LIMIT) -> DataFrame:
+    rows = corpus.chunks_with_vectors(spark, sf_dir)
+    near = knn.knn(rows, corpus.query_vector(spark, sf_dir), fusion.DEPTH * limit)
+    words = keyword.top(keyword.bm25(rows, TEXT), "keyword_score", fusion.DEPTH * limit)
+    return fusion.hybrid(near, words, limit)
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select("chunk_id", F.round("score", 9).alias("score"), F.round("vector_score", 6).alias("vector_score"), F.round("keyword_score", 6).alias("keyword_score"))
+
+
+# ---- search ----
+@query(f"WITH {HYBRID} SELECT chunk_id, round(score, 9) AS score, round(vector_score, 6) AS vector_score, round(keyword_score, 6) AS keyword_score FROM fused")
+def hybrid_rrf(spark, sf_dir):
+    return _shown(_hybrid(spark, sf_dir))
+
+
+@query(f"""WITH {HYBRID}, lvl AS (SELECT CASE WHEN b >= 0.9 THEN 0.9 WHEN b >= 0.6 THEN 0.6 WHEN b >= 0.5 THEN 0.5 WHEN b >= 0.4 THEN 0.4 WHEN b >= 0.3 THEN 0.3 ELSE 0.9 END AS t FROM (SELECT max(vector_score) AS b FROM fused WHERE vector_score < 0.9))
+SELECT chunk_id, round(vector_score, 6) AS vector_score, CAST(t AS DOUBLE) AS threshold_used, t < 0.9 AS threshold_lowered FROM fused, lvl WHERE vector_score < 0.9 AND vector_score >= t""")
+def adaptive_threshold(spark, sf_dir):
+    """Vector scores alone, without the query's own row, so that the threshold has to come down."""
+    near = _hybrid(spark, sf_dir).where("vector_score < 0.9").withColumn("keyword_score", F.lit(None).cast("double"))
+    return fusion.adaptive(near, 0.9).select("chunk_id", F.round("vector_score", 6).alias("vector_score"), "threshold_used", "threshold_lowered")
+
+
+@query(f"""WITH {HYBRID} SELECT chunk_id, round(score, 9) AS score FROM fused JOIN files ON chunk_id = doc_id WHERE (vector_score >= 0.5 OR coalesce(keyword_score, 0) >= 0.5)""")
+def hybrid_min_score(spark, sf_dir):
+    return fusion.passing(_hybrid(spark, sf_dir), 0.5).select("chunk_id", F.round("score", 9).alias("score"))
+
+
+@query(f"""WITH {FILES}, r AS (SELECT doc_id, row_number() OVER (ORDER BY n DESC, doc_id) AS a, row_number() OVER (ORDER BY m, doc_id) AS b, row_number() OVER (ORDER BY file_hash, doc_id) AS c FROM (SELECT doc_id, file_hash, length(content) AS n, doc_id * 7919 % 1009 AS m FROM files))
+SELECT doc_id AS chunk_id, round(s, 9) AS score FROM (SELECT doc_id, sum(1 / (60.0 + x)) AS s FROM (SELECT doc_id, a AS x FROM r WHERE a <= 50 UNION ALL SELECT doc_id, b FROM r WHERE b <= 50 UNION ALL SELECT doc_id, c FROM r WHERE c <= 50) GROUP BY doc_id) ORDER BY score DESC, chunk_id LIMIT 20""")
+def rrf_three_lists(spark, sf_dir):
+    f = corpus.files(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.char_length("content").alias("n"), (F.col("doc_id") * 7919 % 1009).alias("m"), "file_hash")
+    lists = [fusion.ranked(f.orderBy(o, "chunk_id").limit(50), c, ascending=up) for o, c, up in ((F.desc("n"), "n", False), (F.asc("m"), "m", True), (F.asc("file_hash"), "file_hash", True))]
+    return fusion.rrf(*lists).orderBy(F.desc("score"), "chunk_id").limit(20).select("chunk_id", F.round("score", 9).alias("score"))
+
+
+@query(f"WITH {VECS} SELECT chunk_id, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS vector_score FROM dist ORDER BY dist.distance, chunk_id LIMIT 10")
+def knn_l2(spark, sf_dir):
+    near = knn.knn(corpus.vectors(spark, sf_dir), corpus.query_vector(spark, sf_dir), LIMIT)
+    return near.select("chunk_id", F.round("distance", 6).alias("distance"), F.round("vector_score", 6).alias("vector_score"))
+
+
+@query(f"WITH {Q0} SELECT vec_id AS chunk_id, round(s, 6) AS vector_score FROM (SELECT vec_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT v FROM q)) AS s FROM embeddings) ORDER BY s DESC, vec_id LIMIT 10")
+def knn_cosine(spark, sf_dir):
+    near = knn.knn_cosine(corpus.vectors(spark, sf_dir), corpus.query_vector(spark, sf_dir), LIMIT)
+    return near.select("chunk_id", F.round("vector_score", 6).alias("vector_score"))
+
+
+@query(f"WITH {VECS} SELECT chunk_id, round(s, 6) AS vector_score FROM (SELECT chunk_id, 1 / (1 + distance) AS s FROM dist ORDER BY distance, chunk_id LIMIT 100) WHERE s >= 0.5")
+def knn_min_score(spark, sf_dir):
+    near = knn.knn(corpus.vectors(spark, sf_dir), corpus.query_vector(spark, sf_dir), 100).where("vector_score >= 0.5")
+    return near.select("chunk_id", F.round("vector_score", 6).alias("vector_score"))
+
+
+@query(f"WITH {VECS} SELECT chunk_id, project, round(1 / (1 + distance), 6) AS vector_score FROM dist WHERE project = 'p1' ORDER BY distance, chunk_id LIMIT 10")
+def knn_project_filter(spark, sf_dir):
+    near = knn.knn(corpus.vectors(spark, sf_dir), corpus.query_vector(spark, sf_dir), LIMIT, where=F.col("project") == "p1")
+    return near.select("chunk_id", "project", F.round("vector_score", 6).alias("vector_score"))
+
+
+@query(f"WITH {FILES}, {VECS} SELECT chunk_id, root_path, round(1 / (1 + distance), 6) AS vector_score FROM dist JOIN files ON chunk_id = doc_id WHERE root_path = 'src0' ORDER BY distance, chunk_id LIMIT 10")
+def knn_root_filter(spark, sf_dir):
+    near = knn.knn(corpus.chunks_with_vectors(spark, sf_dir), corpus.query_vector(spark, sf_dir), LIMIT, where=F.col("root_path") == "src0")
+    return near.select("chunk_id", "root_path", F.round("vector_score", 6).alias("vector_score"))
+
+
+@query(f"""WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 50 = 0), x AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, list_sum(list_transform(range(1, 65), lambda i: (CAST(embedding[i] AS DOUBLE) - qv[i]) * (CAST(embedding[i] AS DOUBLE) - qv[i]))) AS d FROM q, embeddings e)
+SELECT query_id, chunk_id, rank, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS rank FROM x) WHERE rank <= 5""")
+def knn_batch(spark, sf_dir):
+    rows = corpus.vectors(spark, sf_dir)
+    asked = rows.where(F.col("chunk_id") % 50 == 0).select(F.col("chunk_id").alias("query_id"), "vector")
+    return knn.knn_batch(rows, asked, 5).withColumn("distance", F.round("distance", 6))
+
+
+@query(f"WITH {FILES}, {BM25} SELECT doc_id, round(keyword_score, 6) AS keyword_score FROM bm ORDER BY bm.keyword_score DESC, doc_id LIMIT 20")
+def bm25_default(spark, sf_dir):
+    scored = keyword.bm25(corpus.files(spark, sf_dir), TEXT, "doc_id")
+    return keyword.top(scored, "keyword_score", 20, "doc_id").select("doc_id", F.round("keyword_score", 6).alias("keyword_score"))
+
+
+@query(f"WITH {FILES}, {BM25} SELECT doc_id, round(keyword_score, 6) AS keyword_score FROM bm")
+def bm25_postings(spark, sf_dir):
+    index = keyword.postings(corpus.files(spark, sf_dir), "doc_id")
+    return keyword.bm25_postings(index, TEXT, "doc_id").select("doc_id", F.round("keyword_score", 6).alias("keyword_score"))
+
+
+FLAT = """tok AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda t: t <> '') AS t FROM files), st AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM tok),
+tf AS (SELECT doc_id, len(t) AS length, term, len(list_filter(t, lambda x: x = term)) AS tf FROM tok, (SELECT unnest(['the', 'of', 'blest']) AS term)),
+df AS (SELECT term, greatest(CAST(count(*) FILTER (WHERE tf > 0) AS DOUBLE), 1.0) AS df FROM tf GROUP BY term),
+bf AS (SELECT doc_id, greatest(0.0, least(1.0, sum(CASE WHEN tf > 0 THEN ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / 100.0)) ELSE 0.0 END) / 3)) AS keyword_score FROM tf JOIN df USING (term), st GROUP BY doc_id)"""
+
+
+@query(f"WITH {FILES}, {FLAT} SELECT doc_id, round(keyword_score, 6) AS keyword_score FROM bf")
+def bm25_avgdl100_clamped(spark, sf_dir):
+    return keyword.bm25_flat(corpus.files(spark, sf_dir), "the of blest", "doc_id").select("doc_id", F.round("keyword_score", 6).alias("keyword_score"))
+
+
+@query(f"""WITH {FILES}, {Q0}, {FLAT}, v AS (SELECT vec_id AS doc_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT v FROM q)) AS s FROM embeddings WHERE vec_id IN (SELECT doc_id FROM files) ORDER BY s DESC, doc_id LIMIT 30)
+SELECT doc_id AS chunk_id, round(0.7 * s + 0.3 * coalesce(keyword_score, 0), 6) AS score FROM v LEFT JOIN bf USING (doc_id) ORDER BY 0.7 * s + 0.3 * coalesce(keyword_score, 0) DESC, doc_id LIMIT 10""")
+def weighted_hybrid(spark, sf_dir):
+    rows = corpus.chunks_with_vectors(spark, sf_dir)
+    words = keyword.bm25_flat(corpus.files(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id"), "the of blest")
+    near = knn.knn_cosine(rows, corpus.query_vector(spark, sf_dir), 30)
+    return fusion.weighted(near, words, LIMIT).select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {FILES}, {BM25} SELECT doc_id, file_path, language, round(keyword_score, 6) AS keyword_score FROM bm JOIN files USING (doc_id)
+WHERE (ends_with(file_path, '.md') OR ends_with(file_path, '.txt')) AND language IN ('Markdown', 'Text') AND regexp_matches(file_path, '^(.*/)?src[12]/.*$') ORDER BY bm.keyword_score DESC, doc_id LIMIT 10""")
+def filtered_ext_lang_glob(spark, sf_dir):
+    f = corpus.files(spark, sf_dir)
+    path = F.col("file_path")
+    wanted = (path.endswith(".md") | path.endswith(".txt")) & F.col("language").isin("Markdown", "Text") & globs.matches_any(path, ["src[12]/**"])
+    held = keyword.bm25(f, TEXT, "doc_id").join(f.where(wanted).select("doc_id", "file_path", "language"), "doc_id")
+    return keyword.top(held, "keyword_score", LIMIT, "doc_id").select("doc_id", "file_path", "language", F.round("keyword_score", 6).alias("keyword_score"))
+
+
+@query(f"""WITH {FILES}, {BM25} SELECT doc_id, root_path, root_rank, round(keyword_score, 6) AS keyword_score FROM (SELECT doc_id, root_path, keyword_score, row_number() OVER (PARTITION BY root_path ORDER BY keyword_score DESC, doc_id) AS root_rank FROM bm JOIN files USING (doc_id)) WHERE root_rank <= 3""")
+def union_roots_topk(spark, sf_dir):
+    f = corpus.files(spark, sf_dir)
+    held = keyword.bm25(f, TEXT, "doc_id").join(f.select("doc_id", "root_path"), "doc_id")
+    return keyword.top_per_root(held, "keyword_score", 3, "doc_id").select("doc_id", "root_path", "root_rank", F.round("keyword_score", 6).alias("keyword_score"))
+
+
+# ---- chunks ----
+def _fixed_sql(n: int) -> str:
+    return f"""WITH {FILES}, {LINES}, c AS (SELECT doc_id, i * {n} + 1 AS a, least((i + 1) * {n}, len(ls)) AS b, array_to_string(ls[i * {n} + 1 : (i + 1) * {n}], chr(10)) AS content FROM (SELECT *, unnest(range(0, CAST(ceil(len(ls) / {n}) AS BIGINT))) AS i FROM l))
+SELECT doc_id, CAST(a AS INTEGER) AS start_line, CAST(b AS INTEGER) AS end_line, sha256(content) AS content_hash FROM c WHERE regexp_matches(content, '\\S')"""
+
+
+def _sliding_sql(size: int, step: int) -> str:
+    return f"""WITH {FILES}, {LINES}, c AS (SELECT doc_id, i * {step} + 1 AS a, least(i * {step} + {size}, len(ls)) AS b, array_to_string(ls[i * {step} + 1 : i * {step} + {size}], chr(10)) AS content
+  FROM (SELECT *, unnest(range(0, CASE WHEN len(ls) = 0 THEN 0 ELSE 1 + CAST(greatest(ceil((len(ls) - {size}) / {step}), 0) AS BIGINT) END)) AS i FROM l))
+SELECT doc_id, CAST(a AS INTEGER) AS start_line, CAST(b AS INTEGER) AS end_line, sha256(content) AS content_hash FROM c WHERE regexp_matches(content, '\\S')"""
+
+
+def _hashed(chunks: DataFrame) -> DataFrame:
+    return chunks.select("doc_id", "start_line", "end_line", F.sha2("content", 256).alias("content_hash"))
+
+
+@query(_fixed_sql(5))
+def chunk_fixed(spark, sf_dir):
+    return _hashed(chunking.chunk_fixed(corpus.files(spark, sf_dir), 5))
+
+
+@query(_sliding_sql(6, 4))
+def chunk_sliding(spark, sf_dir):
+    return _hashed(chunking.chunk_sliding(corpus.files(spark, sf_dir), 6, 2))
+
+
+@query(_sliding_sql(3, 1))
+def chunk_sliding_overlap_ge_size(spark, sf_dir):
+    return _hashed(chunking.chunk_sliding(corpus.files(spark, sf_dir), 3, 5))
+
+
+@query(_fixed_sql(1))
+def chunk_blank_skip(spark, sf_dir):
+    return _hashed(chunking.chunk_fixed(corpus.files(spark, sf_dir), 1))
+
+
+@query(_fixed_sql(50))
+def chunk_hybrid_fallback(spark, sf_dir):
+    """Prose has no structural units, so every file falls back to fixed chunks of 50 lines."""
+    return _hashed(chunking.chunk_hybrid(corpus.files(spark, sf_dir)))
+
+
+@query(f"WITH {FILES}, {LINES} SELECT doc_id, CAST(len(ls) AS BIGINT) AS n_lines, sha256(array_to_string(ls, chr(10))) AS joined FROM l")
+def split_lines(spark, sf_dir):
+    rows = T.lines(F.col("content"))
+    return corpus.files(spark, sf_dir).select("doc_id", F.size(rows).cast("long").alias("n_lines"), F.sha2(F.array_join(rows, "\n"), 256).alias("joined"))
+
+
+# ---- derived columns ----
+@query(f"WITH {FILES} SELECT doc_id, file_hash FROM files")
+def hash_sha256(spark, sf_dir):
+    return corpus.files(spark, sf_dir).select("doc_id", T.content_hash(F.col("content")).alias("file_hash"))
+
+
+@query(f"WITH {FILES} SELECT DISTINCT root_path, substr(sha256(root_path), 1, 16) AS root_key FROM files")
+def root_key16(spark, sf_dir):
+    return corpus.files(spark, sf_dir).select("root_path", T.root_key(F.col("root_path")).alias("root_key")).distinct()
+
+
+LANG_CASE = "CASE lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lang.LANGUAGES.items()) + " END"
+
+
+@query(f"WITH {FILES}, p AS (SELECT doc_id, 'a/b' || doc_id || '.' || ['rs', 'PY', 'tsx', 'h', 'hh', 'xyz', 'toml', 'org'][1 + CAST(doc_id % 8 AS INTEGER)] AS file_path FROM files) SELECT doc_id, {LANG_CASE} AS language FROM p")
+def detect_language(spark, sf_dir):
+    exts = F.array(*(F.lit(x) for x in ("rs", "PY", "tsx", "h", "hh", "xyz", "toml", "org")))
+    path = F.concat(F.lit("a/b"), F.col("doc_id").cast("string"), F.lit("."), F.get(exts, (F.col("doc_id") % 8).cast("int")))
+    return corpus.files(spark, sf_dir).select("doc_id", lang.language_of(T.extension(path)).alias("language"))
+
+
+@query("WITH u AS (SELECT page_id, '/site/' || regexp_replace(coalesce(url, ''), '^[a-z]+://', '') AS path FROM pages) SELECT page_id, substr(path, 7) AS relative_path, nullif(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^.+\\.([^.]+)$', 1, 's'), '') AS extension FROM u")
+def paths(spark, sf_dir):
+    path = F.concat(F.lit("/site/"), F.regexp_replace(F.coalesce("url", F.lit("")), "^[a-z]+://", ""))
+    return read_table(spark, sf_dir, "pages").select("page_id", T.relative_path(path, F.lit("/site")).alias("relative_path"), T.extension(path).alias("extension"))
+
+
+@query("SELECT page_id, round(CASE WHEN html = '' THEN NULL ELSE len(regexp_extract_all(html, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')) / strlen(html) END, 9) AS ratio, coalesce(html <> '' AND len(regexp_extract_all(html, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')) / strlen(html) < 0.3, FALSE) AS is_text FROM pages")
+def text_ratio_filter(spark, sf_dir):
+    return read_table(spark, sf_dir, "pages").select("page_id", F.round(T.control_ratio(F.col("html")), 9).alias("ratio"), T.looks_like_text(F.col("html")).alias("is_text"))
+
+
+@query(f"WITH {FILES} SELECT doc_id, CAST(strlen(content) AS BIGINT) AS n_bytes FROM files WHERE strlen(content) <= 4000")
+def size_filter(spark, sf_dir):
+    size = F.octet_length("content").cast("long")
+    return corpus.files(spark, sf_dir).where(size <= 4000).select("doc_id", size.alias("n_bytes"))
+
+
+@query(f"WITH {FILES} SELECT doc_id, file_path FROM files WHERE (contains(file_path, 'src1') OR contains(file_path, '.md')) AND NOT contains(file_path, '7.')")
+def substring_include_exclude(spark, sf_dir):
+    f = corpus.files(spark, sf_dir)
+    return f.where(globs.included(F.col("file_path"), ["src1", ".md"], ["7."])).select("doc_id", "file_path")
+
+
+@query("SELECT page_id FROM pages WHERE regexp_matches(url, '(?s)^(.*/)?en/.+$') OR regexp_matches(url, '(?s)^(.*/)?[^/]*.*\\.com/.*$') OR contains(url, '[bad')")
+def glob_suffix_match(spark, sf_dir):
+    return read_table(spark, sf_dir, "pages").where(globs.matches_any(F.col("url"), ["en/**", "*.com/*", "[bad"])).select("page_id")
+
+
+@query(f"WITH {FILES}, t AS (SELECT doc_id, {TOKENS} AS t FROM files) SELECT doc_id, CAST(len(t) AS BIGINT) AS n, sha256(array_to_string(t, ' ')) AS joined FROM t")
+def tokens_alnum(spark, sf_dir):
+    t = corpus.files(spark, sf_dir).select("doc_id", T.tokens(F.col("content")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.sha2(F.array_join("t", " "), 256).alias("joined"))
+
+
+@query(f"WITH {FILES}, t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(content), '\\s+'), lambda x: x <> '') AS t FROM files) SELECT doc_id, CAST(len(t) AS BIGINT) AS n, sha256(array_to_string(t, ' ')) AS joined FROM t")
+def tokens_whitespace(spark, sf_dir):
+    t = corpus.files(spark, sf_dir).select("doc_id", T.space_tokens(F.col("content")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.sha2(F.array_join("t", " "), 256).alias("joined"))
+
+
+@query(f"WITH {FILES} SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({TOKENS}) AS term FROM files) GROUP BY term")
+def doc_frequency(spark, sf_dir):
+    return keyword.document_frequency(keyword.postings(corpus.files(spark, sf_dir), "doc_id"))
+
+
+@query(f"WITH {FILES}, t AS MATERIALIZED (SELECT doc_id, {TOKENS} AS t FROM files) SELECT doc_id, term, count(*) AS tf, max(length) AS length FROM (SELECT doc_id, CAST(len(t) AS BIGINT) AS length, unnest(t) AS term FROM t) GROUP BY doc_id, term")
+def term_frequency(spark, sf_dir):
+    return keyword.postings(corpus.files(spark, sf_dir), "doc_id").select("doc_id", "term", "tf", "length")
+
+
+# ---- snapshots ----
+SNAP = f"""{FILES}, old AS (SELECT root_path, file_path, file_hash FROM files WHERE doc_id % 7 <> 0), new AS (SELECT root_path, file_path, CASE WHEN doc_id % 5 = 0 THEN sha256(content || '!') ELSE file_hash END AS file_hash FROM files WHERE doc_id % 11 <> 0)"""
+
+
+def _snapshots(spark, sf_dir):
+    f = corpus.files(spark, sf_dir)
+    cols = ["root_path", "file_path", "file_hash"]
+    edited = F.when(F.col("doc_id") % 5 == 0, F.sha2(F.concat("content", F.lit("!")), 256)).otherwise(F.col("file_hash"))
+    return f.where("doc_id % 7 <> 0").select(*cols), f.where("doc_id % 11 <> 0").withColumn("file_hash", edited).select(*cols)
+
+
+@query(f"WITH {SNAP} SELECT coalesce(o.root_path, n.root_path) AS root_path, coalesce(o.file_path, n.file_path) AS file_path, CASE WHEN o.file_hash IS NULL THEN 'added' WHEN n.file_hash IS NULL THEN 'removed' WHEN o.file_hash <> n.file_hash THEN 'updated' ELSE 'unchanged' END AS status FROM old o FULL JOIN new n ON o.root_path = n.root_path AND o.file_path = n.file_path")
+def snapshot_diff(spark, sf_dir):
+    return snapshot.diff(*_snapshots(spark, sf_dir))
+
+
+@query(f"WITH {SNAP} SELECT count(*) FILTER (WHERE o.file_hash IS NULL) AS files_added, count(*) FILTER (WHERE o.file_hash <> n.file_hash) AS files_updated, count(*) FILTER (WHERE n.file_hash IS NULL) AS files_removed, count(*) FILTER (WHERE o.file_hash = n.file_hash) AS files_unchanged FROM old o FULL JOIN new n ON o.root_path = n.root_path AND o.file_path = n.file_path")
+def index_run_counters(spark, sf_dir):
+    return snapshot.counters(snapshot.diff(*_snapshots(spark, sf_dir)))
+
+
+@query(f"WITH {SNAP} SELECT root_path, file_path FROM old ANTI JOIN new USING (root_path, file_path)")
+def removed_files_anti(spark, sf_dir):
+    return snapshot.removed(*_snapshots(spark, sf_dir))
+
+
+@query(f"WITH {COMMITS} SELECT hash FROM commits WHERE conv_id % 3 <> 1")
+def skip_commits_anti(spark, sf_dir):
+    c = corpus.commits(spark, sf_dir)
+    return history.unseen(c, c.where("conv_id % 3 = 1").select(F.col("hash").alias("commit_hash"))).select("hash")
+
+
+@query(f"WITH {FILES} SELECT root_path, file_path FROM files WHERE doc_id % 9 <> 4")
+def delete_by_file(spark, sf_dir):
+    f = corpus.files(spark, sf_dir)
+    return snapshot.without_files(f, f.where("doc_id % 9 = 4")).select("root_path", "file_path")
+
+
+STATES = "s AS (SELECT root_path, max(doc_id) * 40 AS age, count(*) AS cached, count(*) FILTER (WHERE doc_id % 3 > 0 AND root_path <> 'src2') AS indexed FROM files GROUP BY root_path)"
+
+
+@query(f"WITH {FILES}, {STATES} SELECT root_path, CASE WHEN age >= 37000 THEN 'stale_flag' WHEN cached > 0 AND indexed = 0 THEN 'truly_corrupted' WHEN cached = 0 AND indexed = 0 THEN 'stale_flag' WHEN indexed > 0 AND indexed >= cached * 8 // 10 THEN 'index_appears_complete' ELSE 'truly_corrupted' END AS verdict FROM s")
+def dirty_validation(spark, sf_dir):
+    s = corpus.files(spark, sf_dir).groupBy("root_path").agg((F.max("doc_id") * 40).alias("age"), F.count("*").alias("cached"), F.count_if((F.col("doc_id") % 3 > 0) & (F.col("root_path") != "src2")).alias("indexed"))
+    c = F.col
+    return s.select("root_path", snapshot.dirty_verdict(c("age"), c("cached"), c("indexed"), c("indexed"), 37_000).alias("verdict"))
+
+
+@query("SELECT event_id FROM events WHERE greatest(1704070800 - CAST(floor(epoch(ts)) AS BIGINT), 0) >= 1800")
+def stale_dirty(spark, sf_dir):
+    stamp = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return read_table(spark, sf_dir, "events").where(snapshot.is_stale(stamp, F.lit(1_704_070_800), 1800)).select("event_id")
+
+
+# ---- statistics ----
+@query(f"WITH {FILES} SELECT language, count(*) AS chunks, count(DISTINCT file_path) AS files FROM files GROUP BY language")
+def stats_language(spark, sf_dir):
+    return stats.by_language(corpus.files(spark, sf_dir))
+
+
+@query(f"WITH {FILES} SELECT count(*) AS total_chunks, count(DISTINCT root_path || ' ' || file_path) AS total_files, count(DISTINCT root_path) AS total_roots FROM files")
+def stats_totals(spark, sf_dir):
+    return stats.totals(corpus.files(spark, sf_dir))
+
+
+@query(f"WITH {FILES} SELECT root_path, count(*) AS chunks FROM files GROUP BY root_path")
+def count_by_root(spark, sf_dir):
+    return stats.by_root(corpus.files(spark, sf_dir))
+
+
+@query(f"WITH {FILES} SELECT DISTINCT file_path FROM files WHERE root_path = 'src1'")
+def indexed_files(spark, sf_dir):
+    return stats.files_of(corpus.files(spark, sf_dir), "src1")
+
+
+@query(f"WITH {FILES} SELECT root_path, language, count(*) AS chunks FROM files GROUP BY ROLLUP (root_path, language)")
+def stats_rollup(spark, sf_dir):
+    return stats.rollup(corpus.files(spark, sf_dir))
+
+
+# ---- commits ----
+DOC = """doc AS (SELECT *, 'Commit Message:' || chr(10) || message || chr(10) || chr(10) || 'Author: ' || author_name || CASE WHEN author_email = '' THEN '' ELSE ' <' || author_email || '>' END || chr(10) || chr(10)
+  || CASE WHEN len(files_changed) > 0 THEN 'Files Changed:' || chr(10) || array_to_string(list_transform(files_changed, lambda f: '- ' || f || chr(10)), '') || chr(10) ELSE '' END
+  || CASE WHEN diff_content <> '' THEN 'Diff:' || chr(10) || diff_content ELSE '' END AS content FROM commits)"""
+
+
+@query(f"WITH {COMMITS}, {DOC} SELECT hash, sha256(content) AS content_hash, 'git:///repo' AS file_path, 'git-commit' AS language, commit_date AS indexed_at FROM doc")
+def commit_document(spark, sf_dir):
+    c = history.commit_chunks(corpus.commits(spark, sf_dir), "/repo", most=1 << 30)
+    return c.select(F.col("chunk_id").alias("hash"), F.sha2("content", 256).alias("content_hash"), "file_path", "language", "indexed_at")
+
+
+@query(f"WITH {COMMITS} SELECT hash, author_name, author_email FROM commits")
+def author_parse(spark, sf_dir):
+    c = corpus.commits(spark, sf_dir)
+    name, email = history.parse_author(F.concat(F.lit("Author: "), history.author(F.col("author_name"), F.col("author_email"))))
+    return c.select("hash", name.alias("author_name"), email.alias("author_email"))
+
+
+@query(f"WITH {COMMITS} SELECT hash, sha256(message) AS message_hash, author_name, author_email, array_to_string(files_changed, ',') AS files FROM commits")
+def commit_reparse(spark, sf_dir):
+    c = corpus.commits(spark, sf_dir).select("hash", history.commit_text(1 << 30).alias("content")).select("hash", history.reparse(F.col("content")).alias("r"))
+    return c.select("hash", F.sha2("r.message", 256).alias("message_hash"), "r.author_name", "r.author_email", F.array_join("r.files_changed", ",").alias("files"))
+
+
+@query(f"WITH {COMMITS} SELECT hash, commit_date FROM commits WHERE commit_date BETWEEN 1704067200 AND 1713000000")
+def date_filter(spark, sf_dir):
+    return history.dated(corpus.commits(spark, sf_dir), 1_704_067_200, 1_713_000_000).select("hash", "commit_date")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE CAST(epoch(o_orderdate) AS BIGINT) END AS seconds FROM orders")
+def date_parse(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders")
+    stamp = F.col("o_orderdate").cast("timestamp")
+    text = F.when(F.col("o_orderkey") % 3 == 0, F.unix_seconds(stamp).cast("string")).when(F.col("o_orderkey") % 3 == 1, F.date_format(stamp, "yyyy-MM-dd")).otherwise(F.lit("invalid"))
+    return o.select("o_orderkey", history.parse_date(text).alias("seconds"))
+
+
+@query(f"WITH {COMMITS} SELECT hash FROM commits WHERE regexp_matches(author_name, '[35]$|u1.*@') OR regexp_matches(author_email, '[35]$|u1.*@')")
+def author_regex(spark, sf_dir):
+    return history.matching(corpus.commits(spark, sf_dir), author_pattern="[35]$|u1.*@").select("hash")
+
+
+@query(f"WITH {COMMITS} SELECT hash FROM commits WHERE len(list_filter(files_changed, lambda f: regexp_matches(f, 'assistant/[35]'))) > 0")
+def file_pattern_exists(spark, sf_dir):
+    return history.matching(corpus.commits(spark, sf_dir), file_pattern="assistant/[35]").select("hash")
+
+
+@query(f"WITH {COMMITS} SELECT hash, commit_date FROM commits ORDER BY commit_date DESC, hash LIMIT 25")
+def newest_commits(spark, sf_dir):
+    return history.newest(corpus.commits(spark, sf_dir), 25).select("hash", "commit_date")
+
+
+# ---- navigation ----
+IDENT = f"""{FILES}, {LINES}, li AS (SELECT file_path, unnest(range(1, len(ls) + 1)) AS line_no, unnest(ls) AS line FROM l),
+word AS (SELECT file_path, line_no, line, unnest(regexp_extract_all(line, '[\\p{{L}}\\p{{N}}_]+')) AS name FROM li), ident AS (SELECT * FROM word WHERE regexp_full_match(name, '[a-zA-Z_][a-zA-Z0-9_]*'))"""
+
+
+@query(f"WITH {IDENT} SELECT name, count(*) AS uses, count(DISTINCT file_path) AS files FROM ident GROUP BY name")
+def identifiers(spark, sf_dir):
+    return navigation.occurrences(corpus.files(spark, sf_dir)).groupBy("name").agg(F.count("*").alias("uses"), F.count_distinct("file_path").alias("files"))
+
+
+REFKIND = """CASE WHEN contains(lower(line), 'import ') OR contains(lower(line), 'from ') OR contains(lower(line), 'require(') OR contains(lower(line), 'use ') THEN 'import' WHEN contains(before, 'new ') THEN 'instantiation'
+  WHEN contains(before, 'extends') OR contains(before, 'implements') THEN 'inheritance' WHEN starts_with(ltrim(after), '(') THEN 'call' WHEN starts_with(ltrim(after), '=') AND NOT starts_with(ltrim(after), '==') AND NOT starts_with(ltrim(after), '=>') THEN 'write'
+  WHEN contains(before, ':') OR contains(before, '->') OR contains(before, '<') THEN 'type_reference' ELSE 'read' END"""
+
+
+@query(f"WITH x AS (SELECT page_id, html AS line, substr(html, 1, strpos(html, 'class') - 1) AS before, substr(html, strpos(html, 'class') + 5) AS after FROM pages WHERE contains(html, 'class')) SELECT page_id, {REFKIND} AS kind FROM x")
+def reference_kind(spark, sf_dir):
+    p = read_table(spark, sf_dir, "pages").where(F.col("html").contains("class"))
+    line, at = F.col("html"), F.instr("html", F.lit("class"))
+    return p.select("page_id", lang.reference_kind(line, F.substr(line, F.lit(1), at - 1), F.substr(line, at + 5)).alias("kind"))
+
+
+DEFS = "d AS (SELECT DISTINCT file_path, name, 1 + (length(name) % 3) AS a, 3 + (length(name) % 3) AS b FROM ident WHERE length(name) >= 9 AND line_no <= 2)"
+
+
+def _word_definitions(spark, sf_dir):
+    """The long words of the first two lines of a file, as if defined over lines 1 to 5."""
+    found = navigation.occurrences(corpus.files(spark, sf_dir)).where((F.char_length("name") >= 9) & (F.col("line_no") <= 2)).select("file_path", "name").distinct()
+    shift = F.char_length("name") % 3
+    return found.select("file_path", "name", (1 + shift).alias("start_line"), (3 + shift).alias("end_line"), F.lit(0).alias("pre"), F.concat_ws(":", F.lit("def"), "file_path", "name").alias("def_id"))
+
+
+@query(f"""WITH {IDENT}, {DEFS}, f AS (SELECT name, first('def:' || file_path || ':' || name ORDER BY file_path) AS target_id FROM d GROUP BY name)
+SELECT i.file_path, line_no, name, target_id, count(*) AS uses FROM ident i JOIN f USING (name) WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.file_path = i.file_path AND d.name = i.name AND i.line_no BETWEEN a AND b) GROUP BY ALL""")
+def references_join(spark, sf_dir):
+    refs = navigation.references(corpus.files(spark, sf_dir), _word_definitions(spark, sf_dir))
+    return refs.groupBy("file_path", F.col("line_no").cast("long").alias("line_no"), "name", "target_id").agg(F.count("*").alias("uses"))
+
+
+@query(f"WITH {IDENT}, {DEFS} SELECT DISTINCT i.file_path, i.line_no, i.name FROM ident i WHERE EXISTS (SELECT 1 FROM d WHERE d.file_path = i.file_path AND d.name = i.name AND i.line_no BETWEEN a AND b)")
+def definition_sites(spark, sf_dir):
+    d = _word_definitions(spark, sf_dir).groupBy("file_path", "name").agg(F.collect_list(F.struct("start_line", "end_line")).alias("spans"))
+    line = F.col("line_no")
+    inside = navigation.occurrences(corpus.files(spark, sf_dir)).join(d, ["file_path", "name"]).where(F.exists("spans", lambda s: line.between(s["start_line"], s["end_line"])))
+    return inside.select("file_path", F.col("line_no").cast("long").alias("line_no"), "name").distinct()
+
+
+@query(f"WITH {SPANS} SELECT def_id, name, start_line, end_line FROM defs WHERE file_path = '42' AND 21 BETWEEN start_line AND end_line ORDER BY pre LIMIT 1")
+def definition_at_position(spark, sf_dir):
+    return navigation.definition_at(corpus.spans(spark, sf_dir), "42", 21).select("def_id", "name", "start_line", "end_line")
+
+
+@query(f"""WITH {SPANS}, calls AS (SELECT CAST(l_orderkey AS VARCHAR) AS file_path, CAST(l_linenumber * 11 AS INTEGER) AS line_no, 'f' || l_partkey AS callee FROM lineitem)
+SELECT c.file_path, c.line_no, callee, first(def_id ORDER BY pre) AS caller FROM (SELECT DISTINCT * FROM calls) c JOIN defs ON defs.file_path = c.file_path AND c.line_no BETWEEN start_line AND end_line GROUP BY 1, 2, 3""")
+def callers_range_join(spark, sf_dir):
+    calls = read_table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("file_path"), (F.col("l_linenumber") * 11).cast("int").alias("line_no"), F.concat(F.lit("f"), F.col("l_partkey").cast("string")).alias("target_id"), F.lit("call").alias("reference_kind")).distinct()
+    return navigation.call_edges(calls, corpus.spans(spark, sf_dir)).select("file_path", "line_no", "callee", "caller")
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS src, 'o' || o_orderkey AS dst FROM orders UNION SELECT DISTINCT 'o' || l_orderkey, 's' || l_suppkey FROM lineitem UNION SELECT DISTINCT 's' || s_suppkey, 'n' || s_nationkey FROM supplier),
+r AS (SELECT 'c1' AS node, 0 AS depth UNION SELECT dst, depth + 1 FROM r JOIN e ON node = src WHERE depth < 3), m AS (SELECT node, min(depth) AS depth FROM r GROUP BY node)
+SELECT node, CAST(depth AS INTEGER) AS depth, (SELECT min(src) FROM e JOIN m p ON p.node = e.src WHERE e.dst = m.node AND p.depth = m.depth - 1) AS parent FROM m""")
+def call_graph_bfs(spark, sf_dir):
+    tag = lambda t, c: F.concat(F.lit(t), F.col(c).cast("string"))
+    edge = lambda name, a, b: read_table(spark, sf_dir, name).select(a.alias("src"), b.alias("dst"))
+    edges = edge("orders", tag("c", "o_custkey"), tag("o", "o_orderkey")).unionByName(edge("lineitem", tag("o", "l_orderkey"), tag("s", "l_suppkey"))).unionByName(edge("supplier", tag("s", "s_suppkey"), tag("n", "s_nationkey")))
+    start = spark.range(1).select(F.lit("c1").alias("node"))
+    return navigation.reach(edges, start, 3)
+
+
+@query(f"WITH {FILES} SELECT doc_id, file_path || ':fn_' || doc_id || ':' || (doc_id % 50) || ':' || (doc_id % 9) AS symbol_id, 'def:' || file_path || ':fn_' || doc_id || ':' || (doc_id % 50) AS definition_id, 'ref:' || file_path || ':' || (doc_id % 50) || ':' || (doc_id % 9) AS reference_id, file_path AS parsed_path, CAST(doc_id % 50 AS INTEGER) AS parsed_line FROM files")
+def storage_id_roundtrip(spark, sf_dir):
+    path, name, line, col = F.col("file_path"), F.concat(F.lit("fn_"), F.col("doc_id").cast("string")), F.col("doc_id") % 50, F.col("doc_id") % 9
+    made = corpus.files(spark, sf_dir).select("doc_id", navigation.symbol_id(path, name, line, col).alias("symbol_id"), navigation.definition_id(path, name, line).alias("definition_id"), navigation.reference_id(path, line, col).alias("reference_id"))
+    parsed = navigation.parse_symbol_id(F.col("symbol_id"))
+    return made.select("*", parsed["file_path"].alias("parsed_path"), parsed["line"].alias("parsed_line"))
+
+
+@query(f"WITH {FILES}, n AS (SELECT doc_id, ['pub fn a()', 'protected int x', 'internal class y', 'fn z()', 'export const q', 'public void f()'][1 + CAST(doc_id % 6 AS INTEGER)] AS t FROM files) SELECT doc_id, CASE WHEN regexp_matches(t, 'pub |public |export ') THEN 'public' WHEN contains(t, 'protected ') THEN 'protected' WHEN regexp_matches(t, 'internal |package ') THEN 'internal' ELSE 'private' END AS visibility FROM n")
+def visibility(spark, sf_dir):
+    texts = F.array(*(F.lit(x) for x in ("pub fn a()", "protected int x", "internal class y", "fn z()", "export const q", "public void f()")))
+    return corpus.files(spark, sf_dir).select("doc_id", lang.visibility(F.get(texts, (F.col("doc_id") % 6).cast("int"))).alias("visibility"))
+
+
+@query(f"WITH {FILES}, {LINES}, s AS (SELECT doc_id, trim(coalesce(ls[1], '')) AS s FROM l) SELECT doc_id, CASE WHEN strlen(s) <= 200 THEN s ELSE list_last(list_filter(list_transform(range(190, 201), lambda i: s[1:i]), lambda p: strlen(p) <= 200)) || '...' END AS signature FROM s WHERE regexp_full_match(s, '[ -~]*')")
+def signature_truncate(spark, sf_dir):
+    return corpus.files(spark, sf_dir).select("doc_id", T.signature(F.col("content")).alias("signature")).join(corpus.files(spark, sf_dir).where(F.trim(T.first_line(F.col("content"))).rlike("^[ -~]*$")).select("doc_id"), "doc_id")
+
+
+@query(f"WITH {FILES}, {LINES}, x AS (SELECT file_path, unnest(range(1, len(ls) + 1)) AS line_no, trim(unnest(ls)) AS line FROM l) SELECT file_path, line_no FROM x WHERE len(list_filter(regexp_split_to_array(line, '\\s+'), lambda c: c <> '')) >= 3 AND (contains(line, chr(9)) OR contains(line, '  '))")
+def pdf_table_row(spark, sf_dir):
+    rows = corpus.files(spark, sf_dir).select("file_path", F.posexplode(T.lines(F.col("content"))).alias("at", "line"))
+    return rows.where(pdf.is_table_row(F.trim("line"))).select("file_path", (F.col("at") + 1).cast("long").alias("line_no"))
+
+
+@query(f"""WITH {FILES}, {LINES}, x AS (SELECT file_path, unnest(range(1, len(ls) + 1)) AS line_no, trim(unnest(ls)) AS line FROM l), y AS (SELECT *, length(regexp_replace(line, '[^\\p{{Lu}}]', '', 'g')) AS up, length(regexp_replace(line, '[^\\p{{L}}]', '', 'g')) AS al FROM x)
+SELECT file_path, line_no, (CASE WHEN strlen(line) < 30 THEN '## ' ELSE '### ' END) || rtrim(line, ':') AS heading FROM y WHERE (al > 0 AND up > 0.8 * al AND strlen(line) < 100) OR (ends_with(line, ':') AND strlen(line) < 80 AND NOT contains(line, '://'))""")
+def pdf_heading(spark, sf_dir):
+    rows = corpus.files(spark, sf_dir).select("file_path", F.posexplode(T.lines(F.col("content"))).alias("at", "raw")).select("file_path", "at", F.trim("raw").alias("line"))
+    return rows.where(pdf.is_heading(F.col("line"))).select("file_path", (F.col("at") + 1).cast("long").alias("line_no"), pdf.heading(F.col("line")).alias("heading"))
+
+
+@query()
+def pdf_markdown(spark, sf_dir):
+    return corpus.files(spark, sf_dir).select("doc_id", pdf.markdown(F.col("content")).alias("markdown"))
+
+
+@query(f"WITH {SPANS} SELECT name, def_id FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY file_path, pre) AS n FROM defs) WHERE n = 1")
+def first_per_name(spark, sf_dir):
+    return navigation.first_per(corpus.spans(spark, sf_dir), "name", "file_path", "pre").select("name", "def_id")
+
+
+@query(f"WITH {SPANS} SELECT name, count(*) AS definitions, CAST(min(start_line) AS INTEGER) AS first_line FROM defs GROUP BY name")
+def definitions_by_name(spark, sf_dir):
+    return corpus.spans(spark, sf_dir).groupBy("name").agg(F.size(F.collect_list("def_id")).cast("long").alias("definitions"), F.min("start_line").alias("first_line"))
+
+
+@query(f"""WITH {FILES} SELECT doc_id, '{{"file_path":"' || file_path || '","language":"' || language || '","n_chars":' || length(content) || '}}' AS response FROM files""")
+def response_json(spark, sf_dir):
+    return corpus.files(spark, sf_dir).select("doc_id", F.to_json(F.struct("file_path", "language", F.char_length("content").alias("n_chars"))).alias("response"))
+
+
+@query()
+def hashing_embed(spark, sf_dir):
+    f = corpus.files(spark, sf_dir)
+    return embed(f.select("doc_id", "content"), HashingEmbedder(), "content").select("doc_id", "vector", "error")
