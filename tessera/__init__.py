@@ -1,3 +1,3 @@
-"""Tessera: retrieval and corpus analytics expressed as Spark DataFrame plans."""
+"""Retrieval and code-corpus analytics on Spark: scan, chunk, embed, index, search, and navigate."""
 
 __version__ = "0.1.0"

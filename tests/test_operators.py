@@ -1,0 +1,216 @@
+import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from helpers import files_of, value
+from tessera.operators import chunking, fusion, keyword, knn, navigation, snapshot, stats
+from tessera.operators import commits as history
+
+
+def spans(df):
+    return [(r["start_line"], r["end_line"], r["content"]) for r in df.orderBy("start_line", "end_line").collect()]
+
+
+@pytest.mark.parametrize(
+    "text,size,want",
+    [
+        ("\n".join(f"line {i}" for i in range(1, 101)), 10, [(a, a + 9) for a in range(1, 100, 10)]),
+        ("", 10, []),
+        ("   \n\t\n   ", 10, []),
+        ("fn main() {}", 10, [(1, 1)]),
+        ("line 1\n\n\nline 4", 2, [(1, 2), (3, 4)]),
+        ("a\r\nb\r\n", 10, [(1, 2)]),
+        ("\u2003\n\u00a0\nx", 2, [(3, 3)]),
+    ],
+)
+def test_fixed(spark, text, size, want):
+    got = spans(chunking.chunk_fixed(files_of(spark, ("a.txt", text)), size))
+    assert [g[:2] for g in got] == want
+
+
+@pytest.mark.parametrize("size,overlap,want", [(10, 5, [(1, 10), (6, 15), (11, 20)]), (10, 10, [(a, a + 9) for a in range(1, 12)]), (10, 15, [(a, a + 9) for a in range(1, 12)]), (30, 5, [(1, 20)])])
+def test_sliding(spark, size, overlap, want):
+    got = spans(chunking.chunk_sliding(files_of(spark, ("a.txt", "\n".join(map(str, range(20))))), size, overlap))
+    assert [g[:2] for g in got] == want
+
+
+def test_sliding_skips_blank(spark):
+    assert [g[:2] for g in spans(chunking.chunk_sliding(files_of(spark, ("a.txt", "line 1\n\n\n\nline 5")), 2, 0))] == [(1, 2), (5, 5)]
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text(alphabet="ab \n", max_size=40), min_size=1, max_size=8), st.integers(1, 5), st.integers(0, 5))
+def test_chunks_cover_all_lines_with_text(spark, texts, size, overlap):
+    files = files_of(spark, *((f"{i}.txt", t) for i, t in enumerate(texts)))
+    for made in (chunking.chunk_fixed(files, size), chunking.chunk_sliding(files, size, overlap)):
+        seen = {}
+        for r in made.collect():
+            rows = texts[int(r["file_path"][:-4])].split("\n")
+            assert r["content"] == "\n".join(rows[r["start_line"] - 1 : r["end_line"]])
+            seen.setdefault(r["file_path"], set()).update(range(r["start_line"], r["end_line"] + 1))
+        for i, t in enumerate(texts):
+            want = {k for k, line in enumerate(t.split("\n"), 1) if line.strip()}
+            assert want <= seen.get(f"{i}.txt", set())
+
+
+def test_units_and_fallback(spark):
+    rust = "fn a() {\n  1\n}\n\nfn b() {\n}\n"
+    files = files_of(spark, ("x.rs", rust), ("y.txt", "line 1\nline 2\nline 3"), ("z.rs", "fn incomplete {"))
+    assert {(r["file_path"], r["start_line"], r["end_line"]) for r in chunking.chunk_units(files).collect()} == {("x.rs", 1, 3), ("x.rs", 5, 6)}
+    got = {(r["file_path"], r["start_line"], r["end_line"]) for r in chunking.chunk_hybrid(files, 2).collect()}
+    assert got == {("x.rs", 1, 3), ("x.rs", 5, 6), ("y.txt", 1, 2), ("y.txt", 3, 3), ("z.rs", 1, 1)}
+
+
+def test_rrf(spark):
+    a = fusion.ranked(spark.createDataFrame([("a", 3.0), ("b", 2.0), ("c", 1.0)], "chunk_id string, s double"), "s")
+    b = fusion.ranked(spark.createDataFrame([("b", 3.0), ("d", 2.0)], "chunk_id string, s double"), "s")
+    got = {r["chunk_id"]: r["score"] for r in fusion.rrf(a, b).collect()}
+    assert got == pytest.approx({"b": 1 / 62 + 1 / 61, "a": 1 / 61, "d": 1 / 62, "c": 1 / 63})
+    back = {r["chunk_id"]: r["score"] for r in fusion.rrf(b, a).collect()}
+    assert back == pytest.approx(got)
+    v = spark.createDataFrame([("a", 0.9), ("b", 0.8), ("c", 0.7)], "chunk_id string, vector_score double")
+    w = spark.createDataFrame([("b", 5.0), ("d", 4.0)], "chunk_id string, keyword_score double")
+    rows = fusion.hybrid(v, w, 10).collect()
+    assert [r["chunk_id"] for r in rows] == ["b", "a", "d", "c"]
+    assert rows[2]["vector_score"] == 0.0 and rows[1]["keyword_score"] is None
+
+
+@pytest.mark.parametrize("start,best,used,lowered,n", [(0.9, 0.55, 0.5, True, 1), (0.3, 0.2, 0.3, False, 0), (0.5, 0.6, 0.5, False, 1), (0.9, 0.1, 0.9, False, 0), (0.31, 0.305, 0.3, True, 1)])
+def test_adaptive(spark, start, best, used, lowered, n):
+    fused = spark.createDataFrame([("a", 1.0, best, None)], "chunk_id string, score double, vector_score double, keyword_score double")
+    rows = fusion.adaptive(fused, start).collect()
+    assert len(rows) == n and all(r["threshold_used"] == used and r["threshold_lowered"] == lowered for r in rows)
+
+
+def test_weighted(spark):
+    v = spark.createDataFrame([("a", 0.5), ("b", 0.4)], "chunk_id string, vector_score double")
+    w = spark.createDataFrame([("b", 1.0)], "chunk_id string, keyword_score double")
+    assert [(r["chunk_id"], round(r["score"], 6)) for r in fusion.weighted(v, w, 5).collect()] == [("b", 0.58), ("a", 0.35)]
+
+
+def test_bm25_forms_agree(spark):
+    files = files_of(spark, ("1.txt", "the cat sat on the mat"), ("2.txt", "a dog"), ("3.txt", "The THE dog"), ("4.txt", ""))
+    direct = {r["file_path"]: r["keyword_score"] for r in keyword.bm25(files, "the dog the", "file_path").collect()}
+    stored = {r["file_path"]: r["keyword_score"] for r in keyword.bm25_postings(keyword.postings(files, "file_path"), "the dog", "file_path").collect()}
+    assert set(direct) == {"1.txt", "2.txt", "3.txt"} == set(stored)
+    assert direct["3.txt"] > direct["2.txt"]
+    # an empty document has no postings, so the stored form doesn't count it
+    whole = {r["file_path"]: r["keyword_score"] for r in keyword.bm25(files.where("content <> ''"), "the dog", "file_path").collect()}
+    assert stored == pytest.approx(whole)
+    assert keyword.bm25(files, "?!", "file_path").count() == 0
+
+
+def test_bm25_flat_is_clamped(spark):
+    files = files_of(spark, *((f"{i}.txt", "x " * 50 if i == 0 else f"y{i}") for i in range(200)))
+    got = {r["file_path"]: r["keyword_score"] for r in keyword.bm25_flat(files, "x", "file_path").collect()}
+    assert got["0.txt"] == 1.0 and got["1.txt"] == 0.0
+
+
+def test_knn(spark):
+    rows = spark.createDataFrame([("a", [1.0, 0.0], "p"), ("b", [0.0, 1.0], "p"), ("c", [1.0, 0.0], "q")], "chunk_id string, vector array<float>, project string")
+    got = knn.knn(rows, [1.0, 0.0], 2).collect()
+    assert [(r["chunk_id"], r["vector_score"]) for r in got] == [("a", 1.0), ("c", 1.0)]
+    assert [r["chunk_id"] for r in knn.knn(rows, [0.0, 1.0], 5, where=F.col("project") == "q").collect()] == ["c"]
+    assert [r["chunk_id"] for r in knn.knn_cosine(rows, [0.0, 2.0], 1).collect()] == ["b"]
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, vector array<float>")
+    got = {(r["query_id"], r["rank"]): r["chunk_id"] for r in knn.knn_batch(rows, asked, 2, block=1).collect()}
+    assert got == {(1, 1): "a", (1, 2): "c", (2, 1): "b", (2, 2): "a"}
+
+
+def _state(spark, rows):
+    return spark.createDataFrame([("/r", f, h) for f, h in rows], "root_path string, file_path string, file_hash string")
+
+
+@pytest.mark.parametrize("before,now,want", [([("a", "1")], [("a", "1")], (0, 0, 0)), ([("a", "1")], [("a", "1"), ("b", "2")], (1, 0, 0)), ([("a", "1")], [("a", "2")], (0, 1, 0)), ([("a", "1")], [], (0, 0, 1)), ([("a", "1"), ("b", "1")], [("a", "2"), ("c", "1")], (1, 1, 1))])
+def test_diff(spark, before, now, want):
+    row = snapshot.counters(snapshot.diff(_state(spark, before), _state(spark, now))).head()
+    assert (row["files_added"], row["files_updated"], row["files_removed"]) == want
+
+
+def test_dirty(spark):
+    rows = [(7200, 1, 1, 1), (0, 1, 0, 0), (5, 0, 0, 0), (5, 10, 8, 30), (5, 10, 7, 30), (5, 9, 7, 30)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, age int, cached int, indexed int, chunks int")
+    c = F.col
+    got = [r["v"] for r in df.select("i", snapshot.dirty_verdict(c("age"), c("cached"), c("indexed"), c("chunks")).alias("v")).orderBy("i").collect()]
+    assert got == ["stale_flag", "truly_corrupted", "stale_flag", "index_appears_complete", "truly_corrupted", "index_appears_complete"]
+
+
+def test_stats(spark):
+    chunks = spark.createDataFrame([("/a", "x", "Rust"), ("/a", "x", "Rust"), ("/a", "y", "Python"), ("/b", "x", None)], "root_path string, file_path string, language string")
+    assert [(r["language"], r["chunks"], r["files"]) for r in stats.by_language(chunks).collect()] == [("Rust", 2, 1), ("Python", 1, 1), ("Unknown", 1, 1)]
+    assert stats.totals(chunks).head().asDict() == {"total_chunks": 4, "total_files": 3, "total_roots": 2}
+
+
+COMMIT = ("abc123def456", "Fix authentication bug\n\nThis commit fixes a critical bug in the auth module.", "John Doe", "john@example.com", 1704067200, ["src/auth.rs", "tests/auth_tests.rs"], "@@ -10,7 +10,7 @@\n-    old_line\n+    new_line\n")
+COMMIT_SCHEMA = "hash string, message string, author_name string, author_email string, commit_date long, files_changed array<string>, diff_content string"
+
+
+def test_commit_document(spark):
+    bare = ("h2", "m", None, None, 1, [], "")
+    rows = {r["chunk_id"]: r for r in history.commit_chunks(spark.createDataFrame([COMMIT, bare], COMMIT_SCHEMA), "/repo/path").collect()}
+    one = rows["abc123def456"]
+    assert one["file_path"] == "git:///repo/path" and one["language"] == "git-commit" and one["file_hash"] == "abc123def456"
+    assert one["content"] == "Commit Message:\n" + COMMIT[1] + "\n\nAuthor: John Doe <john@example.com>\n\nFiles Changed:\n- src/auth.rs\n- tests/auth_tests.rs\n\nDiff:\n" + COMMIT[6]
+    assert rows["h2"]["content"] == "Commit Message:\nm\n\nAuthor: Unknown\n\n"
+    long = spark.createDataFrame([("h", "m", "a", "", 1, [], "x" * 10_000)], COMMIT_SCHEMA)
+    text = history.commit_chunks(long, "/r", most=100).head()["content"]
+    assert len(text) <= 150 and "truncated" in text
+
+
+def test_reparse(spark):
+    c = spark.createDataFrame([COMMIT], COMMIT_SCHEMA).select(history.commit_text().alias("t")).select(history.reparse(F.col("t")).alias("r")).head()["r"]
+    assert (c["message"], c["author_name"], c["author_email"], c["files_changed"], c["snippet"]) == (COMMIT[1], COMMIT[2], COMMIT[3], COMMIT[5], COMMIT[6])
+
+
+@pytest.mark.parametrize("text,want", [("1704067200", 1704067200), ("2024-01-01T00:00:00Z", 1704067200), ("2024-01-01", 1704067200), ("invalid", None), (None, None)])
+def test_dates(spark, text, want):
+    assert value(spark, history.parse_date(F.col("x")), x=text) == want
+
+
+@pytest.mark.parametrize("line,name,email", [("Author: John Doe <john@example.com>", "John Doe", "john@example.com"), ("Author: Jane", "Jane", "")])
+def test_author(spark, line, name, email):
+    a, b = history.parse_author(F.col("x"))
+    assert (value(spark, a, x=line), value(spark, b, x=line)) == (name, email)
+
+
+def test_commit_filters(spark):
+    df = spark.createDataFrame([COMMIT, ("h2", "m", "Ann", "ann@x.org", 5, ["docs/a.md"], "")], COMMIT_SCHEMA)
+    h = lambda d: {r["hash"] for r in d.collect()}
+    assert h(history.matching(df, author_pattern="^Ann|nobody")) == {"h2"} == h(history.matching(df, author_pattern="x\\.org"))
+    assert h(history.matching(df, file_pattern=r"\.rs$")) == {"abc123def456"}
+    assert len(h(history.matching(df, author_pattern="[bad"))) == 2
+    assert h(history.dated(df, since=5, until=5)) == {"h2"}
+    assert h(history.unseen(df, spark.createDataFrame([("h2",)], "commit_hash string"))) == {"abc123def456"}
+
+
+def _defs(spark, *rows):
+    return spark.createDataFrame([(p, n, "function", a, b, 0, i, f"def:{p}:{n}:{a}") for i, (p, n, a, b) in enumerate(rows)], "file_path string, name string, kind string, start_line int, end_line int, start_col int, pre int, def_id string")
+
+
+def test_references(spark):
+    files = files_of(spark, ("src/main.rs", 'let result = greet("World");\nlet été_greet = 1; greet( greet("b"));'), ("src/lib.rs", "\nfn greet() {\n}"))
+    refs = navigation.references(files, _defs(spark, ("src/lib.rs", "greet", 2, 3))).orderBy("line_no", "start_col").collect()
+    assert [(r["line_no"], r["start_col"], r["end_col"], r["reference_kind"]) for r in refs] == [(1, 13, 18, "call"), (2, 19, 24, "call"), (2, 26, 31, "call")]
+    assert {r["target_id"] for r in refs} == {"def:src/lib.rs:greet:2"}
+
+
+def test_position_and_calls(spark):
+    defs = _defs(spark, ("a.rs", "outer", 1, 10), ("a.rs", "inner", 3, 5), ("a.rs", "last", 12, 14))
+    assert navigation.definition_at(defs, "a.rs", 4).head()["name"] == "outer"
+    assert navigation.definition_at(defs, "a.rs", 11).head() is None
+    refs = spark.createDataFrame([("a.rs", 4, "def:a.rs:last:12", "call"), ("a.rs", 11, "def:a.rs:last:12", "call"), ("a.rs", 13, "def:a.rs:outer:1", "read")], "file_path string, line_no int, target_id string, reference_kind string")
+    assert [(r["caller"], r["callee"]) for r in navigation.call_edges(refs, defs).collect()] == [("def:a.rs:outer:1", "def:a.rs:last:12")]
+
+
+def test_reach(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "a"), ("c", "d"), ("d", "e")], "src string, dst string")
+    got = {r["node"]: (r["depth"], r["parent"]) for r in navigation.reach(edges, spark.createDataFrame([("a",)], "node string"), 2).collect()}
+    assert got == {"a": (0, None), "b": (1, "a"), "c": (1, "a"), "d": (2, "c")}
+
+
+def test_ids(spark):
+    got = value(spark, navigation.parse_symbol_id(F.col("x")), x="c:/src/main.rs:foo:10:5")
+    assert (got["file_path"], got["name"], got["line"], got["col"]) == ("c:/src/main.rs", "foo", 10, 5)
+    assert value(spark, navigation.definition_id(F.lit("src/lib.rs"), F.lit("MyClass"), F.lit(15)), x="") == "def:src/lib.rs:MyClass:15"
+    assert value(spark, navigation.reference_id(F.lit("src/consumer.rs"), F.lit(25), F.lit(10)), x="") == "ref:src/consumer.rs:25:10"
