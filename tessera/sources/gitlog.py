@@ -112,7 +112,6 @@ def read(path: str, wanted: list[str]) -> Iterator[tuple]:
     for block in text.split("\x1e")[1:]:
         h, parents, name, email, when, message, patch = block.split("\x1f", 6)
         files, diff = _patch(patch)
-        message = message[:-1] if message.endswith("\n") else message
         yield h, _clean(message), _clean(name) or "Unknown", _clean(email), int(when), files, diff, parents.split()
 
 

@@ -101,6 +101,9 @@ _PATTERNS["csharp"] = [
     *((k, p.replace("public|private|protected", "public|private|protected|internal|virtual|override|async|partial")) for k, p in _PATTERNS["java"]),
 ]
 _KEYWORDS = frozenset("if else for while switch catch return do try with new throw match loop function await yield sizeof delete case default when using lock foreach unless until synchronized".split())
+#: Kinds whose patterns start with no keyword, so calls and statements may look like them; what can't stand before one.
+_BARE = frozenset({"method_definition", "method_declaration", "constructor_declaration", "function_definition"})
+_NO_METHOD = re.compile(r"(?:\b(?:function|new|return|func|fn|def|class)\b\s*\*?|[=.])\s*\Z")
 _COMPILED = {g: [(k, re.compile(r"(?<![\w$.#])" + p)) for k, p in ps] for g, ps in _PATTERNS.items()}
 #: Kinds that make chunks but no definitions, and the other way round.
 _CHUNK_ONLY = frozenset({"namespace_definition:php", "namespace_declaration", "union_specifier", "init_declaration"})
@@ -192,16 +195,17 @@ def units(ext: str | None, text: str) -> list[Unit]:
         return []
     if grammar == "python":
         return _python(text)
-    clean, found = _blanked(text, grammar), {}
+    clean, found, named = _blanked(text, grammar), {}, set()
     for kind, pattern in _COMPILED[grammar]:
         for m in pattern.finditer(clean):
             name = m["n"]
             start = m.start() + len(m[0]) - len(m[0].lstrip())
-            if name in _KEYWORDS or m[0].lstrip().split(None, 1)[0] in _KEYWORDS or start in found:
+            if start in found or m.start("n") in named or (kind in _BARE and grammar not in ("php", "go") and (name in _KEYWORDS or m[0].split(None, 1)[0] in _KEYWORDS or _NO_METHOD.search(clean, max(0, start - 20), start))):
                 continue
             end = _end(clean, grammar, m)
             if end >= 0:
                 found[start] = (end, kind, name)
+                named.add(m.start("n"))
     breaks = [i for i, c in enumerate(text) if c == "\n"]
     from bisect import bisect_left
 
