@@ -109,7 +109,8 @@ def fit(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], keep: floa
         else:
             share = F.pow(F.col("have") / total, TEMPERATURE)
         raw = have.select(n, share.alias("raw"))
-        goals[n] = cut(raw.crossJoin(F.broadcast(raw.agg(F.sum("raw").alias("all")))).select(n, (F.col("raw") / F.col("all") * total).alias("goal")))
+        whole = raw.agg(F.sum("raw")).head()[0]
+        goals[n] = cut(raw.select(n, (F.col("raw") / whole * total).alias("goal")))
     for k in range(ROUNDS):
         for n in names:
             have = cells.groupBy(n).agg(F.sum(F.col("tokens") * F.col("want")).alias("have")).join(goals[n], n).select(n, F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(0.0).alias("by"))

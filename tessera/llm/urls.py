@@ -91,10 +91,10 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, rounds:
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     judged = split.select("page_id", "host", "path", name.alias("rule"), verdict.alias("by_rule"))
     seeds = judged.where("rule IS NOT NULL").groupBy("host").agg(F.count_if(F.col("by_rule") == "allow").alias("good"), F.count_if(F.col("by_rule") == "block").alias("bad"))
-    totals = seeds.agg(F.sum("good").alias("all_good"), F.sum("bad").alias("all_bad"))
-    seeds = cut(seeds.crossJoin(F.broadcast(totals)))  # totals is one row
-    trusted = seeds.where("good > 0").select("host", (F.col("good") / F.col("all_good")).alias("score"))
-    blocked = seeds.where("bad > 0").select("host", (F.col("bad") / F.col("all_bad")).alias("score"))
+    seeds = cut(seeds)
+    total = seeds.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).head()  # two numbers
+    trusted = seeds.where("good > 0").select("host", (F.col("good") / (total["good"] or 1)).alias("score"))
+    blocked = seeds.where("bad > 0").select("host", (F.col("bad") / (total["bad"] or 1)).alias("score"))
     edges = cut(host_edges(pages))
     if not edges.isEmpty():
         trusted, blocked = propagate(edges, trusted, rounds, damping, True), propagate(edges, blocked, rounds, damping, False)
