@@ -263,3 +263,18 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wid
     """The rows of docs whose id is the smallest of its component, with all their columns; of repeated ids all rows stay."""
     gone = components(docs, doc_id, text, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
+
+
+#: components() with two-word shingles in SQL; pairs come from prefix filtering, which loses no link of 80 percent or more.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || chr(32) || w[i + 1]) END) AS g FROM d WHERE len(w) > 0)),
+c AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+f AS MATERIALIZED (SELECT g, count(*) AS df FROM s GROUP BY g),
+p AS MATERIALIZED (SELECT doc_id, g FROM (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY df, g) AS k FROM s JOIN f USING (g)) JOIN c USING (doc_id) WHERE k <= n - CAST(ceil(0.8 * n) AS BIGINT) + 1),
+cand AS MATERIALIZED (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM p x JOIN p y USING (g) JOIN c cx ON cx.doc_id = x.doc_id JOIN c cy ON cy.doc_id = y.doc_id WHERE x.doc_id < y.doc_id AND 100 * least(cx.n, cy.n) >= 80 * greatest(cx.n, cy.n)),
+e AS MATERIALIZED (SELECT a, b FROM (SELECT a, b, count(*) AS n_both FROM cand JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b AND y.g = x.g GROUP BY a, b) JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 100 * n_both >= 80 * (ca.n + cb.n - n_both)),
+u AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS a, doc_id AS root FROM d UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.a WHERE r.root < u.b)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, root AS component_id, root = d.doc_id AS kept FROM d LEFT JOIN c USING (doc_id) JOIN (SELECT a, min(root) AS root FROM r GROUP BY a) q ON q.a = d.doc_id
+"""

@@ -60,4 +60,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.ORACLE, "op7_url_filter": urls.oracle(), "op9_quality_rules": quality.ORACLE}
+    return {"op1_near_duplicates": neardup.ORACLE, "op2_chat_format": chat.ORACLE, "op3_suffix_dedup": suffix.ORACLE, "op7_url_filter": urls.oracle(), "op9_quality_rules": quality.ORACLE}

@@ -425,3 +425,17 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chu
     left = F.coalesce(F.col("__left"), F.col(f"`{text}`"))
     columns = [left.alias(c) if c == text else F.char_length(left).cast(t).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, t in docs.dtypes]
     return out.select(*columns)
+
+
+#: measure() in SQL, by the hash of every string of 100 bytes.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM d WHERE n >= 100)),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
+o AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 1 ELSE 0 END AS jump FROM late),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM (SELECT doc_id, i, sum(jump) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM o) GROUP BY doc_id, g),
+k AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS stops FROM r GROUP BY doc_id)
+SELECT d.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(range(0, n_spans + 1), lambda j: substr(h, CASE WHEN j = 0 THEN 1 ELSE 2 * stops[j] + 1 END, CASE WHEN j = n_spans THEN 2 * n ELSE 2 * starts[j + 1] END - CASE WHEN j = 0 THEN 0 ELSE 2 * stops[j] END)), '') END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
