@@ -254,7 +254,9 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     more = cut(blocks.mapInArrow(_across(width, percent), "a long, b long"))
     if not more.isEmpty():
         comps = connected(links.unionByName(more))
-    known = marked.select("doc_id", "n", "print").join(classes, ["print", "n"], "left").join(comps, F.col("rep") == F.col("node"), "left")
+    # rows without words have their id as key, else all of them would meet as null in one task
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("print", F.col("doc_id").cast("string").cast("binary"))).alias("print")
+    known = marked.select("doc_id", "n", own).join(classes, ["print", "n"], "left").join(comps, F.coalesce("rep", "doc_id") == F.col("node"), "left")
     component = F.coalesce("comp", "rep", "doc_id")
     return known.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
 
