@@ -46,7 +46,7 @@ def n_symbols(text: Column) -> Column:
 
 
 def _lines(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(F.lit(" \t\n\u000b\f\r"), x)) > 0)
+    return F.filter(F.split(text, "\n"), lambda x: F.length(F.trim(x, F.lit(" \t\n\u000b\f\r"))) > 0)
 
 
 def n_dup_lines(text: Column) -> Column:
