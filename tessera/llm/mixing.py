@@ -85,7 +85,7 @@ def fit(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], keep: floa
     if few:
         rows = cells.collect()
         if not rows:
-            return cells.withColumn("want", F.lit(1.0))
+            return cells.select(*names, F.lit(1.0).alias("want"))
         tokens = np.array([r["tokens"] for r in rows], float)
         at, want = [], []
         for m, n in zip(MARGINS, names):
@@ -137,11 +137,11 @@ def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = Non
     counted = _cells(docs, topic)
     names = [f"__{m}" for m in MARGINS]
     cells = counted.groupBy(*names).agg(F.sum("__tokens").alias("tokens"))
-    fitted = fit(cut(cells), targets or {}, keep)
-    p = F.least(F.lit(1.0), F.col("want"))
+    fitted = fit(cut(cells), targets or {}, keep).withColumnRenamed("want", "__want")
+    p = F.least(F.lit(1.0), F.col("__want"))
     out = counted.join(F.broadcast(fitted) if _small(fitted) else fitted, names)
     kept = draw(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")), seed) < p
-    return out.withColumns({"mix_topic": F.col("__topic"), "mix_tokens": F.col("__tokens"), "mix_probability": p, "mix_weight": F.greatest(F.lit(1.0), F.col("want")), "mix_kept": kept}).drop(*names, "__tokens", "want")
+    return out.withColumns({"mix_topic": F.col("__topic"), "mix_tokens": F.col("__tokens"), "mix_probability": p, "mix_weight": F.greatest(F.lit(1.0), F.col("__want")), "mix_kept": kept}).drop(*names, "__tokens", "__want")
 
 
 def _small(fitted: DataFrame) -> bool:

@@ -98,7 +98,7 @@ class Network:
         at = np.fromiter((self.vocabulary.get(w, 0) for w in names), np.int64, len(names))
         grams, count = _grams(names)
         count[0] = max(count[0], 1)
-        if len(grams) and count.sum() > len(grams):  # the pad has no gram of its own
+        if count.sum() > len(grams):  # the pad has no gram of its own
             grams = np.insert(grams, 0, 0)
         root = np.sqrt(count)[:, None].astype(np.float32)
         odds = self.gram_odds[grams]
