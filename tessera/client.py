@@ -98,7 +98,7 @@ class Engine:
                 files = self.spark.read.parquet(work)
                 token.check()
                 tell(20, "compare")
-                out = self._full(root, files, token, tell) if root not in self.hashes.roots or verdict == "truly_corrupted" else self._incremental(root, files, token, tell)
+                out = self._full(root, files, token, tell) if not self.store.knows(root) or verdict == "truly_corrupted" else self._incremental(root, files, token, tell)
             finally:
                 self.store._delete([work])
             self.hashes.clear_mark(root)
@@ -112,40 +112,36 @@ class Engine:
             return None
         n = F.lit
         indexed = self.store.files(root).count()
-        one = self.spark.range(1).select(snapshot.dirty_verdict(n(mark.age(now)), n(len(self.hashes.roots.get(root, {}))), n(indexed), n(self.store.count(root))).alias("v"))
+        one = self.spark.range(1).select(snapshot.dirty_verdict(n(mark.age(now)), n(self.store.file_hashes(root).count()), n(indexed), n(self.store.count(root))).alias("v"))
         return one.head()["v"]
 
-    def _record(self, root: str, rows: DataFrame, failed: set[str]) -> None:
-        """Remember the hashes of the files whose chunks all have vectors."""
-        self.hashes.roots[root] = {r["file_path"]: r["file_hash"] for r in rows.select("file_path", "file_hash").toLocalIterator() if r["file_path"] not in failed}
+    #: Failed files that a response names; all of them are tried again by the next run.
+    NAMED_ERRORS = 100
 
-    def _failures(self, root: str) -> tuple[set[str], list[str]]:
-        bad = self.store.chunks(root).where("vector IS NULL").select("file_path").distinct().collect()
-        return {r["file_path"] for r in bad}, [f"no embedding: {r['file_path']}" for r in bad]
+    def _finish(self, root: str, files: DataFrame) -> list[str]:
+        """Remember the files whose chunks all have vectors; what to say about the others."""
+        bad = self.store.chunks(root).where("vector IS NULL").select("file_path").distinct()
+        self.store.set_files(root, files.join(bad, "file_path", "left_anti"))
+        return [f"no embedding: {r['file_path']}" for r in bad.orderBy("file_path").limit(self.NAMED_ERRORS).collect()]
 
     def _full(self, root: str, files: DataFrame, token: Token, tell: Progress) -> dict[str, Any]:
         n_files = files.count()
         tell(40, "chunk and embed")
         n = self.store.replace(root, self._chunks(files))
         token.check()
-        failed, errors = self._failures(root)
-        if not n:
-            errors = ["No code chunks found"]
-        else:
-            self._record(root, files, failed)
+        errors = self._finish(root, files) if n else ["No code chunks found"]
         return {"mode": "full", "files_indexed": n_files, "chunks_created": n, "embeddings_generated": n, "files_updated": 0, "files_removed": 0, "errors": errors}
 
     def _incremental(self, root: str, files: DataFrame, token: Token, tell: Progress) -> dict[str, Any]:
-        changes = snapshot.diff(self.hashes.frame(self.spark, root), files)
+        changes = snapshot.diff(self.store.file_hashes(root), files)
         count = snapshot.counters(changes).head()
         made, errors = 0, []
         if count["files_added"] or count["files_updated"] or count["files_removed"]:
             tell(40, "chunk and embed")
             new = files.join(changes.where("status IN ('added', 'updated')").select("file_path"), "file_path", "left_semi")
-            made = self.store.update(root, changes.where("status IN ('updated', 'removed')"), self._chunks(new))
+            made = self.store.update(root, changes.where("status IN ('added', 'updated', 'removed')"), self._chunks(new))
             token.check()
-            failed, errors = self._failures(root)
-            self._record(root, files, failed)
+            errors = self._finish(root, files)
         return {"mode": "incremental", "files_indexed": count["files_added"], "chunks_created": made, "embeddings_generated": made, "files_updated": count["files_updated"], "files_removed": count["files_removed"], "errors": errors}
 
     # ---- searching ----
@@ -223,7 +219,6 @@ class Engine:
         """Everything goes: chunks, hashes, dirty marks and the list of indexed commits."""
         try:
             self.store.clear()
-            self.hashes.roots.clear()
             self.hashes.dirty_roots.clear()
             self.git.clear()
             self.hashes.save(self.config.cache.hash_cache_path)

@@ -15,6 +15,7 @@ from ..functions import text as T
 from ..operators import chunking, fusion, keyword, knn, navigation, snapshot, stats
 from ..operators import commits as history
 from ..session import read_table
+from ..sources.definitions import definitions_of
 from . import corpus
 from .corpus import COMMITS, FILES, SPANS
 
@@ -561,6 +562,28 @@ def response_json(spark, sf_dir):
     return corpus.files(spark, sf_dir).select("doc_id", F.to_json(F.struct("file_path", "language", F.char_length("content").alias("n_chars"))).alias("response"))
 
 
+CODE = """SELECT s_nationkey AS nation, s_suppkey AS key, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM supplier"""
+
+
+def _code(spark, sf_dir):
+    """A Python file for each nation with a function of two lines, and a blank one, for each of its suppliers."""
+    body = F.concat(F.lit("def s"), F.col("s_suppkey").cast("string"), F.lit("():\n    return "), F.col("s_nationkey").cast("string"), F.lit("\n\n"))
+    one = read_table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", body.alias("body")))).alias("parts"))
+    path = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit(".py"))
+    text = F.array_join(F.col("parts.body"), "")
+    return one.select(path.alias("file_path"), F.lit("/code").alias("root_path"), F.lit(None).cast("string").alias("project"), F.lit("py").alias("extension"), F.lit("Python").alias("language"), F.sha2(text, 256).alias("file_hash"), text.alias("content"))
+
+
+@query(f"SELECT 'n' || nation || '.py' AS file_path, CAST(3 * k - 2 AS INTEGER) AS start_line, CAST(3 * k - 1 AS INTEGER) AS end_line, 'def s' || key || '():' || chr(10) || '    return ' || nation AS content FROM ({CODE})")
+def ast_chunks(spark, sf_dir):
+    return chunking.chunk_units(_code(spark, sf_dir)).select("file_path", "start_line", "end_line", "content")
+
+
+@query(f"SELECT 'n' || nation || '.py' AS file_path, 's' || key AS name, 'function' AS kind, 'def s' || key || '():' AS signature, 'private' AS visibility, 'def:n' || nation || '.py:s' || key || ':' || (3 * k - 2) AS def_id FROM ({CODE})")
+def definitions(spark, sf_dir):
+    return definitions_of(_code(spark, sf_dir)).select("file_path", "name", "kind", "signature", "visibility", "def_id")
+
+
 @query()
 def hashing_embed(spark, sf_dir):
     f = corpus.files(spark, sf_dir)

@@ -24,6 +24,7 @@ CHUNKS = "chunk_id string, file_path string, root_path string, project string, s
 COMMIT_COLUMNS = "message string, author_name string, author_email string, files_changed array<string>, diff_content string, commit_date long"
 POSTINGS = "chunk_id string, term string, tf long, length long"
 COMMITS = CHUNKS + ", " + COMMIT_COLUMNS
+FILES = "root_path string, file_path string, file_hash string"
 
 
 def _names(schema: str) -> list[str]:
@@ -49,7 +50,7 @@ class Store:
     def _load(self) -> dict:
         place = self._at(f"{self.path}/manifest.json")
         if not self._fs.exists(place):
-            return {"version": 0, "dimension": self.dimension, "roots": {}}
+            return {"version": 0, "dimension": self.dimension, "roots": {}, "files": {}}
         stream = self._fs.open(place)
         try:
             return json.loads(bytes(self._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode())
@@ -159,22 +160,41 @@ class Store:
         before = self.count(root)
         return before - self.replace(root, self.chunks(root).where(~F.col("chunk_id").isin(list(ids))))
 
+    def set_files(self, root: str, files: DataFrame) -> None:
+        """Remember a root's files as they were indexed (root_path, file_path, file_hash): what the next run compares with."""
+        folder = f"{self.path}/files/root_key={key_of(root)}/{uuid.uuid4().hex}"
+        files.select("root_path", "file_path", "file_hash").write.parquet(folder)
+        manifest = self._load()
+        old = manifest["files"].get(key_of(root))
+        manifest["files"][key_of(root)] = folder
+        self._save(manifest)
+        self._delete([old] if old else [])
+
     def clear(self) -> None:
         manifest = self._load()
-        old = [p["folder"] for r in manifest["roots"].values() for p in r["parts"]]
-        self._save(manifest | {"roots": {}})
+        old = [p["folder"] for r in manifest["roots"].values() for p in r["parts"]] + [*manifest["files"].values()]
+        self._save(manifest | {"roots": {}, "files": {}})
         self._delete(old)
 
     def clear_root(self, root: str) -> None:
         manifest = self._load()
         old = manifest["roots"].pop(key_of(root), {"parts": []})
+        state = manifest["files"].pop(key_of(root), None)
         self._save(manifest)
-        self._delete([p["folder"] for p in old["parts"]])
+        self._delete([p["folder"] for p in old["parts"]] + ([state] if state else []))
 
     # ---- reading ----
     def roots(self, commits: bool = False) -> list[str]:
         return [r["root"] for r in self._load()["roots"].values() if r["commits"] == commits]
 
+    def knows(self, root: str) -> bool:
+        """Whether the root's files are remembered from a run that ended."""
+        return key_of(root) in self._load()["files"]
+
+    def file_hashes(self, root: str) -> DataFrame:
+        folder = self._load()["files"].get(key_of(root))
+        return self.spark.read.schema(FILES).parquet(folder) if folder else self.spark.createDataFrame([], FILES)
+
     def _frame(self, kind: str, schema: str, root: str | None, commits: bool) -> DataFrame:
         held = self._load()["roots"].values()
         folders = [f"{p['folder']}/{kind}" for r in held if r["commits"] == commits and root in (None, r["root"]) for p in r["parts"]]

@@ -60,7 +60,7 @@ def test_workflow(engine, tree):
     again = engine.index(IndexRequest(str(tree), project="p"))
     assert (again["files_indexed"], again["files_updated"], again["files_removed"], again["chunks_created"]) == (1, 1, 1, 2)
     assert {r["file_path"] for r in engine.store.chunks().select("file_path").distinct().collect()} == {"a.py", "b.rs", "d.md"}
-    assert engine.clear()["success"] and engine.statistics()["total_chunks"] == 0 and engine.hashes.roots == {}
+    assert engine.clear()["success"] and engine.statistics()["total_chunks"] == 0 and not engine.store.knows(str(tree))
 
 
 def test_empty_folder_and_empty_index(engine, tmp_path):
@@ -76,11 +76,29 @@ def test_dirty_root(engine, tree):
     with pytest.raises(IndexDirty):
         engine.query(QueryRequest("x", path=str(tree)))
     assert engine.query(QueryRequest("user", min_score=0.0))["results"]
-    engine.store.clear_root(str(tree))  # hashes without chunks: broken, so the next run is a full one
+    engine.store.replace(str(tree), engine.store.chunks().where("false"))  # hashes without chunks: broken, so the next run is a full one
+    assert engine.store.knows(str(tree)) and engine._dirty_verdict(str(tree), None) == "truly_corrupted"
     assert engine.index(IndexRequest(str(tree)))["mode"] == "full"
     assert engine.hashes.dirty_roots == {}
 
 
+def test_failed_embeddings_are_tried_again(engine, tree):
+    class Flaky(HashingEmbedder):
+        def embed(self, texts):
+            if any("lexer" in t for t in texts):
+                raise RuntimeError("model is away")
+            return super().embed(texts)
+
+    good, engine.embedder = engine.embedder, Flaky(64)
+    engine.config.embedding.batch_size = 1
+    out = engine.index(IndexRequest(str(tree)))
+    assert out["errors"] == ["no embedding: b.rs"]
+    engine.embedder = good
+    out = engine.index(IndexRequest(str(tree)))
+    assert (out["mode"], out["files_indexed"], out["errors"]) == ("incremental", 1, [])
+    assert engine.store.chunks().where("vector IS NULL").count() == 0 and engine.statistics()["total_chunks"] == 4
+
+
 def test_cancel(engine, tree):
     token = Token(engine.spark)
     token.cancel()
@@ -190,3 +208,15 @@ def test_server(engine, tree):
     assert got[0]["result"]["files_indexed"] == 3 and got[1]["result"]["results"] and got[2]["error"]["user_error"] and "error" in got[3] and len(got[4]["result"]["tools"]) == 9 and "'.'" in got[5]["result"] and got[6]["result"]["total_files"] == 3 and "error" in got[7]
     assert server.main(["version"]) == 0
     assert all(render(p) for p in PROMPTS) and len(PROMPTS) == 9
+
+
+def test_sql_functions(spark):
+    from tessera.functions.register import register
+
+    register(spark, HashingEmbedder(8))
+    spark.createDataFrame([("py", "def a():\n    pass\n\nclass B:\n    def c(self): pass\n"), ("txt", "x")], "ext string, content string").createOrReplaceTempView("sources")
+    rows = spark.sql("SELECT u.kind, u.start_line FROM sources, LATERAL code_units(ext, content) u ORDER BY u.start_line").collect()
+    assert [tuple(r) for r in rows] == [("function_definition", 1), ("class_definition", 4), ("function_definition", 5)]
+    rows = spark.sql("SELECT d.name, d.kind, d.parent_pre FROM sources, LATERAL code_definitions(ext, content) d ORDER BY d.pre").collect()
+    assert [tuple(r) for r in rows] == [("a", "function", -1), ("B", "class", -1), ("c", "function", 1)]
+    assert spark.sql("SELECT size(embed(content)) AS n FROM sources").head()["n"] == 8
