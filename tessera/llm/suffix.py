@@ -34,15 +34,16 @@ from .common import cut, mix, utf8
 LENGTH, ANCHOR = 100, 32
 #: Different segments of one anchor that may meet in a block, and the segments aimed at in a block.
 CHUNK, BLOCK = 4096, 6000
-#: Starts of strings that are looked at together.
-STRIDE = 1 << 19
+#: Starts of strings that are looked at together: their arrays fit a core's cache.
+STRIDE = 1 << 16
 NO_ID = -(1 << 63)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_BYTE = mix(np.arange(256, dtype=np.uint64) + _ODD)
 
 
 def _window_hashes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the 32- and the 64-byte windows at every position where they fit, by doubling."""
-    h = mix(x.astype(np.uint64) + _ODD)
+    h = _BYTE[x]
     size = 1
     short = h
     while size < 64:
