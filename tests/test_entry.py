@@ -31,8 +31,8 @@ def rows(table):
 def test_query(spark, sf_dir, duck, name):
     got = catalog.queries()[name](spark, sf_dir).toArrow()
     if sql := catalog.oracle_sql().get(name):
-        want = duck.execute(sql).arrow()
-        want = want.read_all() if hasattr(want, "read_all") else want
+        done = duck.execute(sql)
+        want = done.to_arrow_table() if hasattr(done, "to_arrow_table") else done.fetch_arrow_table()
         assert rows(got) == rows(want)
         assert {c: str(got.schema.field(c).type).replace("large_", "") for c in got.column_names} == {c: str(want.schema.field(c).type).replace("large_", "") for c in got.column_names}
     else:
