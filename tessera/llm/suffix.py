@@ -171,32 +171,34 @@ SEGMENT = "anchor long, content long, doc long, tie int, pos long, n short"
 # ---- Burrows-Wheeler transform and interval expansion ----
 
 
-def suffix_array(text: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Order of all suffixes of text, whose symbols at `ends` are terminators: all different, and less than any byte."""
-    n = len(text)
-    stop = np.zeros(n + 7, bool)
-    stop[ends] = stop[n:] = True
-    symbol = np.where(stop, 0, np.append(text, np.zeros(7, np.uint8)).astype(np.uint64) + 1)
+def suffix_array(symbol: np.ndarray) -> np.ndarray:
+    """Order of all suffixes of a sequence of small numbers that ends with 0; the zeros are terminators, all different, the first the least."""
+    n = len(symbol)
+    bits = int(symbol.max()).bit_length() or 1
+    size = 63 // bits
+    padded = np.append(symbol, np.zeros(size, np.int64)).astype(np.uint64)
     key, alive = np.zeros(n, np.uint64), np.ones(n, bool)
-    for k in range(7):  # seven symbols of nine bits; nothing beyond a terminator counts
-        key = (key << np.uint64(9)) | np.where(alive, symbol[k : n + k], np.uint64(0))
-        alive &= ~stop[k : n + k]
+    for k in range(size):  # as many symbols as fit; nothing beyond a terminator counts
+        here = padded[k : n + k]
+        key <<= np.uint64(bits)
+        key |= np.where(alive, here, np.uint64(0))
+        alive &= here != 0
     order = np.argsort(key, kind="stable")  # so equal keys with a terminator stand in the terminators' order
-    fresh = np.ones(n, bool)
-    fresh[1:] = (key[order[1:]] != key[order[:-1]]) | ~alive[order[1:]]
+    fresh = np.ones(n + 1, bool)
+    fresh[1:n] = (key[order[1:]] != key[order[:-1]]) | ~alive[order[1:]]
     rank = np.empty(n, np.int64)
-    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
-    size = 7
-    while len(again := np.flatnonzero(np.bincount(rank, minlength=n)[rank] > 1)):
+    rank[order] = np.maximum.accumulate(np.where(fresh[:n], np.arange(n), 0))
+    again = order[~(fresh[:-1] & fresh[1:])]
+    while len(again):
         # what isn't single yet has no terminator within reach, so size further on is the same part
         both = rank[again] * n + rank[again + size]
         by = np.argsort(both)
         at, both = again[by], both[by]
-        head = rank[at]
-        i = np.arange(len(at))
-        group, fresh = np.ones(len(at), bool), np.ones(len(at), bool)
-        group[1:], fresh[1:] = head[1:] != head[:-1], both[1:] != both[:-1]
-        rank[at] = head + np.maximum.accumulate(np.where(fresh, i, 0)) - np.maximum.accumulate(np.where(group, i, 0))
+        head, i = rank[at], np.arange(len(at))
+        group, fresh = np.ones(len(at), bool), np.ones(len(at) + 1, bool)
+        group[1:], fresh[1:-1] = head[1:] != head[:-1], both[1:] != both[:-1]
+        rank[at] = head + np.maximum.accumulate(np.where(fresh[:-1], i, 0)) - np.maximum.accumulate(np.where(group, i, 0))
+        again = at[~(fresh[:-1] & fresh[1:])]
         size *= 2
     out = np.empty(n, np.int64)
     out[rank] = np.arange(n)
@@ -233,15 +235,18 @@ def shared_prefix_groups(parts: list[bytes], length: int = LENGTH) -> tuple[np.n
     text = np.frombuffer(b"".join(p + b"\0" for p in parts), np.uint8)
     ends = np.cumsum(sizes) - 1
     n, terms = len(text), len(parts)
-    order = suffix_array(text, ends)
     is_end = np.zeros(n, bool)
     is_end[ends] = True
     alphabet, count = np.unique(text[~is_end], return_counts=True)
     code = np.zeros(256, np.int64)
     code[alphabet] = np.arange(1, len(alphabet) + 1)
     symbol_of = np.where(is_end, 0, code[text])
-    tree = Wavelet(symbol_of[order - 1], len(alphabet) + 1)
+    order = suffix_array(symbol_of)
+    last = symbol_of[order - 1]
+    tree = Wavelet(last, len(alphabet) + 1)
     first = np.concatenate([[0, terms], terms + np.cumsum(count)])  # of the suffixes that start with a symbol
+    before = np.empty(n, np.int64)  # rank of the suffix that starts one symbol earlier; for terminators of no meaning
+    before[np.argsort(last, kind="stable")] = np.arange(n)
     reached = np.zeros(n + 1, bool)
     # round 0: a prefix of one symbol each; terminators differ, so each has an interval of its own
     lo = np.concatenate([np.arange(terms), first[1:-1]])
@@ -249,10 +254,12 @@ def shared_prefix_groups(parts: list[bytes], length: int = LENGTH) -> tuple[np.n
     reached[0] = reached[n] = True
     reached[hi] = True
     for _ in range(1, length):
-        symbol, a, b = tree.extend(lo, hi)
+        lone = hi - lo == 1  # one suffix has one symbol before it
+        symbol, a, b = tree.extend(lo[~lone], hi[~lone])
         real = symbol > 0
         base = first[symbol[real]]
-        lo, hi = base + a[real], base + b[real]
+        one = before[lo[lone][last[lo[lone]] > 0]]
+        lo, hi = np.concatenate([base + a[real], one]), np.concatenate([base + b[real], one + 1])
         new = ~reached[hi]
         lo, hi = lo[new], hi[new]
         if not len(lo):
