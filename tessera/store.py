@@ -1,8 +1,9 @@
 """The chunk store: Parquet folders by root, named in a manifest whose replacement is the commit.
 
 Chunks and their postings lie in new folders for each append; the manifest lists the folders of every root, so a reader
-always sees whole appends, and reading one root touches that root's folders only. Deleting files rewrites the folders of
-their root. Postings are sorted by term within files, so a query's terms are found by the files' statistics.
+always sees whole appends, and reading one root touches that root's folders only. Deleted chunks are named in folders of
+their own, which readers take off older parts; after MAX_TOMBS of them the root is written anew, so an update costs what
+it changes. Postings are sorted by term within files, so a query's terms are found by the files' statistics.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ CHUNKS = "chunk_id string, file_path string, root_path string, project string, s
 COMMIT_COLUMNS = "message string, author_name string, author_email string, files_changed array<string>, diff_content string, commit_date long"
 POSTINGS = "chunk_id string, term string, tf long, length long"
 COMMITS = CHUNKS + ", " + COMMIT_COLUMNS
+#: Folders of deleted chunks that a root may have before it is written anew.
+MAX_TOMBS = 8
 FILES = "root_path string, file_path string, file_hash string"
 
 
@@ -109,14 +112,18 @@ class Store:
         index.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(f"{folder}/postings")
         return {"folder": folder, "chunks": count}
 
+    @staticmethod
+    def _fresh(root: str, commits: bool) -> dict:
+        return {"root": root, "commits": commits, "parts": [], "tombs": [], "seq": 0}
+
     def append(self, root: str, chunks: DataFrame, commits: bool = False) -> int:
         """Add chunks of one root; how many. commits: they carry COMMIT_COLUMNS too."""
         part = self._write(root, chunks, commits)
         if part is None:
             return 0
         manifest = self._load()
-        held = manifest["roots"].setdefault(key_of(root), {"root": root, "commits": commits, "parts": []})
-        held["parts"].append(part)
+        held = manifest["roots"].setdefault(key_of(root), self._fresh(root, commits))
+        held["parts"].append(part | {"seq": held["seq"]})
         self._save(manifest)
         return part["chunks"]
 
@@ -124,41 +131,64 @@ class Store:
         """Put chunks in place of all that the root has."""
         part = self._write(root, chunks, commits)
         manifest = self._load()
-        old = manifest["roots"].pop(key_of(root), {"parts": []})
+        old = manifest["roots"].pop(key_of(root), self._fresh(root, commits))
         if part is not None:
-            manifest["roots"][key_of(root)] = {"root": root, "commits": commits, "parts": [part]}
+            manifest["roots"][key_of(root)] = self._fresh(root, commits) | {"parts": [part | {"seq": 0}]}
         self._save(manifest)
-        self._delete([p["folder"] for p in old["parts"]])
+        self._delete([p["folder"] for p in old["parts"] + old["tombs"]])
         return 0 if part is None else part["chunks"]
 
-    def update(self, root: str, gone: DataFrame, added: DataFrame) -> int:
-        """One commit: the root without the files in gone (file_path), with the chunks in added; how many were added."""
-        part = self._write(root, added, False)
-        keep = None
-        if root in self.roots():
-            kept = self.chunks(root).join(gone.select("file_path").distinct(), "file_path", "left_anti")
-            keep = self._write(root, kept, False)
+    def _bury(self, root: str, dead: DataFrame) -> dict | None:
+        """A folder with the ids of chunks that are no more; None if there are none."""
+        folder = f"{self.path}/data/root_key={key_of(root)}/{uuid.uuid4().hex}"
+        dead.select("chunk_id").write.parquet(folder)
+        count = self.spark.read.schema("chunk_id string").parquet(folder).count()
+        if not count:
+            self._delete([folder])
+            return None
+        return {"folder": folder, "chunks": count}
+
+    def _change(self, root: str, dead: DataFrame, added: DataFrame | None) -> int:
+        part = self._write(root, added, False) if added is not None else None
+        tomb = self._bury(root, dead)
         manifest = self._load()
-        old = manifest["roots"].pop(key_of(root), {"parts": []})
-        parts = [p for p in (keep, part) if p is not None]
-        if parts:
-            manifest["roots"][key_of(root)] = {"root": root, "commits": False, "parts": parts}
+        held = manifest["roots"].setdefault(key_of(root), self._fresh(root, False))
+        held["seq"] += 1
+        if tomb is not None:
+            held["tombs"].append(tomb | {"seq": held["seq"]})
+        if part is not None:
+            held["parts"].append(part | {"seq": held["seq"]})
+        empty = not self._live(held)
+        if empty:
+            manifest["roots"].pop(key_of(root))
         self._save(manifest)
-        self._delete([p["folder"] for p in old["parts"]])
+        if empty:
+            self._delete([p["folder"] for p in held["parts"] + held["tombs"]])
+        elif len(held["tombs"]) > MAX_TOMBS:
+            self.replace(root, self.chunks(root))
         return 0 if part is None else part["chunks"]
 
+    @staticmethod
+    def _live(held: dict) -> int:
+        return sum(p["chunks"] for p in held["parts"]) - sum(t["chunks"] for t in held["tombs"])
+
+    def update(self, root: str, gone: DataFrame, added: DataFrame) -> int:
+        """One commit: the root without the files in gone (file_path), with the chunks in added; how many were added."""
+        return self._change(root, self.chunks(root).join(gone.select("file_path").distinct(), "file_path", "left_semi"), added)
+
     def delete_files(self, root: str, files: Sequence[str] | DataFrame) -> int:
         """Drop the chunks of some files of one root; how many chunks went."""
         if not isinstance(files, DataFrame):
             files = self.spark.createDataFrame([(f,) for f in files], "file_path string")
         before = self.count(root)
-        self.update(root, files, self.chunks(root).where(F.lit(False)))
+        self._change(root, self.chunks(root).join(files.select("file_path").distinct(), "file_path", "left_semi"), None)
         return before - self.count(root)
 
     def delete_chunks(self, root: str, ids: Sequence[str]) -> int:
         """Drop single chunks of one root."""
         before = self.count(root)
-        return before - self.replace(root, self.chunks(root).where(~F.col("chunk_id").isin(list(ids))))
+        self._change(root, self.chunks(root).where(F.col("chunk_id").isin(list(ids))), None)
+        return before - self.count(root)
 
     def set_files(self, root: str, files: DataFrame) -> None:
         """Remember a root's files as they were indexed (root_path, file_path, file_hash): what the next run compares with."""
@@ -172,16 +202,16 @@ class Store:
 
     def clear(self) -> None:
         manifest = self._load()
-        old = [p["folder"] for r in manifest["roots"].values() for p in r["parts"]] + [*manifest["files"].values()]
+        old = [p["folder"] for r in manifest["roots"].values() for p in r["parts"] + r["tombs"]] + [*manifest["files"].values()]
         self._save(manifest | {"roots": {}, "files": {}})
         self._delete(old)
 
     def clear_root(self, root: str) -> None:
         manifest = self._load()
-        old = manifest["roots"].pop(key_of(root), {"parts": []})
+        old = manifest["roots"].pop(key_of(root), self._fresh(root, False))
         state = manifest["files"].pop(key_of(root), None)
         self._save(manifest)
-        self._delete([p["folder"] for p in old["parts"]] + ([state] if state else []))
+        self._delete([p["folder"] for p in old["parts"] + old["tombs"]] + ([state] if state else []))
 
     # ---- reading ----
     def roots(self, commits: bool = False) -> list[str]:
@@ -196,9 +226,25 @@ class Store:
         return self.spark.read.schema(FILES).parquet(folder) if folder else self.spark.createDataFrame([], FILES)
 
     def _frame(self, kind: str, schema: str, root: str | None, commits: bool) -> DataFrame:
-        held = self._load()["roots"].values()
-        folders = [f"{p['folder']}/{kind}" for r in held if r["commits"] == commits and root in (None, r["root"]) for p in r["parts"]]
-        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+        """All parts without what was deleted after they were written; parts of one age are read together."""
+        whole: list[str] = []
+        out = None
+        for held in self._load()["roots"].values():
+            if held["commits"] != commits or root not in (None, held["root"]):
+                continue
+            ages: dict[tuple[str, ...], list[str]] = {}
+            for p in held["parts"]:
+                later = tuple(t["folder"] for t in held["tombs"] if t["seq"] > p["seq"])
+                ages.setdefault(later, []).append(f"{p['folder']}/{kind}")
+            whole += ages.pop((), [])
+            for later, folders in ages.items():
+                dead = self.spark.read.schema("chunk_id string").parquet(*later)
+                kept = self.spark.read.schema(schema).parquet(*folders).join(dead, "chunk_id", "left_anti").select(*_names(schema))
+                out = kept if out is None else out.unionByName(kept)
+        if whole:
+            rest = self.spark.read.schema(schema).parquet(*whole)
+            out = rest if out is None else rest.unionByName(out)
+        return self.spark.createDataFrame([], schema) if out is None else out
 
     def chunks(self, root: str | None = None) -> DataFrame:
         return self._frame("chunks", CHUNKS, root, False)
@@ -210,7 +256,7 @@ class Store:
         return self._frame("postings", POSTINGS, root, commits)
 
     def count(self, root: str | None = None) -> int:
-        return sum(p["chunks"] for r in self._load()["roots"].values() if not r["commits"] and root in (None, r["root"]) for p in r["parts"])
+        return sum(self._live(r) for r in self._load()["roots"].values() if not r["commits"] and root in (None, r["root"]))
 
     def files(self, root: str) -> DataFrame:
         return stats.files_of(self.chunks(root), root)

@@ -13,7 +13,7 @@ from tessera.embedding import HashingEmbedder, embed, named
 from tessera.errors import Cancelled, IndexDirty, StoreError, ValidationError
 from tessera.prompts import PROMPTS, render
 from tessera.requests import AdvancedSearchRequest, FindDefinitionRequest, FindReferencesRequest, GetCallGraphRequest, IndexRequest, QueryRequest, SearchGitHistoryRequest
-from tessera.store import Store
+from tessera.store import Store, key_of
 from test_sources import repo  # noqa: F401
 
 
@@ -176,6 +176,11 @@ def test_store(spark, tmp_path):
     with pytest.raises(StoreError):
         store.append("/c", rows("/c", ("x", "t")).withColumn("vector", F.array(F.lit(1.0).cast("float"))))
     store.flush()
+    # what is deleted and comes back unchanged is there again; many updates in a row are written together
+    for n in range(12):
+        assert store.update("/b", rows("/b", ("x", "")), rows("/b", ("x", f"two {n // 2}"))) == 1
+        assert (store.count("/b"), store.chunks("/b").count()) == (1, 1) and store.postings("/b").where(f"term = '{n // 2}'").count() == 1
+    assert len(store._load()["roots"][key_of("/b")]["tombs"]) <= 8
     store.clear_root("/b")
     assert store.count() == 0
     store.clear()
