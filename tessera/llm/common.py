@@ -95,3 +95,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 def is_held_out(doc_id: str, modulus: int):
     """Column: crc32 of the id as text falls on 0."""
     return (F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(modulus)) == 0
+
+
+def hashed_sample(df: DataFrame, rows: int, total: int, *key: str) -> DataFrame:
+    """The given number of rows by a hash of their key, of about `total` in df; the same ones however df is dealt out.
+
+    A threshold on the hash lets hardly more rows than wanted into the sort, so the tasks together send few to the driver.
+    """
+    h = F.xxhash64(*key)
+    share = (rows + 6 * rows**0.5 + 20) / max(total, 1)
+    if share < 1:
+        df = df.where(F.pmod(h, F.lit(1 << 40)) < int(share * (1 << 40)))
+    return df.orderBy(h, *key).limit(rows)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, is_held_out, numbered, words_of
+from .common import cut, hashed_sample, is_held_out, numbered, words_of
 
 STATES, TOP_WORDS, HASHED, SEGMENT = 8, 8192, 2048, 128
 SAMPLE_DOCS, SAMPLE_ROUNDS, FULL_ROUNDS = 600, 12, 1
@@ -297,7 +297,7 @@ def train(docs: DataFrame, counts: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     model = Model(top, total, distinct, n)
     model.lone = np.log10(np.array([c for _, c in top]) + ALPHA)
     rest = docs.where(~F.col("held_out"))
-    first = [words_of(r["text"]) for r in rest.orderBy(F.xxhash64("doc_id")).limit(sample_docs).select("text").collect()]
+    first = [words_of(r["text"]) for r in hashed_sample(rest, sample_docs, rest.count(), "doc_id", "text_key").select("text").collect()]
     own = [model.classes(w) for w in first]
     for _ in range(sample_rounds if own else 0):
         model.update(*model.expected(own))
