@@ -5,12 +5,15 @@ definitions: file_path, name, kind, start_line, end_line, start_col, pre (order
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.language import reference_kind
 from ..functions.text import lines
+from ..lineage import cut
 
 #: Identifiers that stand alone; letters beyond ASCII are parts of words.
 WORD = r"(?<![\p{L}\p{N}_])([a-zA-Z_][a-zA-Z0-9_]*)(?![\p{L}\p{N}_])"
@@ -89,21 +92,21 @@ def call_edges(refs: DataFrame, definitions: DataFrame) -> DataFrame:
     return calls.join(by_file, "file_path").select(around["def_id"].alias("caller"), "callee", "file_path", "line_no").where("caller IS NOT NULL")
 
 
-def reach(edges: DataFrame, start: DataFrame, depth: int, src: str = "src", dst: str = "dst", save=None) -> DataFrame:
+def reach(edges: DataFrame, start: DataFrame, depth: int, src: str = "src", dst: str = "dst") -> DataFrame:
     """node, depth, parent: what can be reached from start (node) in at most `depth` steps, each node once, at its least depth.
 
-    save: called with each round's frame (a checkpoint in the shared folder), so that the plan doesn't grow with depth.
+    Edges and the nodes of each round are written to the shared folder, so a round reads tables and the plan doesn't grow.
     """
-    save = save or (lambda df: df)
     none = F.lit(None).cast(start.schema["node"].dataType)
-    seen = start.select("node", F.lit(0).alias("depth"), none.alias("parent")).dropDuplicates(["node"])
-    front = seen
-    pairs = edges.select(F.col(src).alias("parent"), F.col(dst).alias("node")).distinct()
+    rounds = [cut(start.select("node", F.lit(0).alias("depth"), none.alias("parent")).dropDuplicates(["node"]))]
+    pairs = cut(edges.select(F.col(src).alias("parent"), F.col(dst).alias("node")).distinct())
     for d in range(1, depth + 1):
-        step = pairs.join(front.select(F.col("node").alias("parent")), "parent").groupBy("node").agg(F.min("parent").alias("parent"))
-        front = save(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(d).alias("depth"), "parent"))
-        seen = seen.unionByName(front)
-    return seen
+        step = pairs.join(rounds[-1].select(F.col("node").alias("parent")), "parent").groupBy("node").agg(F.min("parent").alias("parent"))
+        seen = reduce(DataFrame.unionByName, rounds).select("node")
+        rounds.append(cut(step.join(seen, "node", "left_anti").select("node", F.lit(d).alias("depth"), "parent")))
+        if rounds[-1].isEmpty():
+            break
+    return reduce(DataFrame.unionByName, rounds)
 
 
 def first_per(rows: DataFrame, key: str, *order: str) -> DataFrame:
