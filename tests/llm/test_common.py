@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from tessera import lineage
 from tessera.llm import common
 
 
@@ -13,7 +14,7 @@ def test_cut_survives_and_reads_the_same(spark):
 def test_shared_folder(spark):
     """The cluster's folder where one is set, else one of our own."""
     given = spark.conf.get("spark.checkpoint.dir", None)
-    assert common.shared_dir(spark) == (given.rstrip("/") if given else common._OWN[spark.sparkContext.applicationId])
+    assert common.shared_dir(spark) == (given.rstrip("/") if given else lineage._OWN[spark.sparkContext.applicationId])
 
 
 def test_hashed_sample(spark):
