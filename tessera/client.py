@@ -157,16 +157,16 @@ class Engine:
     def _vector(self, text: str) -> list[float]:
         return [float(x) for x in self.embedder.embed([text])[0]]
 
-    def _search(self, rows: DataFrame, postings: DataFrame, text: str, limit: int, threshold: float, hybrid: bool, adaptive: bool = True) -> DataFrame:
-        """Hits of rows, which are filtered already, with threshold_used and threshold_lowered."""
+    def _search(self, rows: DataFrame, postings: DataFrame, known: tuple[int, float], text: str, limit: int, threshold: float, hybrid: bool) -> DataFrame:
+        """Hits of rows, which are filtered already, with threshold_used and threshold_lowered. known: the postings' term_stats()."""
         depth = fusion.DEPTH * max(limit, 1)
         near = knn.knn(rows.where("vector IS NOT NULL"), self._vector(text), depth)
         if hybrid:
-            words = keyword.bm25_postings(postings, text).join(rows.select("chunk_id"), "chunk_id", "left_semi")
+            words = keyword.bm25_postings(postings, text, stats=known).join(rows.select("chunk_id"), "chunk_id", "left_semi")
             fused = fusion.hybrid(near, keyword.top(words, "keyword_score", depth), limit)
         else:
             fused = near.select("chunk_id", F.col("vector_score").alias("score"), "vector_score", F.lit(None).cast("double").alias("keyword_score")).orderBy(F.desc("score"), "chunk_id").limit(limit)
-        held = fusion.adaptive(fused, threshold) if adaptive else fusion.passing(fused, threshold).withColumn("threshold_used", F.lit(threshold)).withColumn("threshold_lowered", F.lit(False))
+        held = fusion.adaptive(fused, threshold)
         # `held` has at most `limit` rows, so the chunk table is read with its ids as a filter
         return rows.drop("vector").join(F.broadcast(held), "chunk_id").orderBy(F.desc("score"), "chunk_id")
 
@@ -177,7 +177,7 @@ class Engine:
         used = rows[0]["threshold_used"] if rows else threshold
         return {"results": [{k: r[k] for k in self.HIT} for r in rows], "duration_ms": int(1000 * (time.monotonic() - began)), "threshold_used": used, "threshold_lowered": bool(rows and rows[0]["threshold_lowered"])}
 
-    def _filtered(self, request: QueryRequest) -> tuple[DataFrame, DataFrame]:
+    def _filtered(self, request: QueryRequest) -> tuple[DataFrame, DataFrame, tuple[int, float]]:
         root = self._gate(request.path)
         rows = self.store.chunks(root)
         tests: list[Column] = []
@@ -190,24 +190,23 @@ class Engine:
                 tests.append(F.col("language").isin(request.languages))
             if request.path_patterns:
                 tests.append(globs.matches_any(F.col("file_path"), request.path_patterns))
-        return (rows.where(reduce(Column.__and__, tests)) if tests else rows), self.store.postings(root)
+        return (rows.where(reduce(Column.__and__, tests)) if tests else rows), self.store.postings(root), self.store.term_stats(root)
 
     def query(self, request: QueryRequest) -> dict[str, Any]:
         """Hybrid or vector search; with an AdvancedSearchRequest also by extension, language and path. Filters run first."""
         request.validate()
         began = time.monotonic()
-        rows, postings = self._filtered(request)
+        found = self._filtered(request)
         if not self.store.count():
             return {"results": [], "duration_ms": 0, "threshold_used": request.min_score, "threshold_lowered": False}
-        return self._answer(self._search(rows, postings, request.query, request.limit, request.min_score, request.hybrid), request.min_score, began)
+        return self._answer(self._search(*found, request.query, request.limit, request.min_score, request.hybrid), request.min_score, began)
 
     search_by_filters = query
 
     def search_frame(self, request: QueryRequest) -> DataFrame:
         """The same hits as a DataFrame, not collected."""
         request.validate()
-        rows, postings = self._filtered(request)
-        return self._search(rows, postings, request.query, request.limit, request.min_score, request.hybrid)
+        return self._search(*self._filtered(request), request.query, request.limit, request.min_score, request.hybrid)
 
     def statistics(self, request: Request | None = None) -> dict[str, Any]:
         rows = self.store.chunks()
@@ -245,7 +244,7 @@ class Engine:
         rows = history.matching(history.dated(self.store.commits(repo), since, until), request.author, request.file_pattern)
         if request.project is not None:
             rows = rows.where(F.col("project") == request.project)
-        hits = self._search(rows, self.store.postings(repo, commits=True), request.query, request.limit, request.min_score, True).collect()
+        hits = self._search(rows, self.store.postings(repo, commits=True), self.store.term_stats(repo, commits=True), request.query, request.limit, request.min_score, True).collect()
         cut = lambda text: text if len(raw := text.encode()) <= history.SNIPPET_BYTES else raw[: history.SNIPPET_BYTES].decode("utf-8", "ignore") + "..."
         results = [{"commit_hash": r["chunk_id"], "commit_message": r["message"], "author": r["author_name"], "author_email": r["author_email"], "commit_date": r["commit_date"], "score": r["score"], "vector_score": r["vector_score"], "keyword_score": r["keyword_score"], "files_changed": r["files_changed"], "diff_snippet": cut(r["diff_content"] or "")} for r in hits]
         return {"results": results, "commits_indexed": len(wanted), "total_cached_commits": self.git.count(repo), "duration_ms": int(1000 * (time.monotonic() - began))}

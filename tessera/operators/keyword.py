@@ -63,14 +63,17 @@ def bm25(chunks: DataFrame, query: str, key: str = "chunk_id", text: str = "cont
     return held.select(key, total.alias("keyword_score"))
 
 
-def bm25_postings(index: DataFrame, query: str, key: str = "chunk_id") -> DataFrame:
-    """The same from stored postings: only the query's terms are read; n and the mean length come from the stored lengths."""
+def bm25_postings(index: DataFrame, query: str, key: str = "chunk_id", stats: tuple[int, float] | None = None) -> DataFrame:
+    """The same from stored postings: only the query's terms are read. stats: documents and mean length, if they are known."""
     terms = list(dict.fromkeys(query_terms(query)))
-    lengths = index.groupBy(key).agg(F.first("length").cast("double").alias("length"))
-    stats = lengths.agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("length").alias("mean")).alias("s")).scalar()
     own = index.where(F.col("term").isin(terms))
     df = own.groupBy("term").agg(F.count("*").cast("double").alias("df"))  # one row a query term
-    scored = own.join(F.broadcast(df), "term").withColumn("s", stats)
+    scored = own.join(F.broadcast(df), "term")
+    if stats is None:
+        lengths = index.groupBy(key).agg(F.first("length").cast("double").alias("length"))
+        scored = scored.withColumn("s", lengths.agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("length").alias("mean")).alias("s")).scalar())
+    else:
+        scored = scored.withColumn("s", F.struct(F.lit(float(stats[0])).alias("n"), F.lit(float(stats[1])).alias("mean")))
     s = F.col("s")
     return scored.groupBy(key).agg(F.sum(idf(s["n"], F.col("df")) * term_score(F.col("tf").cast("double"), F.col("length").cast("double"), s["mean"])).alias("keyword_score"))
 

@@ -110,7 +110,13 @@ class Store:
         cut = made.select("chunk_id", tokens(F.col("content")).alias("t")).select("chunk_id", F.size("t").cast("long").alias("length"), F.explode("t").alias("term"))
         index = cut.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length")).select(*_names(POSTINGS))
         index.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id").write.parquet(f"{folder}/postings")
-        return {"folder": folder, "chunks": count}
+        return {"folder": folder, "chunks": count} | self._lengths(made.select(F.size(tokens(F.col("content"))).alias("length")))
+
+    @staticmethod
+    def _lengths(rows: DataFrame) -> dict:
+        """Chunks with a term, and their terms: what BM25 needs of a part, so that a query doesn't count the postings."""
+        row = rows.agg(F.count_if(F.col("length") > 0).alias("docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("terms")).head()
+        return {"docs": row["docs"], "terms": row["terms"]}
 
     @staticmethod
     def _fresh(root: str, commits: bool) -> dict:
@@ -141,12 +147,12 @@ class Store:
     def _bury(self, root: str, dead: DataFrame) -> dict | None:
         """A folder with the ids of chunks that are no more; None if there are none."""
         folder = f"{self.path}/data/root_key={key_of(root)}/{uuid.uuid4().hex}"
-        dead.select("chunk_id").write.parquet(folder)
-        count = self.spark.read.schema("chunk_id string").parquet(folder).count()
-        if not count:
+        dead.select("chunk_id", F.size(tokens(F.col("content"))).alias("length")).write.parquet(folder)
+        made = self.spark.read.schema("chunk_id string, length int").parquet(folder)
+        if not (count := made.count()):
             self._delete([folder])
             return None
-        return {"folder": folder, "chunks": count}
+        return {"folder": folder, "chunks": count} | self._lengths(made)
 
     def _change(self, root: str, dead: DataFrame, added: DataFrame | None) -> int:
         part = self._write(root, added, False) if added is not None else None
@@ -255,6 +261,12 @@ class Store:
     def postings(self, root: str | None = None, commits: bool = False) -> DataFrame:
         return self._frame("postings", POSTINGS, root, commits)
 
+    def term_stats(self, root: str | None = None, commits: bool = False) -> tuple[int, float]:
+        """Chunks with a term, and the mean number of terms in them, as the manifest has them."""
+        held = [r for r in self._load()["roots"].values() if r["commits"] == commits and root in (None, r["root"])]
+        docs, terms = (sum(p[k] for r in held for p in r["parts"]) - sum(t[k] for r in held for t in r["tombs"]) for k in ("docs", "terms"))
+        return docs, terms / max(docs, 1)
+
     def count(self, root: str | None = None) -> int:
         return sum(self._live(r) for r in self._load()["roots"].values() if not r["commits"] and root in (None, r["root"]))
 

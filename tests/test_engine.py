@@ -176,11 +176,12 @@ def test_store(spark, tmp_path):
     with pytest.raises(StoreError):
         store.append("/c", rows("/c", ("x", "t")).withColumn("vector", F.array(F.lit(1.0).cast("float"))))
     store.flush()
+    assert store.term_stats("/b") == (1, 1.0) and store.term_stats("/none") == (0, 0.0)
     # what is deleted and comes back unchanged is there again; many updates in a row are written together
     for n in range(12):
         assert store.update("/b", rows("/b", ("x", "")), rows("/b", ("x", f"two {n // 2}"))) == 1
         assert (store.count("/b"), store.chunks("/b").count()) == (1, 1) and store.postings("/b").where(f"term = '{n // 2}'").count() == 1
-    assert len(store._load()["roots"][key_of("/b")]["tombs"]) <= 8
+    assert len(store._load()["roots"][key_of("/b")]["tombs"]) <= 8 and store.term_stats("/b") == (1, 2.0)
     store.clear_root("/b")
     assert store.count() == 0
     store.clear()
