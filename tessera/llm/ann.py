@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, hashed_sample
 
 BITS, SUBSTRING = 256, 16
 SAMPLE_ROWS, SAMPLE_QUERIES, ROUNDS, RADIUS_QUANTILE = 12_000, 300, 15, 0.97
@@ -147,7 +147,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
         same = F.size("v") == sizes[0]["n"]
         rows, asked = rows.where(same), asked.where(same)
         # a bounded sample, the same whichever way the rows are dealt out
-        sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).toArrow()
+        sample = hashed_sample(rows, sample_rows, sizes[0]["count"], "vec_id").toArrow()
         codes = Codes(_matrix(sample.column("v")), k)
         total = asked.count()
         blocks = -(-total // block)
