@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import is_held_out, numbered, words_of
+from .common import hashed_sample, is_held_out, numbered, words_of
 
 #: At most so many labelled rows of class 1 and of class 0 train the model, chosen by a hash of their ids.
 SAMPLE = {1: 900, 0: 1800}
@@ -261,9 +261,9 @@ class Network:
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, sample: dict[int, int] = SAMPLE, epochs: int = EPOCHS) -> Network:
     """A network fitted to at most sample[c] labelled documents of class c outside the held-out fold."""
     free = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out("doc_id", modulus)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    picked = None
+    picked, total = None, {r["toxic"]: r["count"] for r in free.groupBy("toxic").count().collect() if r["toxic"] in sample}
     for c, n in sample.items():
-        own = free.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        own = hashed_sample(free.where(F.col("toxic") == c), n, total.get(c, 0), "doc_id")
         picked = own if picked is None else picked.unionByName(own)
     # picked has at most sum(sample.values()) rows of two numbers
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()
