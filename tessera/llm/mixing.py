@@ -1,9 +1,10 @@
 """Mixing sources to target weights: iterative proportional fitting, then sampling by calibrated probabilities.
 
 Tokens are counted by cell (source, language, topic). Raking scales the cells until the sums over each of the three
-margins meet their targets. A document's probability is its cell's factor times one common scale, at most one; the scale
-makes the expected tokens the wanted share of all tokens. What a cell would need beyond probability one stays as `weight`
-of its documents. The draw is a hash of the id and the text, so a run repeats and a lost executor changes nothing.
+margins meet their targets. A document's probability is its cell's factor times one common scale; the scale makes the
+expected tokens the wanted share of all tokens, or less where a cell would need a probability over one for that: the
+unweighted draw meets the targets at any `keep`, and `weight` is one. The draw is a hash of the id and the text, so a run
+repeats and a lost executor changes nothing.
 
 Only cells travel: one aggregation with map-side combine, so a source with a third of all rows is one row a task. Up to
 MAX_DRIVER_CELLS cells are fitted on the driver; beyond, the same rounds run as aggregations over the table of cells.
@@ -76,6 +77,11 @@ def scale_for(factor: np.ndarray, tokens: np.ndarray, keep: float) -> float:
     return high
 
 
+def unclipped(scale: float, top: float) -> float:
+    """The scale, lowered so that the largest factor times it is at most one; clipping a cell would miss its targets."""
+    return min(scale, 1 / top) if top > 0 else scale
+
+
 def fit(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], keep: float) -> DataFrame:
     """The cells with their factor times the scale, as column `want`."""
     spark = cells.sparkSession
@@ -96,7 +102,7 @@ def fit(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], keep: floa
             shares = _targets(dict(zip(keys, have / tokens.sum())), targets.get(m))
             want.append(np.array([shares[k] for k in keys]))
         factor = rake(at, tokens, want)
-        s = scale_for(factor, tokens, keep)
+        s = unclipped(scale_for(factor, tokens, keep), factor.max())
         return spark.createDataFrame([(*(r[n] for n in names), float(f * s)) for r, f in zip(rows, factor)], ", ".join(f"{n} string" for n in names) + ", want double")
     cells = cut(cells.withColumn("want", F.lit(1.0)))
     total = cells.agg(F.sum("tokens")).collect()[0][0]
@@ -123,7 +129,8 @@ def fit(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], keep: floa
     for _ in range(25):
         mid = (low + high) / 2
         low, high = (mid, high) if kept(mid) < keep * total else (low, mid)
-    return cells.select(*names, (F.col("want") * high).alias("want"))
+    s = unclipped(high, cells.agg(F.max("want")).head()[0] or 0.0)
+    return cells.select(*names, (F.col("want") * s).alias("want"))
 
 
 def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:

@@ -50,6 +50,26 @@ def test_expected_tokens_meet_targets_exactly(spark):
         assert sum(r["mix_tokens"] * r["mix_probability"] for r in rows if r["source"] == s) / expected == pytest.approx(share, abs=1e-3)
 
 
+@pytest.mark.parametrize("driver_cells", [mixing.MAX_DRIVER_CELLS, 0])
+def test_targets_are_met_at_production_parameters(spark, monkeypatch, driver_cells):
+    """At KEEP and TEMPERATURE some cells would need several times their tokens; the unweighted draw still meets every margin."""
+    monkeypatch.setattr(mixing, "MAX_DRIVER_CELLS", driver_cells)
+    if not driver_cells:
+        monkeypatch.setattr(mixing, "ROUNDS", 12)
+    rows = mixing.mix(spark.createDataFrame(corpus(), SCHEMA)).collect()
+    tokens = sum(r["mix_tokens"] for r in rows)
+    expected = sum(r["mix_tokens"] * r["mix_probability"] for r in rows)
+    assert all(r["mix_weight"] == 1 for r in rows) and 0 < expected < mixing.KEEP * tokens
+    for column in ("source", "lang", "mix_topic"):
+        have, got = {}, {}
+        for r in rows:
+            have[r[column]] = have.get(r[column], 0) + r["mix_tokens"]
+            got[r[column]] = got.get(r[column], 0) + r["mix_tokens"] * r["mix_probability"]
+        raw = {k: (v / tokens) ** mixing.TEMPERATURE for k, v in have.items()}
+        for k in have:
+            assert got[k] / expected == pytest.approx(raw[k] / sum(raw.values()), abs=2e-3), (column, k)
+
+
 def test_many_cells_take_the_same_way(spark, monkeypatch):
     df = spark.createDataFrame(corpus(300), SCHEMA)
     want = {r["doc_id"]: r["mix_probability"] for r in mixing.mix(df, {"source": {"hot": 1, "a": 1, "b": 2}}).collect()}
