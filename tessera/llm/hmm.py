@@ -29,8 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import cut, hashed_sample, is_held_out, numbered, words_of
 
-STATES, TOP_WORDS, HASHED, SEGMENT = 8, 8192, 2048, 128
-SAMPLE_DOCS, SAMPLE_ROUNDS, FULL_ROUNDS = 600, 12, 1
+STATES, TOP_WORDS, HASHED = 8, 8192, 2048
+SAMPLE_DOCS, SAMPLE_ROUNDS = 600, 12
+#: Rounds over all documents end where one adds less than this to the training likelihood, in log10 a token.
+GAIN = 1e-4
+#: Tokens (with padding) whose states are held at once in a round.
+CELLS = 1 << 18
 BLOCK_BYTES, BLOCK_DOCS = 4_000_000, 2000
 ALPHA = 0.1
 #: The end of a document as a token; no word holds white space.
@@ -165,6 +169,8 @@ class Model:
         self.prior = np.concatenate([[c for _, c in top], total]) + ALPHA
         self.prior /= self.prior.sum()
         self.size = size
+        #: Training likelihood, log10 a token, before each round over all documents.
+        self.likelihood: list[float] = []
         rng = np.random.default_rng(seed)
         self.start = np.full(STATES, 1 / STATES)
         self.move = np.full((STATES, STATES), 0.2 / STATES) + 0.8 * np.eye(STATES)
@@ -214,13 +220,18 @@ class Model:
         return out
 
     def expected(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Baum-Welch counts of segments: start, transitions, emissions."""
-        parts = [d[i : i + SEGMENT] for d in docs for i in range(0, len(d), SEGMENT)]
-        start, move, seen = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, self.size))
+        """Baum-Welch counts of whole documents: start, transitions, emissions."""
+        return self.counts(docs)[:3]
+
+    def counts(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Baum-Welch counts, and the log10 likelihood of the documents before the update."""
+        parts = sorted(docs, key=len, reverse=True)
+        start, move, seen, log = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, self.size)), 0.0
         emit = np.ascontiguousarray(self.emit.T)
-        parts.sort(key=len, reverse=True)
-        for k in range(0, len(parts), 2048):
-            own = parts[k : k + 2048]
+        k = 0
+        while k < len(parts):
+            own = parts[k : k + max(1, min(2048, CELLS // len(parts[k])))]
+            k += len(own)
             size = np.array([len(p) for p in own])
             obs = np.zeros((size[0], len(own)), np.int32)
             for j, p in enumerate(own):
@@ -243,26 +254,38 @@ class Model:
                     x = emit[obs[t, :n]] * beta[:n] / scale[t, :n, None]
                     move += self.move * (alpha[t - 1, :n].T @ x)
                     beta[:n] = x @ self.move.T
+            log += np.log10(scale).sum()
             start += gamma[0].sum(0)
             at = obs.ravel()
             for s in range(STATES):
                 seen[s] += np.bincount(at, weights=gamma[:, :, s].ravel(), minlength=self.size)
-        return start, move, seen
+        return start, move, seen, log
+
+
+def _classes(model):
+    """Every document's classes, as bytes of int16; there are at most TOP_WORDS + HASHED."""
+
+    def task(batches):
+        m = model.value
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"classes": pa.array([m.classes(words_of(t.as_py())).astype(np.int16).tobytes() for t in batch.column(0)], pa.binary())})
+
+    return task
 
 
 def _counts(model):
-    """A task's expected counts: one row for each of the states' start and transition rows, and one for each class seen."""
+    """A task's expected counts: one row for each of the states' start and transition rows, one for the likelihood, and one for each class seen."""
 
     def task(batches):
         m = model.value
-        start, move, seen = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, m.size))
-        for rows in _blocks(batches):
-            s, v, e = m.expected([m.classes(r[2]) for r in rows])
-            start, move, seen = start + s, move + v, seen + e
+        start, move, seen, log = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, m.size)), 0.0
+        for batch in batches:
+            s, v, e, x = m.counts([np.frombuffer(c.as_buffer(), np.int16) for c in batch.column(0)])
+            start, move, seen, log = start + s, move + v, seen + e, log + x
         used = np.flatnonzero(seen.sum(0))
-        at = np.concatenate([[-1 - STATES], -1 - np.arange(STATES), used])
-        value = np.concatenate([start[None], move, seen[:, used].T])
-        if value[0].sum():
+        at = np.concatenate([[-2 - STATES, -1 - STATES], -1 - np.arange(STATES), used])
+        value = np.concatenate([np.full((1, STATES), log), start[None], move, seen[:, used].T])
+        if start.sum():
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *(pa.array(np.ascontiguousarray(value[:, k])) for k in range(STATES))], names=["at", *(f"s{k}" for k in range(STATES))])
 
     return task
@@ -285,7 +308,7 @@ def _scores(model):
     return task
 
 
-def train(docs: DataFrame, counts: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_rounds: int = SAMPLE_ROUNDS, rounds: int = FULL_ROUNDS) -> tuple[Model, int, int]:
+def train(docs: DataFrame, counts: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_rounds: int = SAMPLE_ROUNDS, gain: float = GAIN) -> tuple[Model, int, int]:
     """The model, N and V. docs: doc_id, held_out, text; counts: rows `words` of the buckets."""
     top: list[tuple[bytes, int]] = []
     total, distinct = np.zeros(HASHED), np.zeros(HASHED)
@@ -302,10 +325,17 @@ def train(docs: DataFrame, counts: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
     for _ in range(sample_rounds if own else 0):
         model.update(*model.expected(own))
     spark = docs.sparkSession
-    for _ in range(rounds if n else 0):
+    if not n:
+        return model, n, v
+    held = spark.sparkContext.broadcast(model)
+    written = cut(rest.select("text").mapInArrow(_classes(held), "classes binary"))
+    held.unpersist()
+    columns = [f"s{k}" for k in range(STATES)]
+    last = -np.inf
+    while True:
         held = spark.sparkContext.broadcast(model)
-        columns = [f"s{k}" for k in range(STATES)]
-        got = rest.mapInArrow(_counts(held), "at long, " + ", ".join(f"{c} double" for c in columns)).groupBy("at").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
+        got = written.mapInArrow(_counts(held), "at long, " + ", ".join(f"{c} double" for c in columns)).groupBy("at").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
+        held.unpersist()
         at, value = got["at"].to_numpy(), got[columns].to_numpy()
         start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, model.size))
         start += value[at == -1 - STATES].sum(0)
@@ -313,7 +343,11 @@ def train(docs: DataFrame, counts: DataFrame, sample_docs: int = SAMPLE_DOCS, sa
             move[k] += value[at == -1 - k].sum(0)
         emit[:, at[at >= 0]] = value[at >= 0].T
         model.update(start, move, emit)
-        held.unpersist()
+        now = float(value[at == -2 - STATES][0, 0]) / n
+        model.likelihood.append(now)
+        if now - last < gain:
+            break
+        last = now
     return model, n, v
 
 

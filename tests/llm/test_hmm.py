@@ -95,6 +95,29 @@ def test_expected_counts_against_all_paths():
         assert got == pytest.approx(want)
 
 
+def test_documents_are_not_cut(monkeypatch):
+    """A long document has one start and a transition between any two neighbours, however few tokens are held at once."""
+    m = small_model()
+    docs = [np.tile(np.arange(6, dtype=np.int32), 100), np.array([2, 4], np.int32), np.tile(np.array([1, 5], np.int32), 90)]
+    start, move, emit, log = m.counts(docs)
+    assert (start.sum(), move.sum(), emit.sum()) == pytest.approx((3, 599 + 1 + 179, 600 + 2 + 180))
+    assert log == pytest.approx(m.forward(docs).sum())
+    monkeypatch.setattr(hmm, "CELLS", 200)
+    for got, want in zip(m.counts(docs), (start, move, emit, log)):
+        assert got == pytest.approx(want)
+
+
+def test_full_rounds_run_until_the_likelihood_stands(spark, monkeypatch):
+    """The sample is five documents; the rounds over all documents go on until a round adds next to nothing."""
+    seen = []
+    whole = hmm.train
+    monkeypatch.setattr(hmm, "train", lambda *a: seen.append(whole(*a, sample_docs=5)) or seen[-1])
+    hmm.score_documents(spark.createDataFrame(corpus(), SCHEMA).repartition(4)).count()
+    log = seen[0][0].likelihood
+    gains = [b - a for a, b in zip(log, log[1:])]
+    assert len(log) > 2 and all(g >= hmm.GAIN for g in gains[:-1]) and gains[-1] < hmm.GAIN
+
+
 def test_training_raises_the_likelihood():
     docs = [words_of(t) for _, t in corpus(120) if t]
     count = Counter(w for d in docs for w in [*d, hmm.END])
