@@ -2,7 +2,9 @@
 
 A rule names a host with its subdomains and a path prefix; the longest rule that fits decides. For urls without a rule
 the link graph decides: personalised PageRank flows from trusted hosts along host edges, distrust flows from blocked
-hosts against them, and a host is blocked where distrust is more than its share of the two.
+hosts against them, and a host is blocked where distrust is more than its share of the two. Rounds go on until no host is
+new and no score moves by more than TOLERANCE of itself; so hosts any number of links away are judged. `oracle` writes out
+a given number of rounds, as SQL of one statement does, and agrees where these suffice.
 
 Edge cases: a null url, or one without `://`, has an empty host and path and is allowed by default; a host without any
 evidence is allowed; self links and links to nowhere carry nothing; repeated pages are judged one by one; an empty table
@@ -12,6 +14,7 @@ gives no rows. The rules are a short list (at most MAX_RULES), compiled into one
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import count
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 MAX_RULES = 256
+#: Scores stand where every host's moves by at most this share of itself in a round.
+TOLERANCE = 1e-6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Absolute and scheme-relative links in an attribute; group 1 is the host.
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
@@ -72,19 +77,25 @@ def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return counted.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float, along: bool) -> DataFrame:
-    """host, score after the given rounds; seeds (host, score) sum up to one. along=False walks the edges backwards."""
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float, damping: float, along: bool) -> DataFrame:
+    """host, score at the fixed point; seeds (host, score) sum up to one. along=False walks the edges backwards."""
     a, b = ("src", "dst") if along else ("dst", "src")
     rank, restart = seeds, seeds.select("host", (F.col("score") * (1 - damping)).alias("score"))
-    for k in range(rounds):
+    for k in count(1):
         flow = edges.join(rank, edges[a] == rank["host"]).select(F.col(b).alias("host"), (F.col("score") * F.col("weight") * damping).alias("score"))
-        rank = flow.unionByName(restart).groupBy("host").agg(F.sum("score").alias("score"))
-        if k % 3 == 2 and k + 1 < rounds:
-            rank = cut(rank)
-    return rank
-
-
-def filter_urls(pages: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, rounds: int = 6, damping: float = 0.85, threshold: float = 0.5) -> DataFrame:
+        moved = flow.unionByName(restart)
+        if k % 3:
+            rank = moved.groupBy("host").agg(F.sum("score").alias("score"))
+            continue
+        # every third round has the scores of the round before beside it; a host that is new has none
+        both = moved.withColumn("before", F.lit(0.0)).unionByName(rank.select("host", F.lit(0.0).alias("score"), F.col("score").alias("before")))
+        both = cut(both.groupBy("host").agg(F.sum("score").alias("score"), F.sum("before").alias("before")))
+        rank = both.select("host", "score")
+        if both.where(F.abs(F.col("score") - F.col("before")) > tolerance * F.col("score")).isEmpty():
+            return rank
+
+
+def filter_urls(pages: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, tolerance: float = TOLERANCE, damping: float = 0.85, threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict for every page."""
     host, path = split_url(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
@@ -97,7 +108,7 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, rounds:
     blocked = seeds.where("bad > 0").select("host", (F.col("bad") / (total["bad"] or 1)).alias("score"))
     edges = cut(host_edges(pages))
     if not edges.isEmpty():
-        trusted, blocked = propagate(edges, trusted, rounds, damping, True), propagate(edges, blocked, rounds, damping, False)
+        trusted, blocked = propagate(edges, trusted, tolerance, damping, True), propagate(edges, blocked, tolerance, damping, False)
     both = trusted.select("host", F.col("score").alias("t"), F.lit(0.0).alias("d")).unionByName(blocked.select("host", F.lit(0.0).alias("t"), F.col("score").alias("d")))
     hosts = both.groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d")).where(F.col("d") > threshold * (F.col("t") + F.col("d"))).select("host", F.lit("block").alias("by_graph"))
     return judged.join(hosts, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("by_rule", "by_graph", F.lit("allow")).alias("verdict"))

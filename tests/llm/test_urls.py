@@ -1,5 +1,7 @@
+import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from tessera.llm import urls
@@ -76,6 +78,32 @@ def test_propagation_against_loops(spark):
     assert {"c", "d"} <= {h for i, h in enumerate(graph) if got[i][3] == "block"}
 
 
+def test_hosts_many_links_away(spark):
+    """A chain of eleven hosts to a blocked one, and none of them with trust."""
+    rules = [Rule("allow", "good/"), Rule("block", "bad/")]
+    chain = [*(f"c{k}" for k in range(11, 0, -1)), "bad"]
+    pages = [(f"http://{a}/x", link(b)) for a, b in zip(chain, chain[1:])] + [("http://bad/x", None), ("http://good/x", link("far")), ("http://far/x", None)]
+    got = judged(spark, pages, rules=rules)
+    assert {r[0] for r in got.values() if r[3] == "block"} == set(chain)
+
+
+def test_scores_reach_the_fixed_point(spark):
+    rng = random.Random(2)
+    n = 12
+    out = [[h for h in range(n) if h != k and rng.random() < 0.2] or [(k + 1) % n] for k in range(n)]
+    pages = spark.createDataFrame([(k, f"http://h{k}/", link(*(f"h{h}" for h in to))) for k, to in enumerate(out)], SCHEMA)
+    edges, seeds = urls.host_edges(pages).cache(), spark.createDataFrame([("h0", 0.7), ("h5", 0.3)], "host string, score double")
+    weight = np.zeros((n, n))
+    for k, to in enumerate(out):
+        weight[k, to] = 1 / len(to)
+    start = np.zeros(n)
+    start[[0, 5]] = 0.7, 0.3
+    for along, m in ((True, weight.T), (False, weight)):
+        want = np.linalg.solve(np.eye(n) - 0.85 * m, 0.15 * start)
+        got = {r["host"]: r["score"] for r in urls.propagate(edges, seeds, urls.TOLERANCE, 0.85, along).collect()}
+        assert got == pytest.approx({f"h{k}": x for k, x in enumerate(want) if x > 0}, rel=1e-5)
+
+
 def test_edge_cases(spark):
     df = spark.createDataFrame([], SCHEMA + ", host string, path string, rule string, score double")
     assert urls.filter_urls(df).count() == 0
