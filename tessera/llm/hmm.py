@@ -1,191 +1,173 @@
 """Hidden Markov language model over word classes, and the smoothed unigram base it is compared with.
 
-Word counts come from every training document. Words are first grouped by document block, then by hash bucket, so that a
-frequent word is one row a block and a bucket is a bounded piece of the vocabulary; per-document sums flow back by block.
-
-The model: a hidden state emits a class, the class emits the word. The most frequent words are classes of their own, the
-rest share hashed classes; inside a class a word has its smoothed share of the class's count, with one place for unknown
-words, so the probabilities of all words sum to one. The model's size is STATES x (TOP_WORDS + HASHED) at any corpus
-size. Baum-Welch starts on a bounded sample and then runs over all training documents, each task giving its expected
-counts, which Spark adds up; for this, documents are cut into segments of SEGMENT tokens. Scoring runs the scaled forward
-recursion through every whole document.
-
-Edge cases: a null text is empty, that is one end token; a text of white space likewise; repeated rows count as often
-as they occur; without training documents every token is unknown and V = N = 0; an empty table gives no rows; doc_id may
-repeat (each row is scored) and extra columns are not read.
+Word counts come from every training document, added up in the scan's tasks and then by word in Spark; the table of counts
+stays there. The KNOWN most frequent words, a bounded list, go to every task with their counts. A second pass over the
+texts writes one row a document: its classes, what its known words say, and its other words as (word, times) pairs. Only
+these pairs meet the table of counts, in a join of two written tables that adaptive execution can split.
+
+The model: a hidden state emits a class, the class emits the word. The TOP most frequent words are classes of their own,
+the rest share hashed classes; inside a class a word has its smoothed share of the class's count, with one place for
+unknown words, so the probabilities of all words sum to one. The model's size is STATES x (TOP + HASHED) at any corpus
+size. Baum-Welch starts from states drawn at random around the classes' shares; every round runs over all training
+documents, uncut, each task giving its expected counts, which Spark adds up, until a round adds less than GAIN. Scoring
+runs the scaled forward recursion through every whole document.
+
+Edge cases: a null text is empty, that is one end token; a text of white space likewise; repeated rows count and are
+scored as often as they occur; words of equal count are ordered by their bytes; without training documents every token is
+unknown and V = N = 0; an empty table gives no rows; a null id is never held out; extra columns are not read, whatever
+their names. A text of any length is one sequence; a task holds some 200 bytes a token of the longest it reads.
 """
 
 from __future__ import annotations
 
-import pickle
+import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, hashed_sample, is_held_out, numbered, words_of
+from .common import cut, is_held_out, words_of
 
-STATES, TOP_WORDS, HASHED = 8, 8192, 2048
-SAMPLE_DOCS, SAMPLE_ROUNDS = 600, 12
-#: Rounds over all documents end where one adds less than this to the training likelihood, in log10 a token.
+STATES, TOP, HASHED, KNOWN = 8, 8192, 2048, 1 << 17
+#: Rounds end where one adds less than this to the training likelihood, in log10 a token.
 GAIN = 1e-4
-#: Tokens (with padding) whose states are held at once in a round.
-CELLS = 1 << 18
-BLOCK_BYTES, BLOCK_DOCS = 4_000_000, 2000
+#: Tokens (with padding) that are worked on at once, as many as stay in a core's cache; steps between two scalings.
+CELLS, SCALED = 1 << 17, 8
+#: Different words that a task counts before it hands them on.
+COUNTED = 400_000
 ALPHA = 0.1
 #: The end of a document as a token; no word holds white space.
 END = b"\n"
-#: Stands for a null doc_id on the way.
-NO_ID = -(1 << 63)
+ENCODED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, known_sum double, classes binary, rare array<struct<word: binary, times: int>>"
 
 
-def _hash(words: list[bytes]) -> np.ndarray:
-    import xxhash
+# ---- counts ----
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text -> word, n."""
+    seen: Counter[bytes] = Counter()
 
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"word": pa.array(list(seen.keys()), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
 
-
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """((doc_id, text_key), held_out, words) of at most BLOCK_DOCS documents or about BLOCK_BYTES of text at a time."""
-    rows, size = [], 0
     for batch in batches:
-        for d, k, h, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)):
-            w = words_of(t.as_py())
-            rows.append(((d, k), h, w))
-            size += 8 * len(w)
-            if size >= BLOCK_BYTES or len(rows) >= BLOCK_DOCS:
-                yield rows
-                rows, size = [], 0
-    if rows:
-        yield rows
+        for text in batch.column(0):
+            seen.update(words_of(text.as_py()))
+            if len(seen) > COUNTED:
+                yield out()
+                seen.clear()
+        seen[END] += batch.num_rows
+    if seen:
+        yield out()
+
+
+def _class(word: Column) -> Column:
+    return (F.crc32(word) % F.lit(HASHED)).cast("int")
+
+
+class Words:
+    """The known words in falling order of their counts, and the totals of the hashed classes; of bounded size."""
+
+    def __init__(self, known: list[tuple[bytes, int]], total: np.ndarray, distinct: np.ndarray) -> None:
+        self.index = {w: i for i, (w, _) in enumerate(known)}
+        self.n, self.v = int(total.sum()), int(distinct.sum())
+        self.n_top = min(TOP, len(known))
+        self.size = self.n_top + HASHED
+        count = np.array([c for _, c in known], float)
+        self.log = np.log10(count + ALPHA)
+        hashed = np.fromiter((zlib.crc32(w) % HASHED for w, _ in known), np.int32, len(known))
+        total, distinct = total.astype(float), distinct.astype(float)
+        np.subtract.at(total, hashed[: self.n_top], count[: self.n_top])
+        np.subtract.at(distinct, hashed[: self.n_top], 1)
+        #: Class of a known word.
+        self.of = np.where(np.arange(len(known)) < self.n_top, np.arange(len(known)), self.n_top + hashed).astype(np.uint16)
+        #: log10 of what divides a word's smoothed count: in a hashed class its total, in a word's own class the count itself.
+        self.inside = np.concatenate([self.log[: self.n_top], np.log10(total + ALPHA * (distinct + 1))])
+        prior = np.concatenate([count[: self.n_top], total]) + ALPHA
+        self.prior = prior / prior.sum()
+
+
+def count_words(training: DataFrame) -> tuple[Words, DataFrame]:
+    """Words, and the written table (word, n) of all training words. training: text."""
+    counts = cut(training.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    # a histogram by size says from which count on there are KNOWN words; it has a few hundred rows
+    size = F.floor(8 * F.log2("n"))
+    least, found = None, 0
+    for row in sorted(counts.groupBy(size.alias("size")).count().collect(), reverse=True):
+        least, found = row["size"], found + row["count"]
+        if found >= KNOWN:
+            break
+    frequent = counts.where(size >= least) if least is not None else counts
+    known = [(bytes(r["word"]), r["n"]) for r in frequent.orderBy(F.desc("n"), "word").limit(KNOWN).collect()]
+    total, distinct = np.zeros(HASHED, np.int64), np.zeros(HASHED, np.int64)
+    for r in counts.groupBy(_class(F.col("word")).alias("class")).agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # at most HASHED rows
+        total[r["class"]], distinct[r["class"]] = r["n"], r["v"]
+    return Words(known, total, distinct), counts
 
 
-def _postings(buckets: int):
-    """Rows (block, bucket, body): the block's words of a bucket with the documents they are in; bucket -1 has the documents."""
+def _encode(held):
+    """doc_id, held_out, text -> ENCODED."""
 
     def task(batches):
-        import zstandard
-
-        z, part, number = zstandard.ZstdCompressor(1), TaskContext.get().partitionId(), 0
-        for rows in _blocks(batches):
-            block = (part << 32) + number
-            number += 1
-            index = numbered(END)
-            flat = np.fromiter(map(index.__getitem__, chain.from_iterable((*ws, END) for _, _, ws in rows)), np.int64)
-            doc = np.repeat(np.arange(len(rows)), [len(ws) + 1 for _, _, ws in rows])
-            pair, tf = np.unique(flat * len(rows) + doc, return_counts=True)
-            word, doc = pair // len(rows), (pair % len(rows)).astype(np.int16)
-            names = list(index)
-            at = (_hash(names) % np.uint64(buckets)).astype(np.int64)
-            train = np.array([not r[1] for r in rows])
-            order = np.argsort(at[word], kind="stable")
-            word, doc, tf = word[order], doc[order], tf[order].astype(np.int32)
-            ends = np.searchsorted(at[word], np.arange(buckets + 1))
-            out = {"block": [], "bucket": [], "body": []}
-
-            def put(bucket, body):
-                out["block"].append(block)
-                out["bucket"].append(bucket)
-                out["body"].append(z.compress(pickle.dumps(body, 5)))
-
-            for b in range(buckets):
-                s = slice(ends[b], ends[b + 1])
-                if s.start < s.stop:
-                    own, n = np.unique(word[s], return_counts=True)
-                    put(b, ([names[i] for i in own.tolist()], n.astype(np.int32), doc[s], tf[s], train))
-            put(-1, (np.array([r[0] for r in rows]), ~train, np.array([len(r[2]) + 1 for r in rows])))
-            yield pa.RecordBatch.from_pydict({"block": pa.array(out["block"], pa.int64()), "bucket": pa.array(out["bucket"], pa.int32()), "body": pa.array(out["body"], pa.binary())})
+        words: Words = held.value
+        row, index = TaskContext.get().partitionId() << 33, words.index
+        for whole in batches:
+            for a in range(0, whole.num_rows, 500):
+                batch = whole.slice(a, 500)
+                texts = [[*words_of(t.as_py()), END] for t in batch.column(2)]
+                size = np.array([len(t) for t in texts])
+                doc = np.repeat(np.arange(len(texts)), size)
+                at = np.fromiter(map(index.get, chain.from_iterable(texts), repeat(-1)), np.int32, len(doc))
+                known = at >= 0
+                classes = np.empty(len(doc), np.uint16)
+                classes[known] = words.of[at[known]]
+                first = np.cumsum(size) - size
+                rest = np.flatnonzero(~known)
+                other = [texts[d][k] for d, k in zip(doc[rest].tolist(), (rest - first[doc[rest]]).tolist())]
+                classes[rest] = np.fromiter(map(zlib.crc32, other), np.int64, len(other)) % HASHED + words.n_top
+                cuts = np.searchsorted(doc[rest], np.arange(len(texts) + 1)).tolist()
+                pairs = [Counter(other[x:y]) for x, y in zip(cuts, cuts[1:])]
+                flat = pa.StructArray.from_arrays([pa.array([w for p in pairs for w in p], pa.binary()), pa.array([n for p in pairs for n in p.values()], pa.int32())], ["word", "times"])
+                ends = np.concatenate([[0], np.cumsum([len(p) for p in pairs])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(row + np.arange(len(texts))),
+                        batch.column(0),
+                        batch.column(1),
+                        pa.array(size.astype(np.int64)),
+                        pa.array(np.bincount(doc[known], minlength=len(texts)).astype(np.int64)),
+                        pa.array(np.bincount(doc[known], weights=words.log[at[known]], minlength=len(texts)), pa.float64()),
+                        pa.array([c.tobytes() for c in np.split(classes, first[1:])], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(ends), flat),
+                    ],
+                    names=["row", "doc_id", "held_out", "n_tokens", "n_known", "known_sum", "classes", "rare"],
+                )
+                row += len(texts)
 
     return task
 
 
-def _count_bucket(table: pa.Table) -> pa.Table:
-    """All blocks' words of one bucket -> its top words, totals by class, and sums per document for every block."""
-    import zstandard
-
-    z = zstandard.ZstdDecompressor()
-    bodies = [pickle.loads(z.decompress(x.as_py())) for x in table.column("body")]
-    index = numbered()
-    local = [np.fromiter(map(index.__getitem__, b[0]), np.int64, len(b[0])) for b in bodies]
-    count = np.zeros(len(index), np.int64)
-    for (_, n, doc, tf, train), own in zip(bodies, local):
-        np.add.at(count, np.repeat(own, n), tf * train[doc])
-    names = list(index)
-    known = count > 0
-    hashed = (_hash(names) >> np.uint64(20)) % np.uint64(HASHED)
-    kinds, blocks, body = [], [], []
-    top = np.argsort(-count, kind="stable")[: TOP_WORDS + 1]
-    kinds.append("words")
-    blocks.append(0)
-    total = np.bincount(hashed[known], weights=count[known], minlength=HASHED)
-    distinct = np.bincount(hashed[known], minlength=HASHED)
-    body.append(pickle.dumps(([(names[i], int(count[i])) for i in top.tolist() if count[i]], total, distinct), 5))
-    zc = zstandard.ZstdCompressor(1)
-    log = np.log10(count + ALPHA)
-    for (_, n, doc, tf, _), own, block in zip(bodies, local, table.column("block").to_pylist()):
-        w = np.repeat(own, n)
-        docs, at = np.unique(doc, return_inverse=True)
-        base = np.bincount(at, weights=log[w] * tf)
-        n_known = np.bincount(at, weights=known[w] * tf).astype(np.int32)
-        kinds.append("sums")
-        blocks.append(block)
-        body.append(zc.compress(pickle.dumps((docs, base, n_known), 5)))
-    return pa.table({"kind": kinds, "block": pa.array(blocks, pa.int64()), "body": pa.array(body, pa.binary())})
-
-
-def _sum_block(table: pa.Table) -> pa.Table:
-    """One block's sums of all buckets -> a row for each of its documents."""
-    import zstandard
-
-    z = zstandard.ZstdDecompressor()
-    kind, body = table.column("kind").to_pylist(), table.column("body")
-    ids, held, n = next(pickle.loads(z.decompress(b.as_py())) for k, b in zip(kind, body) if k == "docs")
-    base, known = np.zeros(len(ids)), np.zeros(len(ids), np.int64)
-    for k, b in zip(kind, body):
-        if k == "sums":
-            docs, x, y = pickle.loads(z.decompress(b.as_py()))
-            base[docs] += x
-            known[docs] += y
-    return pa.table({"doc_id": pa.array(ids[:, 0]), "text_key": pa.array(ids[:, 1]), "held_out": held, "n_tokens": pa.array(n, pa.int64()), "n_known": pa.array(known, pa.int64()), "log_counts": base})
+def _sequences(column) -> list[np.ndarray]:
+    return [np.frombuffer(c.as_buffer(), np.uint16) for c in column]
 
 
+# ---- the model ----
 class Model:
-    """Classes of words, transition and emission probabilities of the states; everything of bounded size."""
-
-    def __init__(self, top: list[tuple[bytes, int]], total: np.ndarray, distinct: np.ndarray, n: int, seed: int = 3) -> None:
-        self.top = {w: i for i, (w, _) in enumerate(top)}
-        self.n_top = len(top)
-        size = self.n_top + HASHED
-        total, distinct = total.copy(), distinct.copy()
-        at = (_hash([w for w, _ in top]) >> np.uint64(20)) % np.uint64(HASHED) if top else np.zeros(0, np.uint64)
-        np.subtract.at(total, at.astype(int), [c for _, c in top])
-        np.subtract.at(distinct, at.astype(int), 1)
-        #: log10 of what divides a word's smoothed count in its class; a word that is a class has nothing to divide by.
-        self.inside = np.log10(total + ALPHA * (distinct + 1))
-        self.prior = np.concatenate([[c for _, c in top], total]) + ALPHA
-        self.prior /= self.prior.sum()
-        self.size = size
-        #: Training likelihood, log10 a token, before each round over all documents.
-        self.likelihood: list[float] = []
+    """Start, transition and emission probabilities of the states over the classes."""
+
+    def __init__(self, prior: np.ndarray, seed: int = 3) -> None:
+        self.prior, self.size = prior, len(prior)
         rng = np.random.default_rng(seed)
         self.start = np.full(STATES, 1 / STATES)
         self.move = np.full((STATES, STATES), 0.2 / STATES) + 0.8 * np.eye(STATES)
-        self.emit = self.prior * rng.uniform(0.5, 1.5, (STATES, size))
+        self.emit = prior * rng.uniform(0.5, 1.5, (STATES, self.size))
         self.emit /= self.emit.sum(1, keepdims=True)
-
-    def classes(self, ws: list[bytes]) -> np.ndarray:
-        """Class of every word of a text and of its end."""
-        get = self.top.get
-        out = np.fromiter(map(get, (*ws, END), repeat(-1)), np.int32, len(ws) + 1)
-        rest = np.flatnonzero(out < 0)
-        if len(rest):
-            ws = [*ws, END]
-            out[rest] = self.n_top + ((_hash([ws[i] for i in rest]) >> np.uint64(20)) % np.uint64(HASHED)).astype(np.int32)
-        return out
+        #: Training likelihood of the classes, log10 a token, before each round.
+        self.likelihood: list[float] = []
 
     def update(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> None:
         """Maximisation; the prior holds what a state has not seen."""
@@ -195,92 +177,98 @@ class Model:
         emit = emit + 200 * self.prior
         self.emit = emit / emit.sum(1, keepdims=True)
 
+    @staticmethod
+    def _batches(docs: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+        """Numbers of documents of like length, their lengths, and their classes by step, padded with 0."""
+        order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
+        k = 0
+        while k < len(order):
+            own = order[k : k + max(1, min(4096, CELLS // len(docs[order[k]])))]
+            k += len(own)
+            size = np.array([len(docs[i]) for i in own])
+            obs = np.zeros((size[0], len(own)), np.int32)
+            for j, i in enumerate(own):
+                obs[: size[j], j] = docs[i]
+            yield own, size, obs
+
+    def _ratio(self, kind) -> np.ndarray:
+        """Emission over prior by class: near one, so products of a few stay in range; what the prior says is added at the end."""
+        return np.ascontiguousarray((self.emit / self.prior).T.astype(kind))
+
     def forward(self, docs: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each class sequence, by the scaled recursion; longest first, so that all that still run are a prefix."""
-        out = np.zeros(len(docs))
-        order = np.argsort([-len(d) for d in docs], kind="stable")
-        size = np.array([len(docs[i]) for i in order])
-        flat = np.concatenate([docs[i] for i in order]) if len(docs) else np.zeros(0, np.int32)
-        first = np.cumsum(size) - size
-        emit = np.ascontiguousarray(self.emit.T)
-        a, log = np.broadcast_to(self.start, (len(docs), STATES)), np.zeros(len(docs))
-        alive = np.searchsorted(-size, -np.arange(size[0] if len(size) else 0), side="left")
-        run = np.ones(len(docs))
-        for t, n in enumerate(alive):
-            a = (a[:n] @ self.move if t else a[:n]) * emit[flat[first[:n] + t]]
-            s = a.sum(1)
-            a = a / s[:, None]
-            if t % 16 == 0:
-                log[: len(run)] += np.log10(run)
-                run = np.ones(n)
-            # products of 16 scales of about 1e-6 stay far above the smallest double
-            run[:n] *= s
-        log[: len(run)] += np.log10(run)
-        out[order] = log
+        """log10 probability of each class sequence, by the scaled recursion.
+
+        Padding emits with one from every state, and a state's moves sum to one, so it changes no sum.
+        """
+        out, ratio, log_prior, one = np.zeros(len(docs)), self._ratio(float), np.log10(self.prior), np.ones(STATES)
+        for own, size, obs in self._batches(docs):
+            there = np.arange(size[0])[:, None] < size
+            e = ratio[obs]
+            e[~there] = 1
+            a, b, log = e[0] * self.start, np.empty((len(own), STATES)), np.zeros(len(own))
+            for t in range(1, size[0]):
+                np.matmul(a, self.move, out=b)
+                b *= e[t]
+                a, b = b, a
+                if t % SCALED == 0:
+                    s = a @ one
+                    log += np.log10(s)
+                    a /= s[:, None]
+            out[own] = log + np.log10(a @ one) + np.where(there, log_prior[obs], 0).sum(0)
         return out
 
-    def expected(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Baum-Welch counts of whole documents: start, transitions, emissions."""
-        return self.counts(docs)[:3]
-
     def counts(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """Baum-Welch counts, and the log10 likelihood of the documents before the update."""
-        parts = sorted(docs, key=len, reverse=True)
+        """Baum-Welch counts of whole documents (start, transitions, emissions), and their log10 likelihood before the update.
+
+        Both recursions step together: forward through a document's classes, backward through them reversed, each
+        multiplied by the emissions, so that one product of matrices does for both. Scales cancel out in the posteriors.
+        """
+        kind = np.float32
         start, move, seen, log = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, self.size)), 0.0
-        emit = np.ascontiguousarray(self.emit.T)
-        k = 0
-        while k < len(parts):
-            own = parts[k : k + max(1, min(2048, CELLS // len(parts[k])))]
-            k += len(own)
-            size = np.array([len(p) for p in own])
-            obs = np.zeros((size[0], len(own)), np.int32)
-            for j, p in enumerate(own):
-                obs[: len(p), j] = p
-            alive = np.searchsorted(-size, -np.arange(size[0]), side="left")
-            alpha = np.empty((size[0], len(own), STATES))
-            scale = np.ones((size[0], len(own)))
-            a = np.broadcast_to(self.start, (len(own), STATES))
-            for t, n in enumerate(alive):
-                a = (a[:n] @ self.move if t else a[:n]) * emit[obs[t, :n]]
-                scale[t, :n] = a.sum(1)
-                a = a / scale[t, :n, None]
-                alpha[t, :n] = a
-            beta = np.ones((len(own), STATES))
-            gamma = np.zeros_like(alpha)
-            for t in range(size[0] - 1, -1, -1):
-                n = alive[t]
-                gamma[t, :n] = alpha[t, :n] * beta[:n]
-                if t:
-                    x = emit[obs[t, :n]] * beta[:n] / scale[t, :n, None]
-                    move += self.move * (alpha[t - 1, :n].T @ x)
-                    beta[:n] = x @ self.move.T
-            log += np.log10(scale).sum()
+        ratio, one, log_prior = self._ratio(kind), np.ones(STATES, kind), np.log10(self.prior)
+        both = np.stack([self.move, self.move.T]).astype(kind)
+        room = np.empty((3, 2 * max([CELLS, *map(len, docs)]) * STATES), kind)
+        for own, size, obs in self._batches(docs):
+            steps, n = obs.shape
+            there = np.arange(steps)[:, None] < size
+            e, w = (r[: 2 * steps * n * STATES].reshape(steps, 2, n, STATES) for r in room[:2])
+            flat = room[2][: steps * n * STATES].reshape(steps, n, STATES)
+            np.take(ratio, obs, axis=0, out=flat, mode="clip")
+            flat[~there] = 1
+            e[:, 0], e[:, 1] = flat, flat[::-1]
+            scale = np.ones((steps, n), kind)
+            w[0] = e[0]
+            w[0, 0] *= self.start.astype(kind)
+            for t in range(1, steps):
+                np.matmul(w[t - 1], both, out=w[t])
+                w[t] *= e[t]
+                if t % SCALED == 0:
+                    s = w[t] @ one
+                    scale[t] = s[0]
+                    w[t] /= s[:, :, None]
+            alpha, x = np.ascontiguousarray(w[:, 0]), np.ascontiguousarray(w[::-1, 1])
+            log += np.log10(scale).sum(dtype=float) + np.log10(alpha[-1] @ one).sum(dtype=float) + log_prior[obs[there]].sum()
+            gamma = np.divide(alpha, flat, out=flat)
+            gamma *= x
+            inverse = np.where(there, 1 / (gamma @ one), 0)
+            gamma *= inverse[:, :, None]
             start += gamma[0].sum(0)
-            at = obs.ravel()
+            x[1:] *= (inverse[1:] / scale[1:])[:, :, None]
+            move += self.move * (alpha[:-1].reshape(-1, STATES).T @ x[1:].reshape(-1, STATES))
+            at, weight = obs.ravel(), gamma.reshape(-1, STATES).T
             for s in range(STATES):
-                seen[s] += np.bincount(at, weights=gamma[:, :, s].ravel(), minlength=self.size)
+                seen[s] += np.bincount(at, weights=weight[s], minlength=self.size)
         return start, move, seen, log
 
 
-def _classes(model):
-    """Every document's classes, as bytes of int16; there are at most TOP_WORDS + HASHED."""
-
-    def task(batches):
-        m = model.value
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict({"classes": pa.array([m.classes(words_of(t.as_py())).astype(np.int16).tobytes() for t in batch.column(0)], pa.binary())})
-
-    return task
-
-
-def _counts(model):
+def _counts(held):
     """A task's expected counts: one row for each of the states' start and transition rows, one for the likelihood, and one for each class seen."""
 
     def task(batches):
-        m = model.value
+        m: Model = held.value
         start, move, seen, log = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, m.size)), 0.0
         for batch in batches:
-            s, v, e, x = m.counts([np.frombuffer(c.as_buffer(), np.int16) for c in batch.column(0)])
+            s, v, e, x = m.counts(_sequences(batch.column(0)))
             start, move, seen, log = start + s, move + v, seen + e, log + x
         used = np.flatnonzero(seen.sum(0))
         at = np.concatenate([[-2 - STATES, -1 - STATES], -1 - np.arange(STATES), used])
@@ -291,86 +279,67 @@ def _counts(model):
     return task
 
 
-def _scores(model):
-    def task(batches):
-        m = model.value
-        for rows in _blocks(batches):
-            classes = [m.classes(r[2]) for r in rows]
-            path = m.forward(classes)
-            flat = np.concatenate(classes)
-            own = flat >= m.n_top
-            doc = np.repeat(np.arange(len(rows)), [len(c) for c in classes])
-            inside = np.bincount(doc[own], weights=m.inside[flat[own] - m.n_top], minlength=len(rows))
-            # a word that is a class: its count is in log_counts, so it is taken out here
-            lone = np.bincount(doc[~own], weights=m.lone[flat[~own]], minlength=len(rows))
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array([r[0][0] for r in rows], pa.int64()), "text_key": pa.array([r[0][1] for r in rows], pa.int64()), "path": path - inside - lone})
-
-    return task
-
-
-def train(docs: DataFrame, counts: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_rounds: int = SAMPLE_ROUNDS, gain: float = GAIN) -> tuple[Model, int, int]:
-    """The model, N and V. docs: doc_id, held_out, text; counts: rows `words` of the buckets."""
-    top: list[tuple[bytes, int]] = []
-    total, distinct = np.zeros(HASHED), np.zeros(HASHED)
-    for row in counts.toLocalIterator():
-        t, n, d = pickle.loads(row["body"])
-        top = sorted([*top, *t], key=lambda x: (-x[1], x[0]))[:TOP_WORDS]
-        total, distinct = total + n, distinct + d
-    n, v = int(total.sum()), int(distinct.sum())
-    model = Model(top, total, distinct, n)
-    model.lone = np.log10(np.array([c for _, c in top]) + ALPHA)
-    rest = docs.where(~F.col("held_out"))
-    first = [words_of(r["text"]) for r in hashed_sample(rest, sample_docs, rest.count(), "doc_id", "text_key").select("text").collect()]
-    own = [model.classes(w) for w in first]
-    for _ in range(sample_rounds if own else 0):
-        model.update(*model.expected(own))
-    spark = docs.sparkSession
-    if not n:
-        return model, n, v
-    held = spark.sparkContext.broadcast(model)
-    written = cut(rest.select("text").mapInArrow(_classes(held), "classes binary"))
-    held.unpersist()
+def train(sequences: DataFrame, words: Words, gain: float = GAIN) -> Model:
+    """Baum-Welch over all rows of sequences (classes) until a round adds less than gain."""
+    model = Model(words.prior)
+    context = sequences.sparkSession.sparkContext
     columns = [f"s{k}" for k in range(STATES)]
     last = -np.inf
-    while True:
-        held = spark.sparkContext.broadcast(model)
-        got = written.mapInArrow(_counts(held), "at long, " + ", ".join(f"{c} double" for c in columns)).groupBy("at").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
+    while words.n:
+        held = context.broadcast(model)
+        # a row for each class and state: bounded by the model's size
+        got = sequences.mapInArrow(_counts(held), "at long, " + ", ".join(f"{c} double" for c in columns)).groupBy("at").agg(*(F.sum(c).alias(c) for c in columns)).toPandas()
         held.unpersist()
         at, value = got["at"].to_numpy(), got[columns].to_numpy()
-        start, move, emit = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, model.size))
-        start += value[at == -1 - STATES].sum(0)
+        move, emit = np.zeros((STATES, STATES)), np.zeros((STATES, model.size))
         for k in range(STATES):
             move[k] += value[at == -1 - k].sum(0)
         emit[:, at[at >= 0]] = value[at >= 0].T
-        model.update(start, move, emit)
-        now = float(value[at == -2 - STATES][0, 0]) / n
+        model.update(value[at == -1 - STATES].sum(0), move, emit)
+        now = float(value[at == -2 - STATES][0, 0]) / words.n
         model.likelihood.append(now)
         if now - last < gain:
             break
         last = now
-    return model, n, v
+    return model
+
+
+def _scores(held):
+    """row, ..., classes -> row, ..., path: the classes' log10 probability less what divides the words' counts in them."""
+
+    def task(batches):
+        model, inside = held.value
+        for batch in batches:
+            docs = _sequences(batch.column("classes"))
+            path = model.forward(docs) - np.array([inside[d].sum() for d in docs])
+            names = [c for c in batch.schema.names if c != "classes"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(path)], names=[*names, "path"])
+
+    return task
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
-    # rows that share an id stay apart by a hash of their text; rows that share both have one score
-    base = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("text_key"), F.coalesce(is_held_out(doc_id, modulus), F.lit(False)).alias("held_out"), F.col(text).alias("text"))
-    spark = docs.sparkSession
-    buckets = max(12, -(-docs.count() // 20_000))
-    posted = cut(base.mapInArrow(_postings(buckets), "block long, bucket int, body binary"))
-    counted = cut(posted.where("bucket >= 0").groupBy("bucket").applyInArrow(lambda key, t: _count_bucket(t), "kind string, block long, body binary"))
-    model, n, v = train(base, counted.where("kind = 'words'").select("body"))
-    sums = counted.where("kind = 'sums'").unionByName(posted.where("bucket < 0").select(F.lit("docs").alias("kind"), "block", "body"))
-    per_doc = sums.groupBy("block").applyInArrow(lambda key, t: _sum_block(t), "doc_id long, text_key long, held_out boolean, n_tokens long, n_known long, log_counts double")
-    held = spark.sparkContext.broadcast(model)
-    path = base.mapInArrow(_scores(held), "doc_id long, text_key long, path double").dropDuplicates(["doc_id", "text_key"])
-    norm = float(np.log10(n + ALPHA * (v + 1)))
-    return per_doc.join(path, ["doc_id", "text_key"]).select(
-        F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"),
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(is_held_out(doc_id, modulus), F.lit(False)).alias("held_out"), F.col(text).alias("text"))
+    context = docs.sparkSession.sparkContext
+    words, counts = count_words(base.where(~F.col("held_out")))
+    held = context.broadcast(words)
+    encoded = cut(base.mapInArrow(_encode(held), ENCODED))
+    held.unpersist()
+    model = train(encoded.where(~F.col("held_out")).select("classes"), words)
+    rare = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.times").join(counts, "word", "left")
+    log = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + F.lit(ALPHA))
+    rare = rare.groupBy("row").agg(F.sum(log).alias("rare_sum"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"))
+    own = encoded.select("row", "doc_id", "held_out", "n_tokens", "n_known", "known_sum", "classes")
+    path = own.mapInArrow(_scores(context.broadcast((model, words.inside))), "row long, doc_id long, held_out boolean, n_tokens long, n_known long, known_sum double, path double")
+    log_counts = F.col("known_sum") + F.coalesce("rare_sum", F.lit(0.0))
+    norm = float(np.log10(words.n + ALPHA * (words.v + 1)))
+    return path.join(rare, "row", "left").select(
+        "doc_id",
         "held_out",
         "n_tokens",
-        "n_known",
-        F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("log_counts") - F.col("n_tokens") * norm).alias("base_score"),
-        (F.col("path") + F.col("log_counts")).alias("score"),
+        (F.col("n_known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
+        F.lit(words.n).cast("long").alias("train_tokens"),
+        (log_counts - F.col("n_tokens") * norm).alias("base_score"),
+        (F.col("path") + log_counts).alias("score"),
     )
