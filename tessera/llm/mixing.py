@@ -1,24 +1,27 @@
 """Mixing sources to target weights: iterative proportional fitting, then sampling by calibrated probabilities.
 
-Tokens are counted by cell (source, language, topic). Raking scales the cells until the sums over each of the three
-margins meet their targets. A document's probability is its cell's factor times one common scale; the scale makes the
-expected tokens the wanted share of all tokens, or less where a cell would need a probability over one for that: the
-unweighted draw meets the targets at any `keep`, and `weight` is one. The draw is a hash of the id and the text, so a run
-repeats and a lost executor changes nothing.
-
-Only cells travel: one aggregation with map-side combine, so a source with a third of all rows is one row a task. Up to
-MAX_DRIVER_CELLS cells are fitted on the driver; beyond, the same rounds run as aggregations over the table of cells.
-
-Edge cases: null source or language is a value of its own; null or empty texts have one token, as every document has an
-end; targets that name no existing value are ignored and the rest is scaled to one; repeated rows share one draw; an
-empty table gives no rows; extra columns are carried along.
+Tokens are counted by cell (source, language, topic). Raking gives every value of a margin a factor, so that the sums over
+each of the three margins meet their targets; a cell's factor is the product of its three. A document's probability is its
+cell's factor times one common scale; the scale makes the expected tokens the wanted share of all tokens, or less where a
+cell would need a probability over one for that: the unweighted draw meets the targets at any `keep`, and `weight` is one.
+The draw is a hash of the id and the text, so a run repeats and a lost executor changes nothing.
+
+Only cells and the values of margins are raked, in Spark, by aggregations with map-side combine, so a source with a third
+of all rows is one row a task; the driver sees sums alone. Rounds go on until no factor moves by more than TOLERANCE, or
+ROUNDS times, where targets contradict each other.
+
+Edge cases: null source, language or topic is a value of its own; null or empty texts have one token, as every document
+has an end, and texts of any length are counted whole; targets of values that don't exist are left out; values that a
+margin's targets don't name share what these leave of one, by their tokens (nothing, if they sum up to one or more);
+targets that name no existing value and leave nothing are as if not given; ties don't arise, as each row is drawn by
+itself; repeated rows share one draw; an empty table gives no rows. sample_mix() returns the caller's columns as they
+were; mix() puts its own in place of columns with their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +30,10 @@ from .common import SPACE, cut
 MARGINS = ("source", "lang", "topic")
 #: A default target is a value's share of tokens to this power: large values shrink, small ones grow.
 TEMPERATURE = 0.7
-KEEP, ROUNDS, SEED, MAX_DRIVER_CELLS = 0.8, 30, "mix-1", 100_000
+KEEP, ROUNDS, TOLERANCE, SEED = 0.8, 50, 1e-6, "mix-1"
+NULL = "\0null"
+#: What the registered query and the pipeline mix to; sources keep the default.
+TARGETS = {"lang": {"en": 0.56, "de": 0.15, "fr": 0.15, "es": 0.12}, "topic": {"prose": 0.84, "markup": 0.12}}
 
 
 def default_topic(text: Column) -> Column:
@@ -41,96 +47,50 @@ def token_count(text: Column) -> Column:
     return (F.size(F.array_remove(F.split(text, SPACE), "")) + 1).cast("long")
 
 
-def _cells(docs: DataFrame, topic: Column | None) -> DataFrame:
-    t = F.coalesce(F.col("text"), F.lit(""))
-    # every name of ours is prefixed, so columns of docs can't clash
-    return docs.withColumns({"__tokens": token_count(t), "__topic": default_topic(t) if topic is None else topic, "__source": F.coalesce("source", F.lit("\0null")), "__lang": F.coalesce("lang", F.lit("\0null"))})
-
-
-def _targets(shares: dict[str, float], wanted: Mapping[str, float] | None) -> dict[str, float]:
-    if wanted:
-        got = {k: float(v) for k, v in wanted.items() if k in shares}
-        if got and sum(got.values()) > 0:
-            return {k: got.get(k, 0.0) / sum(got.values()) for k in shares}
-    raw = {k: v**TEMPERATURE for k, v in shares.items()}
-    return {k: v / sum(raw.values()) for k, v in raw.items()}
-
-
-def rake(values: list[np.ndarray], tokens: np.ndarray, targets: list[np.ndarray], rounds: int = ROUNDS) -> np.ndarray:
-    """Factor of every cell. values: each margin's index of each cell; targets: each margin's shares."""
-    factor = np.ones(len(tokens))
+def _counted(docs: DataFrame, topic: Column | None) -> DataFrame:
+    """row (all columns of docs), source, lang, topic, tokens; columns of docs can't clash with ours."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = {"source": F.col("source"), "lang": F.col("lang"), "topic": default_topic(text) if topic is None else topic}
+    return docs.select(F.struct("*").alias("row"), *(F.coalesce(v.cast("string"), F.lit(NULL)).alias(m) for m, v in key.items()), token_count(text).alias("tokens"))
+
+
+def goals(have: DataFrame, margin: str, given: Mapping[str, float] | None, total: float) -> DataFrame:
+    """margin, goal (tokens) for every value in have (margin, have)."""
+    usual = F.pow(F.col("have") / total, TEMPERATURE)
+    shares = have.select(margin, usual.alias("share"))
+    if given:
+        named = have.join(have.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], f"{margin} string, named double"), margin, "left")
+        unnamed = named.agg(F.sum(F.when(F.col("named").isNull(), F.col("have")))).head()[0] or 1
+        spare = max(0.0, 1 - sum(given.values()))
+        wanted = named.select(margin, F.coalesce("named", F.col("have") / unnamed * spare).alias("share"))
+        if wanted.agg(F.sum("share")).head()[0] > 0:
+            shares = wanted
+    whole = shares.agg(F.sum("share")).head()[0]
+    return shares.select(margin, (F.col("share") / whole * total).alias("goal"))
+
+
+def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
+    """cells (source, lang, topic, tokens) with their factor. The sums of tokens times factor over each margin are its goals."""
+    total = cells.agg(F.sum("tokens")).head()[0]
+    if not total:
+        return cells.withColumn("factor", F.lit(1.0))
+    goal = {m: cut(goals(cells.groupBy(m).agg(F.sum("tokens").alias("have")), m, targets.get(m), total)) for m in MARGINS}
+    by = {m: goal[m].select(m, F.lit(1.0).alias("by_" + m)) for m in MARGINS}
     for _ in range(rounds):
-        for at, want in zip(values, targets):
-            have = np.bincount(at, weights=factor * tokens, minlength=len(want))
-            factor *= np.divide(want * tokens.sum(), have, out=np.zeros(len(want)), where=have > 0)[at]
-    return factor
-
-
-def scale_for(factor: np.ndarray, tokens: np.ndarray, keep: float) -> float:
-    """Scale s at which sum(tokens * min(1, s * factor)) is keep of all tokens."""
-    low, high = 0.0, 1.0
-    while (tokens * np.minimum(1, high * factor)).sum() < keep * tokens[factor > 0].sum() and high < 1e12:
-        high *= 2
-    for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (mid, high) if (tokens * np.minimum(1, mid * factor)).sum() < keep * tokens.sum() else (low, mid)
-    return high
-
-
-def unclipped(scale: float, top: float) -> float:
-    """The scale, lowered so that the largest factor times it is at most one; clipping a cell would miss its targets."""
-    return min(scale, 1 / top) if top > 0 else scale
-
-
-def fit(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], keep: float) -> DataFrame:
-    """The cells with their factor times the scale, as column `want`."""
-    spark = cells.sparkSession
-    names = [f"__{m}" for m in MARGINS]
-    shares = {}
-    few = cells.limit(MAX_DRIVER_CELLS + 1).count() <= MAX_DRIVER_CELLS
-    if few:
-        rows = cells.collect()
-        if not rows:
-            return cells.select(*names, F.lit(1.0).alias("want"))
-        tokens = np.array([r["tokens"] for r in rows], float)
-        at, want = [], []
-        for m, n in zip(MARGINS, names):
-            keys = sorted({r[n] for r in rows})
-            place = {k: i for i, k in enumerate(keys)}
-            at.append(np.array([place[r[n]] for r in rows]))
-            have = np.bincount(at[-1], weights=tokens, minlength=len(keys))
-            shares = _targets(dict(zip(keys, have / tokens.sum())), targets.get(m))
-            want.append(np.array([shares[k] for k in keys]))
-        factor = rake(at, tokens, want)
-        s = unclipped(scale_for(factor, tokens, keep), factor.max())
-        return spark.createDataFrame([(*(r[n] for n in names), float(f * s)) for r, f in zip(rows, factor)], ", ".join(f"{n} string" for n in names) + ", want double")
-    cells = cut(cells.withColumn("want", F.lit(1.0)))
-    total = cells.agg(F.sum("tokens")).collect()[0][0]
-    goals = {}
-    for m, n in zip(MARGINS, names):
-        have = cells.groupBy(n).agg(F.sum("tokens").alias("have"))
-        given = targets.get(m)
-        if given:
-            share = F.coalesce(F.create_map(*(F.lit(x) for kv in given.items() for x in kv))[F.col(n)].cast("double"), F.lit(0.0))
-        else:
-            share = F.pow(F.col("have") / total, TEMPERATURE)
-        raw = have.select(n, share.alias("raw"))
-        whole = raw.agg(F.sum("raw")).head()[0]
-        goals[n] = cut(raw.select(n, (F.col("raw") / whole * total).alias("goal")))
-    for k in range(ROUNDS):
-        for n in names:
-            have = cells.groupBy(n).agg(F.sum(F.col("tokens") * F.col("want")).alias("have")).join(goals[n], n).select(n, F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(0.0).alias("by"))
-            cells = cells.join(have, n).withColumn("want", F.col("want") * F.col("by")).drop("by")
-        cells = cut(cells)
-    low, high = 0.0, 1.0
-    kept = lambda s: cells.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("want") * s))).collect()[0][0]
-    while kept(high) < keep * total and high < 1e9:
-        high *= 2
-    for _ in range(25):
-        mid = (low + high) / 2
-        low, high = (mid, high) if kept(mid) < keep * total else (low, mid)
-    s = unclipped(high, cells.agg(F.max("want")).head()[0] or 0.0)
-    return cells.select(*names, (F.col("want") * s).alias("want"))
+        moved = None
+        for m in MARGINS:
+            rest = [o for o in MARGINS if o != m]
+            mass = F.col("tokens") * F.col("by_" + rest[0]) * F.col("by_" + rest[1])
+            have = cells.join(by[rest[0]].select(rest[0], "by_" + rest[0]), rest[0]).join(by[rest[1]].select(rest[1], "by_" + rest[1]), rest[1]).groupBy(m).agg(F.sum(mass).alias("have"))
+            new = F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(0.0)
+            step = F.when(F.col("by_" + m) > 0, F.abs(new / F.col("by_" + m) - 1)).otherwise(0.0)
+            by[m] = cut(have.join(goal[m], m).join(by[m].select(m, "by_" + m), m).select(m, new.alias("by_" + m), step.alias("step")))
+            moved = by[m].select("step") if moved is None else moved.unionByName(by[m].select("step"))
+        if moved.agg(F.max("step")).head()[0] <= tolerance:
+            break
+    for m in MARGINS:
+        cells = cells.join(by[m].select(m, "by_" + m), m)
+    return cells.select(*MARGINS, "tokens", (F.col("by_source") * F.col("by_lang") * F.col("by_topic")).alias("factor"))
 
 
 def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
@@ -139,23 +99,26 @@ def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, keep: float = KEEP, topic: Column | None = None, seed: str = SEED) -> DataFrame:
-    """docs with `mix_topic`, `mix_tokens`, `mix_probability`, `mix_weight` and `mix_kept` for every row."""
-    counted = _cells(docs, topic)
-    names = [f"__{m}" for m in MARGINS]
-    cells = counted.groupBy(*names).agg(F.sum("__tokens").alias("tokens"))
-    fitted = fit(cut(cells), targets or {}, keep).withColumnRenamed("want", "__want")
-    p = F.least(F.lit(1.0), F.col("__want"))
-    out = counted.join(F.broadcast(fitted) if _small(fitted) else fitted, names)
-    kept = draw(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")), seed) < p
-    return out.withColumns({"mix_topic": F.col("__topic"), "mix_tokens": F.col("__tokens"), "mix_probability": p, "mix_weight": F.greatest(F.lit(1.0), F.col("__want")), "mix_kept": kept}).drop(*names, "__tokens", "__want")
+def _drawn(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None, keep: float, topic: Column | None, seed: str) -> DataFrame:
+    """row, topic, tokens, probability, kept for every row of docs."""
+    counted = _counted(docs, topic)
+    fitted = cut(rake(cut(counted.groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens"))), targets or {}))
+    sums = fitted.agg(F.sum("tokens").alias("all"), F.sum(F.col("tokens") * F.col("factor")).alias("raked"), F.max("factor").alias("top")).head()
+    # clipping a cell would miss its targets, so the largest factor times the scale is one at most
+    scale = min(keep * sums["all"] / sums["raked"], 1 / sums["top"]) if sums["raked"] else 1.0
+    fitted = fitted.select(*MARGINS, F.least(F.lit(1.0), F.col("factor") * scale).alias("probability"))
+    out = counted.join(fitted, [*MARGINS])
+    kept = draw(F.col("row.doc_id"), F.coalesce(F.col("row.text"), F.lit("")), seed) < F.col("probability")
+    return out.select("row", F.nullif("topic", F.lit(NULL)).alias("topic"), "tokens", "probability", kept.alias("kept"))
 
 
-def _small(fitted: DataFrame) -> bool:
-    """At most 10,000 cells, some hundred kB."""
-    return fitted.limit(10_001).count() <= 10_000
+def mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, keep: float = KEEP, topic: Column | None = None, seed: str = SEED) -> DataFrame:
+    """docs with `mix_topic`, `mix_tokens`, `mix_probability`, `mix_weight` and `mix_kept` for every row."""
+    own = {"mix_topic": F.col("topic"), "mix_tokens": F.col("tokens"), "mix_probability": F.col("probability"), "mix_weight": F.lit(1.0), "mix_kept": F.col("kept")}
+    held = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in own]
+    return _drawn(docs, targets, keep, topic, seed).select(*held, *(v.alias(k) for k, v in own.items()))
 
 
-def sample_mix(docs: DataFrame, **how) -> DataFrame:
+def sample_mix(docs: DataFrame, targets: Mapping[str, Mapping[str, float]] | None = None, keep: float = KEEP, topic: Column | None = None, seed: str = SEED) -> DataFrame:
     """The documents drawn, with the columns of docs."""
-    return mix(docs, **how).where("mix_kept").select(*(F.col(f"`{c}`") for c in docs.columns))
+    return _drawn(docs, targets, keep, topic, seed).where("kept").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))

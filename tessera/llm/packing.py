@@ -2,8 +2,10 @@
 
 Each task tokenises its rows and packs them as they come. A document longer than a sequence fills whole sequences first;
 what is left of it, at most the capacity, goes where the sum over levels h of N(h)^2 becomes least, N(h) being the number
-of open sequences filled up to h. The level array N and the open sequences are all the state. When the rows end, what the
-open sequences hold is poured together (cuts are free), so that one partly filled sequence a task is all the padding.
+of open sequences filled up to h. The level array N and at most OPEN open sequences are all the state: while that many are
+open, a document's first ids fill the fullest one (cuts are free), and only its rest is placed. When the rows end, the
+emptiest open sequences are poured into the gaps of the fullest, so that one partly filled sequence a task is all the
+padding, and the other pieces stay where they were placed.
 
 A task packs its own partition and derives sequence ids from the partition's number, so no shuffle is needed and a task
 that runs again gives the same rows: its input is a scan's split, read in the same order.
@@ -18,6 +20,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +31,8 @@ from pyspark.sql import functions as F
 CAPACITY = 2048
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: Sequences that a task holds open; 8 kB of ids each.
+OPEN = 1024
 #: Sequence ids of a task start at its partition's number times this.
 STRIDE = 1 << 36
 
@@ -39,58 +44,46 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Code points of which tokenizers and regex agree whether they are letters, numbers, white space or other; a test reads
+#: every one of them. Texts with others are encoded by the library as a whole.
+AGREED = "\0-\u0557\u05d0-\u05ea\u0621-\u064a\u0e01-\u0e30\u1e00-\u1f15\u2000-\u2060\u2070-\u2071\u20a0-\u20b5\u2100-\u214f\u2190-\u23ff\u2500-\u27bf\u3000-\u303f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f64f"
+
+
 class Encoder:
     """Token ids of a vocabulary file, as the tokenizers library gives them without added special tokens.
 
-    The file's byte-level BPE runs in tiktoken, which is several times faster on the same ranks; `check` compares both on
-    the first texts of a task, and texts that hold one of the file's special strings go to the tokenizers library.
+    The library encodes every different piece of a text once and pieces are looked up after that; it cuts texts into pieces
+    by the pattern of byte-level BPE, as regex does here. Any other kind of file, texts that hold one of the file's special
+    strings and texts with code points outside AGREED are encoded whole by the library.
     """
 
-    CHECKED = 16
+    #: Pieces that are remembered; beyond, the memory starts anew.
+    REMEMBERED = 300_000
 
-    def __init__(self, path: str, pattern: str | None = None) -> None:
+    def __init__(self, path: str) -> None:
+        import regex
         from tokenizers import Tokenizer
 
-        self.slow = Tokenizer.from_file(path)
-        self.seen, self.fast, self.special = 0, None, None
-        try:
-            self.fast, self.special = self._fast(path, pattern)
-        except (ImportError, KeyError, ValueError):  # not byte-level BPE: the library alone
-            self.fast = None
-
-    @staticmethod
-    def _fast(path: str, pattern: str | None):
-        import tiktoken
-
-        if pattern is None:
-            import public_tokenizers
-
-            pattern = public_tokenizers.PATTERN
+        self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        if spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec.get("normalizer"):
-            raise ValueError("not plain byte-level BPE")
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in set(shown)]
-        byte = {chr(c): b for c, b in [*((b, b) for b in shown), *((256 + k, b) for k, b in enumerate(rest))]}
-        added = {t["content"] for t in spec.get("added_tokens", [])}
-        ranks = {bytes(byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
-        special = re.compile("|".join(map(re.escape, sorted(added)))) if added else None
-        return tiktoken.Encoding("held", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), special
-
-    def _library(self, text: str) -> list[int]:
-        return self.slow.encode(text, add_special_tokens=False).ids
-
-    def __call__(self, text: str) -> np.ndarray:
-        if self.fast is None or (self.special is not None and self.special.search(text)):
-            return np.asarray(self._library(text), "<u4")
-        ids = self.fast.encode_ordinary(text)
-        if self.seen < self.CHECKED:
-            self.seen += 1
-            if ids != self._library(text):
-                self.fast = None
-                return np.asarray(self._library(text), "<u4")
-        return np.asarray(ids, "<u4")
+        before = spec.get("pre_tokenizer") or {}
+        plain = spec["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and not spec.get("normalizer") and not spec["model"].get("dropout")
+        #: The pattern of byte-level BPE, a fixed value.
+        self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall if plain else None
+        self.odd = re.compile("|".join([f"[^{AGREED}]", *(re.escape(t["content"]) for t in spec.get("added_tokens", []))]))
+        self.known: dict[str, list[int]] = {}
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        pieces = [None if self.cut is None or self.odd.search(t) else self.cut(t) for t in texts]
+        fresh = list({p for own in pieces if own is not None for p in own if p not in self.known})
+        if len(self.known) + len(fresh) > self.REMEMBERED:
+            self.known.clear()
+            fresh = list({p for own in pieces if own is not None for p in own})
+        for p, e in zip(fresh, self.library.encode_batch(fresh, add_special_tokens=False)):
+            self.known[p] = e.ids
+        get = self.known.__getitem__
+        return [np.asarray(self.library.encode(t, add_special_tokens=False).ids if own is None else list(chain.from_iterable(map(get, own))), "<u4") for t, own in zip(texts, pieces)]
 
 
 class SumOfSquares:
@@ -105,6 +98,22 @@ class SumOfSquares:
         self.next_id += 1
         return self.next_id - 1
 
+    def put(self, seq: int, level: int) -> None:
+        self.count[level] += 1
+        self.open[level].append(seq)
+
+    def _take(self, levels: np.ndarray, which: int) -> tuple[int, int]:
+        level = int(np.flatnonzero(levels)[which])
+        self.count[level] -= 1
+        return level, self.open[level].pop()
+
+    def take_fullest(self) -> tuple[int, int]:
+        """Level and id of a fullest open sequence, which leaves the array; there is one."""
+        return self._take(self.count, -1)
+
+    def take_emptiest(self) -> tuple[int, int]:
+        return self._take(self.count, 0)
+
     def place(self, size: int) -> tuple[int, int, bool]:
         """Sequence, offset in it, and whether it is full now. Ties go to the fullest level, then the latest sequence."""
         top = self.capacity - size
@@ -126,57 +135,93 @@ class SumOfSquares:
             level, seq = 0, self.new()
         full = level + size == self.capacity
         if not full:
-            n[level + size] += 1
-            self.open[level + size].append(seq)
+            self.put(seq, level + size)
         return seq, level, full
 
 
-def _pack(batches: Iterator[pa.RecordBatch], encode, capacity: int, end_id: int, first_id: int) -> Iterator[dict]:
-    state = SumOfSquares(capacity, first_id)
-    held: dict[int, list[tuple]] = {}  # pieces of sequences that are open
-    out: dict[str, list] = {}
+class Packer:
+    """Places documents and holds the ids of open sequences, of which there are at most `room`."""
 
-    def emit(doc, start, ids, total, seq, offset) -> None:
+    def __init__(self, capacity: int, end_id: int, first_id: int, room: int = OPEN) -> None:
+        self.state, self.capacity, self.end, self.room = SumOfSquares(capacity, first_id), capacity, np.uint32(end_id), room
+        self.held: dict[int, list[tuple]] = {}  # pieces of sequences that are open
+        self.out: dict[str, list] = {}
+
+    def _emit(self, doc, start, ids, total, seq, offset) -> None:
         for k, v in (("doc_id", doc), ("start", start), ("length", len(ids)), ("ids_crc32", zlib.crc32(ids.tobytes())), ("doc_tokens", total), ("sequence_id", seq), ("offset", offset)):
-            out.setdefault(k, []).append(v)
-
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            text = text.as_py()
-            ids = np.append(encode(text or ""), np.uint32(end_id)).astype("<u4")
-            total = len(ids)
-            whole = total - total % capacity
-            for at in range(0, whole, capacity):
-                emit(doc, at, ids[at : at + capacity], total, state.new(), 0)
-            if whole < total:
-                seq, offset, full = state.place(total - whole)
-                held.setdefault(seq, []).append((doc, whole, ids[whole:], total, offset))
-                if full:
-                    for d, start, part, n, off in held.pop(seq):
-                        emit(d, start, part, n, seq, off)
-        if out:
-            yield out
-            out = {}
-    seq, fill = None, 0
-    for s in sorted(held):  # poured together; only the last sequence stays partly filled
-        for d, start, part, n, _ in held[s]:
-            while len(part):
-                if seq is None or fill == capacity:
-                    seq, fill = state.new(), 0
-                take = min(len(part), capacity - fill)
-                emit(d, start, part[:take], n, seq, fill)
-                start, part, fill = start + take, part[take:], fill + take
-    if out:
-        yield out
-
-
-def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
-    """Pieces of the documents' token ids, each in one sequence (SCHEMA). path: a vocabulary file; default: the public one named."""
+            self.out.setdefault(k, []).append(v)
+
+    def _close(self, seq: int) -> None:
+        for d, start, part, n, offset in self.held.pop(seq):
+            self._emit(d, start, part, n, seq, offset)
+
+    def _fill_fullest(self, doc, start: int, ids: np.ndarray, total: int) -> int:
+        """Fill the fullest open sequence with the first of the ids, as far as they go; how many went."""
+        level, seq = self.state.take_fullest()
+        n = min(len(ids), self.capacity - level)
+        self.held[seq].append((doc, start, ids[:n], total, level))
+        if level + n == self.capacity:
+            self._close(seq)
+        else:
+            self.state.put(seq, level + n)
+        return n
+
+    def add(self, doc, ids: np.ndarray) -> None:
+        ids = np.append(ids, self.end).astype("<u4")
+        total, at = len(ids), 0
+        while total - at >= self.capacity:
+            self._emit(doc, at, ids[at : at + self.capacity], total, self.state.new(), 0)
+            at += self.capacity
+        while at < total and len(self.held) >= self.room:
+            at += self._fill_fullest(doc, at, ids[at:], total)
+        if at < total:
+            seq, offset, full = self.state.place(total - at)
+            self.held.setdefault(seq, []).append((doc, at, ids[at:], total, offset))
+            if full:
+                self._close(seq)
+
+    def finish(self) -> None:
+        """The emptiest open sequences are poured into the gaps of the fullest, until all but one are full."""
+        while len(self.held) > 1:
+            level, seq = self.state.take_emptiest()
+            rest = self.held.pop(seq)
+            while rest:
+                doc, start, ids, total, _ = rest.pop()
+                at = 0
+                while at < len(ids) and self.held:
+                    at += self._fill_fullest(doc, start + at, ids[at:], total)
+                if at < len(ids):  # every gap is full: what is left is the one partly filled sequence
+                    last, fill = self.state.new(), 0
+                    for d, s, part, n, _ in [(doc, start + at, ids[at:], total, 0), *rest]:
+                        self._emit(d, s, part, n, last, fill)
+                        fill += len(part)
+                    return
+        for seq in list(self.held):
+            self._close(seq)
+
+    def take(self) -> dict[str, list]:
+        out, self.out = self.out, {}
+        return out
+
+
+def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str = "byte_bpe_50k.json", room: int = OPEN) -> DataFrame:
+    """Pieces of the documents' token ids, each in one sequence (SCHEMA). path: a vocabulary file; default: the public one named; room: open sequences a task holds."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(path or vocabulary_path(vocabulary))
-        first = TaskContext.get().partitionId() * STRIDE
-        for out in _pack(batches, encode, capacity, end_id, first):
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in out.items()})
+        packer = Packer(capacity, end_id, TaskContext.get().partitionId() * STRIDE, room)
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            if packer.out:
+                yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.int64()) for k, v in packer.take().items()})
+
+        for whole in batches:
+            for a in range(0, whole.num_rows, 200):
+                batch = whole.slice(a, 200)
+                for doc, ids in zip(batch.column(0).to_pylist(), encode([t.as_py() or "" for t in batch.column(1)])):
+                    packer.add(doc, ids)
+                yield from rows()
+        packer.finish()
+        yield from rows()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(task, SCHEMA)

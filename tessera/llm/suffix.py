@@ -10,8 +10,12 @@ Different segments with one anchor may still share strings. Their earliest copie
 to one text each, whose Burrows-Wheeler transform is expanded breadth-first: from the interval of all suffixes, each
 round extends the intervals to the left by every byte that occurs in them, which gives the places between suffixes whose
 longest common prefix is 0, 1, 2, ... bytes, and stops at LENGTH. Places not reached by then join suffixes that share
-LENGTH bytes. The blocks are bounded because an anchor with more than CHUNK different segments is settled by grouping
-the hashes of its strings instead.
+LENGTH bytes. An anchor with more than CHUNK different segments is made finer until its blocks are small: the strings that
+have STEP more bytes to the right of it go by those, the others by STEP bytes to the left, and so on; equal strings stay
+together, as they have the anchor in the same place.
+
+That two segments are equal is known by 128 bits of hash (anchor and content), not by comparing them; strings in the
+transform and finer segments are compared byte by byte.
 
 Edge cases: a null text is empty; texts under LENGTH bytes lose nothing; rows that repeat an id and a text are one
 document; rows with equal ids and different texts are told apart by a hash of the text, and their order is by start,
@@ -31,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, mix, utf8
 
-LENGTH, ANCHOR = 100, 32
+LENGTH, ANCHOR, STEP = 100, 32, 16
 #: Different segments of one anchor that may meet in a block, and the segments aimed at in a block.
 CHUNK, BLOCK = 4096, 6000
 #: Starts of strings that are looked at together: their arrays fit a core's cache.
@@ -319,11 +323,42 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = z.decompress(body.as_py())
             for k in range(0, len(at), 10_000):
                 own = at[k : k + 10_000]
-                yield pa.RecordBatch.from_pydict({"anchor": pa.array([x["anchor"] for x in own], pa.int64()), "doc": pa.array([doc] * len(own), pa.int64()), "tie": pa.array([tie] * len(own), pa.int32()), "pos": pa.array([x["pos"] for x in own], pa.int64()), "part": pa.array([data[x["pos"] : x["pos"] + x["n"] + LENGTH - 1] for x in own], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"key": pa.array([x["key"] for x in own], pa.int64()), "doc": pa.array([doc] * len(own), pa.int64()), "tie": pa.array([tie] * len(own), pa.int32()), "pos": pa.array([x["pos"] for x in own], pa.int64()), "part": pa.array([data[x["pos"] : x["pos"] + x["n"] + LENGTH - 1] for x in own], pa.binary()), "core": pa.array([-1] * len(own), pa.int32()), "width": pa.array([ANCHOR] * len(own), pa.int32())})
+
+
+#: Segments with their bytes; core and width: where the bytes that all their strings hold are, or -1 for the anchor.
+PART = "key long, doc long, tie int, pos long, part binary, core int, width int"
 
 
-def _late(first: Column | str = "f") -> Column:
-    return (F.col("doc") != F.col(f"{first}.doc")) | (F.col("pos") != F.col(f"{first}.pos")) | (F.col("tie") != F.col(f"{first}.tie"))
+def finer(key: int, part: bytes, core: int, width: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """key, from, to, core, width of the pieces of a segment whose strings share more bytes: core and the next STEP bytes, or whole strings."""
+    import xxhash
+
+    if core < 0:
+        core = int(np.flatnonzero(_window_hashes(np.frombuffer(part, np.uint8))[0].view(np.int64) == key)[0])
+    low, end, count = key.to_bytes(8, "little", signed=True), core + width, len(part) - LENGTH + 1
+    number = lambda side, more: xxhash.xxh3_64_intdigest(low + side + more) - (1 << 63)
+    if width + 2 * STEP > LENGTH:
+        for k in range(count):
+            yield number(b"=", part[k : k + LENGTH]), k, k + LENGTH, 0, LENGTH
+        return
+    split = min(count, max(0, end + STEP - LENGTH))  # strings from here on have STEP bytes right of the core
+    if split < count:
+        yield number(b">", part[end : end + STEP]), split, len(part), core - split, width + STEP
+    if split:
+        yield number(b"<", part[core - STEP : core]), 0, split - 1 + LENGTH, core - STEP, width + STEP
+
+
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for a in range(0, whole.num_rows, 2000):
+            rows = [(k, d, t, p + x, body[x:y], c, w) for key, d, t, p, body, core, width in zip(*(c.to_pylist() for c in whole.slice(a, 2000).columns)) for k, x, y, c, w in finer(key, body, core, width)]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["key", "doc", "tie", "pos", "part", "core", "width"])
+
+
+def _late() -> Column:
+    return (F.col("doc") != F.col("f.doc")) | (F.col("pos") != F.col("f.pos")) | (F.col("tie") != F.col("f.tie"))
 
 
 def repeated_spans(base: DataFrame, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
@@ -335,30 +370,32 @@ def repeated_spans(base: DataFrame, chunk: int = CHUNK, block: int = BLOCK) -> D
     firsts = cut(found.groupBy("anchor", "content").agg(F.min(F.struct("doc", "pos", "tie", "n")).alias("f"), F.max("several").alias("several")))
     whole = found.drop("several").join(firsts.select("anchor", "content", "f"), ["anchor", "content"]).where(_late())
     spans = whole.select("doc", "tie", F.col("pos").alias("start"), (F.col("pos") + F.col("n") + (LENGTH - 1)).alias("stop"))
-    wanted = firsts.where("several").select("anchor", "f.doc", "f.tie", "f.pos", F.col("f.n").cast("long").alias("n"))
+    wanted = firsts.where("several").select(F.col("anchor").alias("key"), "f.doc", "f.tie", "f.pos", F.col("f.n").cast("long").alias("n"))
     total = wanted.count()
     if not total:
         return spans
-    by_doc = wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("anchor", "pos", "n")).alias("at"))
+    by_doc = wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("key", "pos", "n")).alias("at"))
     squeezed = base.mapInArrow(_squeeze, "doc long, tie int, z binary")
-    parts = squeezed.join(by_doc, ["doc", "tie"]).select("doc", "tie", "z", "at").mapInArrow(_slices, "anchor long, doc long, tie int, pos long, part binary")
-    hot = wanted.groupBy("anchor").count().where(F.col("count") > chunk).select("anchor", F.lit(True).alias("hot"))
-    hot = cut(hot)
-    any_hot = not hot.isEmpty()
-    if any_hot:
-        parts = cut(parts.join(hot, "anchor", "left"))
-        usual = parts.where("hot IS NULL").drop("hot")
-    else:
-        usual = parts
-    number = F.pmod(F.xxhash64("anchor"), F.lit(-(-total // block))).alias("block")
-    spans = spans.unionByName(usual.groupBy(number).applyInArrow(lambda key, t: _earlier(t), "doc long, tie int, start long, stop long"))
-    if any_hot:
-        each = parts.where("hot").select("doc", "tie", "pos", "part", F.explode(F.sequence(F.lit(0), F.octet_length("part") - LENGTH)).alias("k"))
-        each = cut(each.select("doc", "tie", (F.col("pos") + F.col("k")).alias("pos"), F.md5(F.substring("part", F.col("k") + 1, F.lit(LENGTH))).alias("string")))
-        first = each.groupBy("string").agg(F.min(F.struct("doc", "pos", "tie")).alias("f"), F.count("*").alias("c")).where("c > 1").drop("c")
-        late = each.join(cut(first), "string").where(_late())
-        spans = spans.unionByName(late.select("doc", "tie", F.col("pos").alias("start"), (F.col("pos") + LENGTH).alias("stop")))
-    return spans
+    parts = squeezed.join(by_doc, ["doc", "tie"]).select("doc", "tie", "z", "at").mapInArrow(_slices, PART)
+    small: DataFrame | None = None
+    while True:
+        hot = cut(wanted.groupBy("key").count().where(F.col("count") > chunk).select("key"))
+        if hot.isEmpty():
+            small = parts if small is None else small.unionByName(parts)
+            break
+        if small is None:
+            parts = cut(parts)
+        rest = parts.join(hot, "key", "left_anti")
+        small = rest if small is None else small.unionByName(rest)
+        rows = cut(parts.join(hot, "key", "left_semi").select("key", "doc", "tie", "pos", "part", "core", "width").mapInArrow(_finer, PART))
+        kinds = cut(rows.groupBy("key", "part").agg(F.min(F.struct("doc", "pos", "tie")).alias("f"), F.first("core").alias("core"), F.first("width").alias("width")))
+        late = rows.join(kinds.select("key", "part", "f"), ["key", "part"]).where(_late())
+        spans = spans.unionByName(late.select("doc", "tie", F.col("pos").alias("start"), (F.col("pos") + F.octet_length("part")).alias("stop")))
+        wanted = parts = kinds.select("key", "f.doc", "f.tie", "f.pos", "part", "core", "width")
+        total += parts.count()
+    number = F.pmod(F.xxhash64("key"), F.lit(-(-total // block))).alias("block")
+    blocks = small.select("key", "doc", "tie", "pos", "part").groupBy(number)
+    return spans.unionByName(blocks.applyInArrow(lambda key, t: _earlier(t), "doc long, tie int, start long, stop long"))
 
 
 def _merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -427,11 +464,11 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", chu
     """The rows of docs with what is left of their texts; characters cut apart go, and so do rows that lose everything."""
     base = _keyed(docs, doc_id, text)
     changed = cut(_with_spans(base, chunk, block).mapInArrow(_texts, "doc long, tie int, left string")).dropDuplicates(["doc", "tie"])
-    changed = changed.select(F.col("doc").alias("__doc"), F.col("tie").alias("__tie"), F.col("left").alias("__left"))
-    doc = F.coalesce(docs[doc_id].cast("long"), F.lit(NO_ID))
-    out = docs.join(changed, (doc == F.col("__doc")) & (F.hash(docs[text]) == F.col("__tie")), "left").where("__left IS NULL OR __left <> ''")
-    left = F.coalesce(F.col("__left"), F.col(f"`{text}`"))
-    columns = [left.alias(c) if c == text else F.char_length(left).cast(t).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c, t in docs.dtypes]
+    # the caller's columns travel in one struct, so none can clash with ours
+    held = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(f"`{doc_id}`").cast("long"), F.lit(NO_ID)).alias("doc"), F.hash(F.col(f"`{text}`")).alias("tie"))
+    out = held.join(changed, ["doc", "tie"], "left").where("left IS NULL OR left <> ''")
+    left = F.coalesce("left", F.col("row").getField(text))
+    columns = [left.alias(c) if c == text else F.char_length(left).cast(t).alias(c) if c == "n_chars" else F.col("row").getField(c).alias(c) for c, t in docs.dtypes]
     return out.select(*columns)
 
 

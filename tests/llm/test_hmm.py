@@ -128,7 +128,7 @@ def brute_scores(docs, gain):
     prior /= prior.sum()
     first = hmm.Model(prior)
     start, move, emit = first.start, first.move, first.emit
-    last = -math.inf
+    last, safe, rounds = -math.inf, None, 0
     while True:
         s, v, e, log = np.ones(hmm.STATES), np.ones((hmm.STATES,) * 2), 200 * np.tile(prior, (hmm.STATES, 1)), 0.0
         for ts in train:
@@ -149,11 +149,19 @@ def brute_scores(docs, gain):
                     b /= b.sum()
                 else:
                     s += g
-        start, move, emit = s / s.sum(), v / v.sum(1, keepdims=True), e / e.sum(1, keepdims=True)
         now = log / sum(count.values())
+        if now < last and safe is not None:
+            (start, move, emit), safe = safe, None
+            continue
+        old, (start, move, emit) = (start, move, emit), (s / s.sum(), v / v.sum(1, keepdims=True), e / e.sum(1, keepdims=True))
+        rounds += 1
         if now - last < gain:
             break
-        last = now
+        last, safe = now, None
+        if rounds > 2:
+            safe = start, move, emit
+            start, move, emit = (n**hmm.STRETCH / o ** (hmm.STRETCH - 1) for o, n in zip(old, safe))
+            start, move, emit = start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(1, keepdims=True)
     out = {}
     for d, ts in tokens.items():
         a, log = start * emit[:, of(ts[0])], 0.0

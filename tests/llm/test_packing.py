@@ -1,6 +1,8 @@
 import random
+import re
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from tokenizers import Tokenizer
@@ -75,14 +77,54 @@ def test_places_by_sum_of_squares():
                 levels[seq] = offset + size
 
 
-def test_encoders_agree():
+def test_encoder_is_the_library(sf_dir):
     e = packing.Encoder(packing.vocabulary_path("byte_bpe_50k.json"))
-    assert e.fast is not None
     rng = random.Random(3)
-    for _ in range(200):
-        text = "".join(rng.choices("aB é'st\n\t 12的😀<|endoftext|>", k=rng.randint(0, 60)))
-        assert e(text).tolist() == e.slow.encode(text, add_special_tokens=False).ids
-    assert e("a<|endoftext|>b").tolist() == e.slow.encode("a<|endoftext|>b", add_special_tokens=False).ids
+    texts = ["".join(rng.choices("aB é'st\n\t 12的😀ก߀\u0558<|endoftext|>", k=rng.randint(0, 60))) for _ in range(400)]
+    texts += ["a<|endoftext|>b", "\ud7a3\ufeff x\u00a0\u2028 y", "  lead", "trail \n "]
+    texts += [r for (r,) in duckdb.sql("SELECT coalesce(text, '') FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    e.REMEMBERED = 20_000
+    for a in range(0, len(texts), 100):
+        for text, got in zip(texts[a : a + 100], e(texts[a : a + 100])):
+            assert got.tolist() == e.library.encode(text, add_special_tokens=False).ids
+
+
+def test_agreed_code_points():
+    """Every code point of the fast way is cut off by both alike, after a letter, a number and another sign."""
+    e = packing.Encoder(packing.vocabulary_path("byte_bpe_50k.json"))
+    inside = re.compile(f"[{packing.AGREED}]")
+    agreed = [c for c in map(chr, range(0x110000)) if inside.match(c)]
+    assert len(agreed) > 35_000
+    for a in range(0, len(agreed), 50):
+        text = "".join(f"a{c}1{c}!{c}" for c in agreed[a : a + 50])
+        assert e.cut(text) == [text[x:y] for _, (x, y) in e.library.pre_tokenizer.pre_tokenize_str(text)]
+
+
+@pytest.mark.parametrize("room", [1, 3, 1024])
+def test_open_sequences_are_bounded(room):
+    rng = np.random.default_rng(2)
+    p = packing.Packer(64, 1, 0, room)
+    docs = {d: rng.integers(0, 50_000, rng.integers(0, 90)).astype("<u4") for d in range(300)}
+    rows = []
+    for d, ids in docs.items():
+        p.add(d, ids)
+        assert len(p.held) == p.state.count.sum() <= room
+        out = p.take()
+        rows += zip(*out.values()) if out else []
+    p.finish()
+    rows += list(zip(*p.take().values()))
+    fill, got = {}, {}
+    for d, start, n, crc, total, seq, offset in sorted(rows, key=lambda r: (r[5], r[6])):
+        assert fill.get(seq, 0) == offset
+        fill[seq] = offset + n
+        got.setdefault(d, []).append((start, n, crc, total))
+    assert sum(f < 64 for f in fill.values()) <= 1 and max(fill.values()) == 64
+    for d, ids in docs.items():
+        whole, at = np.append(ids, np.uint32(1)).astype("<u4"), 0
+        for start, n, crc, total in sorted(got[d]):
+            assert start == at and total == len(whole) and crc == zlib.crc32(whole[at : at + n].tobytes())
+            at += n
+        assert at == len(whole)
 
 
 @pytest.mark.parametrize("rows", [[], [(None, "a", 1, "x"), (1, "same", 1, "x"), (1, "same", 1, "x")]])

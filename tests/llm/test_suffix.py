@@ -45,12 +45,27 @@ def corpus(seed, n=60):
     return docs
 
 
-@pytest.mark.parametrize("how", [{}, {"chunk": 2, "block": 5}])
+@pytest.mark.parametrize("how", [{}, {"chunk": 1, "block": 5}, {"chunk": 1 << 60}])
 def test_against_all_strings(spark, how):
     docs = [*corpus(3), (1000, ""), (1001, None), (1002, "x" * 99), (1003, "x" * 100), (1004, "x" * 5000)]
     assert measured(spark, docs, **how) == brute([(d, (t or "").encode()) for d, t in docs])
 
 
+def test_finer_pieces_cover_every_string_once():
+    rng = random.Random(4)
+    data = "".join(rng.choices("ab", k=3000)).encode()
+    g = suffix.Segments([data])
+    todo = [(int(a), data[p : p + n + N - 1], -1, suffix.ANCHOR) for a, p, n in zip(g.anchor.view(np.int64).tolist(), g.pos.tolist(), g.n.tolist())]
+    while todo:
+        key, part, core, width = todo.pop()
+        pieces = list(suffix.finer(key, part, core, width))
+        assert sorted(k for _, x, y, _, _ in pieces for k in range(x, y - N + 1)) == list(range(len(part) - N + 1))
+        for k, x, y, c, w in pieces:
+            assert 0 <= c and c >= y - x - N and c + w <= N and w > width  # every string of the piece holds the core
+            if w < N:
+                todo.append((k, part[x:y], c, w))
+
+
 def test_order_of_ids_decides(spark):
     p = "".join(random.Random(1).choices("abcdefgh", k=300))
     got = measured(spark, [(5, "A" + p), (2, p + "B"), (9, p)])
@@ -123,7 +138,7 @@ def test_repeated_ids_and_null_ids(spark):
 
 def test_deduplicate(spark):
     p = "".join(random.Random(1).choices("abcdefgh", k=300))
-    schema = "doc_id long, text string, lang string, source string, n_chars long, doc int, tie int, pos int"
+    schema = "doc_id long, text string, lang string, source string, n_chars long, doc int, tie int, left int"
     rows = [(1, p, "en", "s", 300, 1, 2, 3), (2, "own é " + p + " end", None, None, 310, 1, 2, 3), (3, p, "en", "s", 300, 1, 2, 3), (4, None, "en", "s", None, 1, 2, 3), (5, "short", "en", "s", 5, 1, 2, 3)]
     df = spark.createDataFrame(rows, schema)
     out = suffix.deduplicate(df)
