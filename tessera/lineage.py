@@ -9,13 +9,17 @@ import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .errors import ConfigError
+
 _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of our own only where that is unset (tests, one machine)."""
+    """The folder of spark.checkpoint.dir; a folder of our own only where that is unset and all run on one machine (local masters)."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ConfigError("spark.checkpoint.dir is unset: executors and driver need a shared folder")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="tessera-checkpoint-")
