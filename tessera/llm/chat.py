@@ -1,12 +1,12 @@
 r"""Chat formatting (native: DataFrame functions only).
 
-A declarative template turns a conversation into text segments, each with a loss flag; a finite-state machine over the
-roles, folded through the turns, says whether their order is allowed. Control strings inside a text are kept apart by one
+A finite-state machine over the roles, declared by a template, is folded through a conversation's turns: it says whether
+their order is allowed, and in every state it comes to it emits the turn's text segments, each with a loss flag. Control strings inside a text are kept apart by one
 more backslash between `<` and `|` (`<|` becomes `<\|`, `<\|` becomes `<\\|`, ...), which unescape() takes away again.
 
 Edge cases: null text or role counts as empty; turns that share a number are ordered by role, then text; repeated rows
 are turns of their own; an unknown role makes the conversation invalid but is formatted all the same; a null conv_id is a
-conversation of its own; an empty table gives no rows. One conversation becomes one row, so its text has to fit Spark's
+conversation of its own; an empty table gives no rows; extra columns are not read, whatever their names. One conversation becomes one row, so its text has to fit Spark's
 limit of 2 GB a value; partial aggregation gathers its turns by map task before they meet.
 """
 
@@ -59,17 +59,22 @@ def unescape_role(role: Column) -> Column:
     return F.array_join(F.transform(F.split(unescape(role), r"\\\\"), lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
-def final_state(roles: Column, template: Template = CHATML) -> Column:
-    """State that the machine ends in; `error` absorbs."""
+def run_machine(roles: Column, template: Template = CHATML) -> Column:
+    """struct<states, valid>: the state after every turn, and whether every step was allowed.
 
-    def step(state: Column, role: Column) -> Column:
-        out = F.when(F.lit(False), F.lit("error"))
+    A role that the state has no edge for makes the order invalid; the machine goes on from that role's own state, so that
+    the turns after it are emitted as elsewhere.
+    """
+
+    def step(at: Column, role: Column) -> Column:
+        state = F.coalesce(F.get(at["states"], F.size(at["states"]) - 1), F.lit("begin"))
+        to = F.when(F.lit(False), F.lit(""))
         for a, edges in template.turns.items():
             for r, b in edges.items():
-                out = out.when((state == a) & (role == r), F.lit(b))
-        return out.otherwise(F.lit("error"))
+                to = to.when((state == a) & (role == r), F.lit(b))
+        return F.struct(F.concat(at["states"], F.array(F.coalesce(to, role))).alias("states"), (at["valid"] & to.isNotNull()).alias("valid"))
 
-    return F.aggregate(roles, F.lit("begin"), step)
+    return F.aggregate(roles, F.struct(F.array().cast("array<string>").alias("states"), F.lit(True).alias("valid")), step)
 
 
 def format_conversations(turns: DataFrame, template: Template = CHATML) -> DataFrame:
@@ -77,16 +82,19 @@ def format_conversations(turns: DataFrame, template: Template = CHATML) -> DataF
     part = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(part)).alias("turns"))
 
-    def segments(t: Column) -> Column:
+    def segments(t: Column, state: Column) -> Column:
+        """What the machine emits on coming to a state; text bears loss in the states of loss roles."""
         seg = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
         no = F.lit(False)
         return F.array(
             seg(F.concat(F.lit(template.start), escape_role(t["role"]), F.lit("\n")), no),
-            seg(escape(t["text"]), t["role"].isin(*template.loss_roles)),
+            seg(escape(t["text"]), state.isin(*template.loss_roles)),
             seg(F.lit(template.end + "\n"), no),
         )
 
-    cut = whole.select("conv_id", F.flatten(F.transform("turns", segments)).alias("segments"), final_state(F.transform("turns", lambda t: t["role"]), template).isin(*template.final).alias("valid"))
+    ran = whole.select("conv_id", "turns", run_machine(F.transform("turns", lambda t: t["role"]), template).alias("ran"))
+    valid = F.col("ran.valid") & F.element_at("ran.states", -1).isin(*template.final)
+    cut = ran.select("conv_id", F.flatten(F.transform("turns", lambda t, k: segments(t, F.get(F.col("ran.states"), k)))).alias("segments"), valid.alias("valid"))
     return cut.select("conv_id", "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "valid")
 
 

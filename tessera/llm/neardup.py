@@ -14,7 +14,8 @@ contraction of the links in Spark.
 
 Edge cases: texts without words, empty or null, have an empty set and link with nothing; texts of fewer words than a
 shingle have their whole sequence as the one shingle; a null id stays alone; repeated ids are one document; an empty
-table gives no rows; extra columns are not read by components() and are carried by deduplicate().
+table gives no rows; texts of any length are shingled whole; of equal sizes or counts the smaller id goes first; extra
+columns, whatever their names, are not read by components() and are carried by deduplicate().
 """
 
 from __future__ import annotations
@@ -231,6 +232,8 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     reps = cut(reps)
     banded = reps.select("doc_id", F.explode("bands").alias("key"))
     many = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("doc_id").alias("pivot")).where("size > 1")
+    # both sides of the join are written tables, so that a key with very many rows can be split
+    many = cut(many)
     members = cut(banded.join(many, "key").select("key", "size", "pivot", "doc_id"))
     wanted = members.select("doc_id").distinct()
     texts = cut(base.mapInArrow(_squeeze, "doc_id long, z binary").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
@@ -243,7 +246,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
     by_comp = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
     mixed = by_comp.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("largest"), F.sum("c").alias("size"), F.max("c").alias("most")).where("most < size")
     mixed = mixed.select("key", "largest", F.ceil(F.col("size") / CHUNK).cast("int").alias("nx"), F.ceil((F.col("size") - F.col("most")) / CHUNK).cast("int").alias("ny"))
-    rows = cut(placed.drop("size").join(mixed, "key"))
+    rows = cut(placed.drop("size").join(cut(mixed), "key"))
     whole = rows.join(reps.select("doc_id", "n", "sketch"), "doc_id").join(texts, "doc_id")
     part = lambda n, salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -263,8 +266,10 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", widt
 
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose id is the smallest of its component, with all their columns; of repeated ids all rows stay."""
-    gone = components(docs, doc_id, text, width, percent).where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[doc_id] == gone["__gone"], "left_anti")
+    gone = components(docs, doc_id, text, width, percent).where(~F.col("kept")).select("doc_id").distinct()
+    # the caller's columns travel in one struct, so none can clash with ours
+    held = docs.select(F.struct("*").alias("row"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"))
+    return held.join(gone, "doc_id", "left_anti").select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 #: components() with two-word shingles in SQL; pairs come from prefix filtering, which loses no link of 80 percent or more.

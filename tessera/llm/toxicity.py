@@ -10,7 +10,8 @@ document's strongest windows and descending (Adam) on those. Labels, language, s
 
 Edge cases: a null or empty text is one empty window and gets that window's score; a text shorter than a window is one
 padded window; a text of any length has all its windows scored; without labels of both classes every score is the share
-of toxic labels (0 without labels); repeated rows are scored one by one; an empty table gives no rows.
+of toxic labels (0 without labels); of labels that contradict each other the larger counts; a score of exactly 0.5 predicts
+1; repeated rows are scored one by one; an empty table gives no rows; extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -260,7 +261,7 @@ class Network:
 
 def train(docs: DataFrame, labels: DataFrame, modulus: int = 5, sample: dict[int, int] = SAMPLE, epochs: int = EPOCHS) -> Network:
     """A network fitted to at most sample[c] labelled documents of class c outside the held-out fold."""
-    free = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out("doc_id", modulus)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    free = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out("doc_id", modulus)).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     picked, total = None, {r["toxic"]: r["count"] for r in free.groupBy("toxic").count().collect() if r["toxic"] in sample}
     for c, n in sample.items():
         own = hashed_sample(free.where(F.col("toxic") == c), n, total.get(c, 0), "doc_id")

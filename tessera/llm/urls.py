@@ -2,13 +2,17 @@
 
 A rule names a host with its subdomains and a path prefix; the longest rule that fits decides. For urls without a rule
 the link graph decides: personalised PageRank flows from trusted hosts along host edges, distrust flows from blocked
-hosts against them, and a host is blocked where distrust is more than its share of the two. Rounds go on until no host is
-new and no score moves by more than TOLERANCE of itself; so hosts any number of links away are judged. `oracle` writes out
-a given number of rounds, as SQL of one statement does, and agrees where these suffice.
-
-Edge cases: a null url, or one without `://`, has an empty host and path and is allowed by default; a host without any
-evidence is allowed; self links and links to nowhere carry nothing; repeated pages are judged one by one; an empty table
-gives no rows. The rules are a short list (at most MAX_RULES), compiled into one CASE; nothing is broadcast by hand.
+hosts against them. Either walk leaves a host by its edges' shares in the walk's direction, and returns to its seeds from
+hosts without any; so both distribute one unit over the hosts, and a host is blocked where distrust is more than its share
+of the two. Rounds go on until no host is new and no score moves by more than TOLERANCE of itself; so hosts any number of
+links away are judged. `oracle` writes out a given number of rounds, as SQL of one statement does, and agrees where these
+suffice.
+
+Edge cases: a null url, or one without `://`, has an empty host and path and is allowed by default; a null html has no
+links, and one of any length is searched whole; a host without any evidence is allowed, and so is one with as much trust
+as distrust; of rules as long as each other a block wins; self links and links to nowhere carry nothing; repeated pages
+are judged one by one; an empty table gives no rows; columns other than page_id, url and html are not read, whatever their
+names. Rules may be any number; they are tried one after the other.
 """
 
 from __future__ import annotations
@@ -22,7 +26,6 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-MAX_RULES = 256
 #: Scores stand where every host's moves by at most this share of itself in a round.
 TOLERANCE = 1e-6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,28 +61,28 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Column, Column]:
     """Pattern and verdict of the longest rule that fits; null where none does. Of equal rules a block wins."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are compiled into a plan")
-    name: Column = F.when(F.lit(False), F.lit(""))
-    verdict: Column = F.when(F.lit(False), F.lit(""))
-    for r in sorted(rules, key=lambda r: (-len(r.pattern), r.verdict != "block", r.pattern)):
-        fits = ((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path)
-        name, verdict = name.when(fits, F.lit(r.pattern)), verdict.when(fits, F.lit(r.verdict))
-    return name, verdict
+    ordered = sorted(rules, key=lambda r: (-len(r.pattern), r.verdict != "block", r.pattern))
+    listed = F.array(*(F.struct(*(F.lit(v).alias(k) for k, v in (("host", r.host), ("path", r.path), ("pattern", r.pattern), ("verdict", r.verdict)))) for r in ordered))
+    first = F.get(F.filter(listed, lambda r: ((host == r["host"]) | host.endswith(F.concat(F.lit("."), r["host"]))) & path.startswith(r["path"])), F.lit(0))
+    return first["pattern"], first["verdict"]
 
 
 def host_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """src, dst, weight: the share of src's outgoing links that lead to dst. Counted per pair before anything is joined."""
+    """src, dst, n: how many links lead from one host to another. Counted per pair before anything is joined."""
     host, _ = split_url(F.col(url))
     links = pages.where(F.col(html).contains("//")).select(host.alias("src"), F.explode(F.regexp_extract_all(html, F.lit(LINK), 1)).alias("dst"))
-    counted = links.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
-    out = counted.groupBy("src").agg(F.sum("n").alias("total"))
-    return counted.join(out, "src").select("src", "dst", (F.col("n") / F.col("total")).alias("weight"))
+    return links.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).where("src <> '' AND dst <> '' AND src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float, damping: float, along: bool) -> DataFrame:
-    """host, score at the fixed point; seeds (host, score) sum up to one. along=False walks the edges backwards."""
+    """host, score at the fixed point, summing up to one as the seeds (host, score) do. along=False walks the edges backwards.
+
+    What hosts without edges hold goes back to the seeds. As that is a multiple of the seeds, it changes the fixed point by
+    a common factor only, which is set at the end.
+    """
     a, b = ("src", "dst") if along else ("dst", "src")
+    edges = edges.join(edges.groupBy(a).agg(F.sum("n").alias("total")), a).select(a, b, (F.col("n") / F.col("total")).alias("weight"))
+    edges = cut(edges)
     rank, restart = seeds, seeds.select("host", (F.col("score") * (1 - damping)).alias("score"))
     for k in count(1):
         flow = edges.join(rank, edges[a] == rank["host"]).select(F.col(b).alias("host"), (F.col("score") * F.col("weight") * damping).alias("score"))
@@ -92,7 +95,8 @@ def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float, damping: flo
         both = cut(both.groupBy("host").agg(F.sum("score").alias("score"), F.sum("before").alias("before")))
         rank = both.select("host", "score")
         if both.where(F.abs(F.col("score") - F.col("before")) > tolerance * F.col("score")).isEmpty():
-            return rank
+            whole = rank.agg(F.sum("score")).head()[0]
+            return rank.select("host", (F.col("score") / (whole or 1.0)).alias("score"))
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, tolerance: float = TOLERANCE, damping: float = 0.85, threshold: float = 0.5) -> DataFrame:
@@ -129,12 +133,12 @@ def oracle(rules: Sequence[Rule] = DEFAULT_RULES, rounds: int = 6, damping: floa
         "s AS (SELECT host, count(*) FILTER (WHERE by_rule = 'allow') AS good, count(*) FILTER (WHERE by_rule = 'block') AS bad FROM j WHERE rule IS NOT NULL GROUP BY host)",
         f"l AS (SELECT host AS src, {low('unnest(regexp_extract_all(html, ' + chr(39) + link + chr(39) + ', 1, ' + chr(39) + 'i' + chr(39) + '))')} AS dst FROM p)",
         "c AS (SELECT src, dst, count(*) AS n FROM l WHERE src <> '' AND dst <> '' AND src <> dst GROUP BY ALL)",
-        "e AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS weight FROM c)",
+        "e AS (SELECT src, dst, n / sum(n) OVER (PARTITION BY src) AS t_weight, n / sum(n) OVER (PARTITION BY dst) AS d_weight FROM c)",
         "t0 AS (SELECT host, good / (SELECT sum(good) FROM s) AS score FROM s WHERE good > 0)",
         "d0 AS (SELECT host, bad / (SELECT sum(bad) FROM s) AS score FROM s WHERE bad > 0)",
     ]
     for x, a, b in (("t", "src", "dst"), ("d", "dst", "src")):
         for k in range(rounds):
-            parts.append(f"{x}{k + 1} AS MATERIALIZED (SELECT host, sum(score) AS score FROM (SELECT {b} AS host, score * weight * {damping} AS score FROM e JOIN {x}{k} ON {a} = host UNION ALL SELECT host, score * {1 - damping} FROM {x}0) GROUP BY host)")
-    parts.append(f"b AS (SELECT host FROM (SELECT host, score AS t, 0 AS d FROM t{rounds} UNION ALL SELECT host, 0, score FROM d{rounds}) GROUP BY host HAVING sum(d) > {threshold} * (sum(t) + sum(d)))")
+            parts.append(f"{x}{k + 1} AS MATERIALIZED (SELECT host, sum(score) AS score FROM (SELECT {b} AS host, score * {x}_weight * {damping} AS score FROM e JOIN {x}{k} ON {a} = host UNION ALL SELECT host, score * {1 - damping} FROM {x}0) GROUP BY host)")
+    parts.append(f"b AS (SELECT host FROM (SELECT host, score / (SELECT sum(score) FROM t{rounds}) AS t, 0 AS d FROM t{rounds} UNION ALL SELECT host, 0, score / (SELECT sum(score) FROM d{rounds}) FROM d{rounds}) GROUP BY host HAVING sum(d) > {threshold} * (sum(t) + sum(d)))")
     return "WITH " + ",\n".join(parts) + "\nSELECT page_id, j.host, j.path, rule, coalesce(by_rule, CASE WHEN b.host IS NOT NULL THEN 'block' END, 'allow') AS verdict FROM j LEFT JOIN b USING (host)"

@@ -44,7 +44,7 @@ def test_order_does_not_change_verdicts(spark):
 
     def kept(order):
         w = quality.words(F.col("text"))
-        return {r["doc_id"] for r in df.where(quality.let(w, lambda x: quality.verdict(order, F.col("text"), x)).isNull()).collect()}
+        return {r["doc_id"] for r in df.where(quality.let(w, lambda x: quality.verdict(order, quality.Facts.of(F.col("text"), x))).isNull()).collect()}
 
     want = kept(rules)
     assert kept(rules[::-1]) == want == {r["doc_id"] for r in quality.filter_quality(df).collect()}

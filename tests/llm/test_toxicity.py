@@ -54,6 +54,57 @@ def test_labels_of_the_held_out_fold_are_not_used(spark):
     assert all((a.p[k] == b.p[k]).all() for k in a.p)
 
 
+def brute_score(net, text):
+    """One text's score, a word, a step and a window at a time."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    h = toxicity.HIDDEN
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def vector(word):
+        padded = b"<" + word + b">"
+        grams = [int.from_bytes(padded[i : i + 3], "big") for i in range(len(padded) - 2)]
+        grams += [int.from_bytes(padded[i : i + 4], "big") | 1 << 40 for i in range(len(padded) - 3)]
+        at = [(g * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 49 for g in grams]
+        known, odds = net.vocabulary.get(word, 0), net.gram_odds[at]
+        return np.concatenate([p["word"][known], sum(p["char"][a] for a in at) / np.sqrt(len(at)), [net.word_odds[known], odds.sum() / np.sqrt(len(at)), odds.max()]])
+
+    def read(words, which):
+        state, out = np.zeros(h), []
+        for w in words:
+            x, g = vector(w) @ p["w" + which] + p["b" + which], state @ p["u" + which]
+            z, r = sigmoid(x[:h] + g[:h]), sigmoid(x[h : 2 * h] + g[h : 2 * h])
+            state = z * state + (1 - z) * np.tanh(x[2 * h :] + r * g[2 * h :])
+            out.append(state)
+        return out
+
+    words, logits, a = words_of(text), [], 0
+    while True:
+        own = words[a : a + toxicity.WINDOW]
+        states = [np.concatenate(x) for x in zip(read(own, "f"), read(own[::-1], "b")[::-1])]
+        weight = np.exp([np.tanh(s @ p["at"]) @ p["av"] for s in states])
+        logits.append(sum(w * s for w, s in zip(weight, states)) @ p["out"] / weight.sum() + p["bias"][0])
+        a += toxicity.STRIDE
+        if a + toxicity.WINDOW - toxicity.STRIDE >= len(words):
+            return sigmoid(max(logits))
+
+
+def test_scores_against_plain_loops():
+    rows = planted(150, 3)
+    net = toxicity.Network().fit([words_of(t) for _, t, _ in rows], [y for *_, y in rows], epochs=2)
+    texts = [t for _, t, _ in planted(40, 9)] + ["one", "Grumblers unseenword", "w " * 25, "w " * 24, "x" * 400]
+    assert net.score([words_of(t) for t in texts]) == pytest.approx([brute_score(net, t) for t in texts], abs=1e-4)
+
+
+def test_contradicting_labels(spark):
+    """The larger label of an id counts, in whatever order the rows come."""
+    rows = planted(60)
+    docs = spark.createDataFrame([(d, t) for d, t, _ in rows], "doc_id long, text string")
+    labels = [(d, y) for d, _, y in rows]
+    twice = spark.createDataFrame(labels + [(d, 0) for d, _ in labels], "doc_id long, toxic int")
+    a, b = (toxicity.train(docs, x, epochs=1) for x in (spark.createDataFrame(labels, "doc_id long, toxic int"), twice.repartition(5)))
+    assert all((a.p[k] == b.p[k]).all() for k in a.p)
+
+
 def test_gradients():
     """Backpropagation against differences, in double precision."""
     net = toxicity.Network(3)

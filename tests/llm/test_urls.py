@@ -1,5 +1,4 @@
 import random
-from collections import defaultdict
 
 import numpy as np
 import pytest
@@ -42,8 +41,9 @@ def test_longest_rule_wins_and_blocks_win_ties(spark):
     rules = [Rule("allow", "x.y/"), Rule("block", "x.y/a"), Rule("allow", "x.y/ab"), Rule("block", "x.y/ab")]
     got = judged(spark, [("s://x.y/", None), ("s://x.y/ac", None), ("s://x.y/abc", None)], rules=rules)
     assert [got[i][3] for i in range(3)] == ["allow", "block", "block"]
-    with pytest.raises(ValueError):
-        urls.rule_of(None, None, [Rule("allow", "a/")] * 300)
+    many = [Rule("allow" if k % 2 else "block", f"h{k}.z/") for k in range(400)]
+    got = judged(spark, [("s://a.h7.z/", None), ("s://h398.z/p", None), ("s://h400.z/", None)], rules=many)
+    assert [got[i][2:] for i in range(3)] == [("h7.z/", "allow"), ("h398.z/", "block"), (None, "allow")]
 
 
 def link(*hosts):
@@ -54,28 +54,38 @@ def test_propagation_against_loops(spark):
     rules = [Rule("allow", "good/"), Rule("block", "bad/")]
     graph = {"good": ["a", "b", "b", "bad2"], "bad": ["c"], "a": ["b"], "c": ["bad"], "d": ["bad", "c"], "e": ["good"], "bad2": ["bad"], "b": []}
     pages = [(f"http://{h}/x", link(*out)) for h, out in graph.items()]
-    edges = {}
-    for h, out in graph.items():
-        for o in set(out) - {h}:
-            edges[h, o] = out.count(o) / len(out)
-
-    def walk(seeds, along):
-        rank = dict(seeds)
-        for _ in range(6):
-            new = defaultdict(float, {h: 0.15 * s for h, s in seeds.items()})
-            for (a, b), w in edges.items():
-                x, y = (a, b) if along else (b, a)
-                new[y] += 0.85 * w * rank.get(x, 0)
+    count = {(h, o): out.count(o) for h, out in graph.items() for o in set(out) - {h}}
+
+    def walk(seed, along):
+        """Plain rounds of a random walk over all hosts; what hosts without a way on hold goes back to the seed."""
+        ways = {h: {} for h in graph}
+        for (a, b), n in count.items():
+            ways[a if along else b][b if along else a] = n
+        rank = {h: float(h == seed) for h in graph}
+        for _ in range(300):
+            new = dict.fromkeys(graph, 0.0)
+            new[seed] += 0.15
+            for h, r in rank.items():
+                total = sum(ways[h].values())
+                for o, n in ways[h].items():
+                    new[o] += 0.85 * r * n / total
+                if not total:
+                    new[seed] += 0.85 * r
             rank = new
         return rank
 
-    trust, distrust = walk({"good": 1.0}, True), walk({"bad": 1.0}, False)
+    trust, distrust = walk("good", True), walk("bad", False)
+    assert sum(trust.values()) == pytest.approx(1) == pytest.approx(sum(distrust.values()))
+    edges = urls.host_edges(spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], SCHEMA)).cache()
+    for seed, along, want in (("good", True, trust), ("bad", False, distrust)):
+        scores = urls.propagate(edges, spark.createDataFrame([(seed, 1.0)], "host string, score double"), 1e-9, 0.85, along)
+        assert {r["host"]: r["score"] for r in scores.collect()} == pytest.approx({h: x for h, x in want.items() if x > 1e-12}, rel=1e-5)
     got = judged(spark, pages, rules=rules)
     for i, h in enumerate(graph):
         t, d = trust.get(h, 0), distrust.get(h, 0)
         want = "allow" if h == "good" else "block" if h == "bad" else "block" if d > 0.5 * (t + d) else "allow"
         assert got[i][3] == want, h
-    assert {"c", "d"} <= {h for i, h in enumerate(graph) if got[i][3] == "block"}
+    assert {"bad2", "d"} <= {h for i, h in enumerate(graph) if got[i][3] == "block"}
 
 
 def test_hosts_many_links_away(spark):
@@ -93,13 +103,14 @@ def test_scores_reach_the_fixed_point(spark):
     out = [[h for h in range(n) if h != k and rng.random() < 0.2] or [(k + 1) % n] for k in range(n)]
     pages = spark.createDataFrame([(k, f"http://h{k}/", link(*(f"h{h}" for h in to))) for k, to in enumerate(out)], SCHEMA)
     edges, seeds = urls.host_edges(pages).cache(), spark.createDataFrame([("h0", 0.7), ("h5", 0.3)], "host string, score double")
-    weight = np.zeros((n, n))
+    linked = np.zeros((n, n))
     for k, to in enumerate(out):
-        weight[k, to] = 1 / len(to)
+        linked[k, to] = 1
     start = np.zeros(n)
     start[[0, 5]] = 0.7, 0.3
-    for along, m in ((True, weight.T), (False, weight)):
-        want = np.linalg.solve(np.eye(n) - 0.85 * m, 0.15 * start)
+    for along, m in ((True, linked.T), (False, linked)):
+        want = np.linalg.solve(np.eye(n) - 0.85 * m / np.maximum(m.sum(0), 1), start)
+        want /= want.sum()
         got = {r["host"]: r["score"] for r in urls.propagate(edges, seeds, urls.TOLERANCE, 0.85, along).collect()}
         assert got == pytest.approx({f"h{k}": x for k, x in enumerate(want) if x > 0}, rel=1e-5)
 
@@ -110,7 +121,7 @@ def test_edge_cases(spark):
     page = ("http://a.com/x", link("a.com") + '<a href=//B.com/x><a href="/local"><a HREF=\'HTTPS://c.net\'>' + "x" * 200_000)
     rows = spark.createDataFrame([(1, *page, "h", "p"), (1, *page, "h", "p"), (None, None, None, "h", "p")], SCHEMA + ", host string, verdict string")
     assert urls.filter_urls(rows).count() == 3
-    assert {(r["src"], r["dst"], r["weight"]) for r in urls.host_edges(rows).collect()} == {("a.com", "b.com", 0.5), ("a.com", "c.net", 0.5)}
+    assert {(r["src"], r["dst"], r["n"]) for r in urls.host_edges(rows).collect()} == {("a.com", "b.com", 2), ("a.com", "c.net", 2)}
 
 
 def test_no_python_on_the_way(spark):
