@@ -6,9 +6,10 @@ cell's factor times one common scale; the scale makes the expected tokens the wa
 cell would need a probability over one for that: the unweighted draw meets the targets at any `keep`, and `weight` is one.
 The draw is a hash of the id and the text, so a run repeats and a lost executor changes nothing.
 
-Only cells and the values of margins are raked, in Spark, by aggregations with map-side combine, so a source with a third
-of all rows is one row a task; the driver sees sums alone. Rounds go on until no factor moves by more than TOLERANCE, or
-ROUNDS times, where targets contradict each other.
+Tokens are added up with map-side combine, so a source with a third of all rows is one row a task. Then every source is
+one row with its tokens by language and topic: a round sets the sources' factors there, in a scan, and sums what results
+by language and topic. Only these few sums go to the driver, which sets the factors of languages and topics by them.
+Rounds go on until no factor moves by more than TOLERANCE, or ROUNDS times, where targets contradict each other.
 
 Edge cases: null source, language or topic is a value of its own; null or empty texts have one token, as every document
 has an end, and texts of any length are counted whole; targets of values that don't exist are left out; values that a
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,43 +56,74 @@ def _counted(docs: DataFrame, topic: Column | None) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), *(F.coalesce(v.cast("string"), F.lit(NULL)).alias(m) for m, v in key.items()), token_count(text).alias("tokens"))
 
 
-def goals(have: DataFrame, margin: str, given: Mapping[str, float] | None, total: float) -> DataFrame:
-    """margin, goal (tokens) for every value in have (margin, have)."""
-    usual = F.pow(F.col("have") / total, TEMPERATURE)
-    shares = have.select(margin, usual.alias("share"))
+def _goals(have: Mapping[str, float], given: Mapping[str, float] | None) -> dict[str, float]:
+    """Share of every value of a margin; have: tokens by value."""
+    total = sum(have.values())
     if given:
-        named = have.join(have.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], f"{margin} string, named double"), margin, "left")
+        spare, unnamed = max(0.0, 1 - sum(given.values())), sum(n for v, n in have.items() if v not in given)
+        shares = {v: given[v] if v in given else n / unnamed * spare for v, n in have.items()}
+        if whole := sum(shares.values()):
+            return {v: x / whole for v, x in shares.items()}
+    shares = {v: (n / total) ** TEMPERATURE for v, n in have.items()}
+    return {v: x / sum(shares.values()) for v, x in shares.items()}
+
+
+def _source_goals(sources: DataFrame, given: Mapping[str, float] | None, total: float) -> DataFrame:
+    """sources (source, have, ...) with their goal in tokens, by the same rule as _goals()."""
+    shares = sources.withColumn("share", F.pow(F.col("have") / total, TEMPERATURE))
+    if given:
+        named = sources.join(sources.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], "source string, named double"), "source", "left")
         unnamed = named.agg(F.sum(F.when(F.col("named").isNull(), F.col("have")))).head()[0] or 1
-        spare = max(0.0, 1 - sum(given.values()))
-        wanted = named.select(margin, F.coalesce("named", F.col("have") / unnamed * spare).alias("share"))
+        wanted = named.withColumn("share", F.coalesce("named", F.col("have") / unnamed * max(0.0, 1 - sum(given.values())))).drop("named")
         if wanted.agg(F.sum("share")).head()[0] > 0:
             shares = wanted
     whole = shares.agg(F.sum("share")).head()[0]
-    return shares.select(margin, (F.col("share") / whole * total).alias("goal"))
+    return shares.withColumn("goal", F.col("share") / whole * total).drop("share")
 
 
 def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float]], tolerance: float = TOLERANCE, rounds: int = ROUNDS) -> DataFrame:
     """cells (source, lang, topic, tokens) with their factor. The sums of tokens times factor over each margin are its goals."""
-    total = cells.agg(F.sum("tokens")).head()[0]
-    if not total:
+    # languages x topics: a few hundred sums
+    pairs = [(r["lang"], r["topic"], float(r["tokens"])) for r in cells.groupBy("lang", "topic").agg(F.sum("tokens").alias("tokens")).orderBy("lang", "topic").collect()]
+    if not pairs:
         return cells.withColumn("factor", F.lit(1.0))
-    goal = {m: cut(goals(cells.groupBy(m).agg(F.sum("tokens").alias("have")), m, targets.get(m), total)) for m in MARGINS}
-    by = {m: goal[m].select(m, F.lit(1.0).alias("by_" + m)) for m in MARGINS}
+    total = sum(n for *_, n in pairs)
+    at, goal = [], []
+    for k, m in enumerate(MARGINS[1:]):
+        have: dict[str, float] = {}
+        for p in pairs:
+            have[p[k]] = have.get(p[k], 0.0) + p[2]
+        values = sorted(have)
+        at.append(np.array([values.index(p[k]) for p in pairs]))
+        share = _goals(have, targets.get(m))
+        goal.append(np.array([share[v] * total for v in values]))
+    numbered = cells.sparkSession.createDataFrame([(lang, topic, k) for k, (lang, topic, _) in enumerate(pairs)], "lang string, topic string, pair int")
+    sources = cells.join(numbered, ["lang", "topic"]).groupBy("source").agg(F.collect_list(F.struct("pair", "tokens")).alias("cells"), F.sum("tokens").alias("have"))
+    sources = cut(_source_goals(cut(sources), targets.get("source"), total))
+    by = [np.ones(len(g)) for g in goal]
+
+    def fitted() -> DataFrame:
+        """source, pair, tokens, factor with the sources' factors as those of languages and topics are now."""
+        g = F.array(*map(F.lit, (by[0][at[0]] * by[1][at[1]]).tolist()))
+        reached = F.aggregate("cells", F.lit(0.0), lambda s, c: s + c["tokens"] * F.get(g, c["pair"]))
+        own = sources.select("source", "cells", F.when(reached > 0, F.col("goal") / reached).otherwise(0.0).alias("by"))
+        return own.select("source", "by", F.explode("cells").alias("c")).select("source", "c.pair", "c.tokens", (F.col("by") * F.get(g, F.col("c.pair"))).alias("factor"))
+
     for _ in range(rounds):
-        moved = None
-        for m in MARGINS:
-            rest = [o for o in MARGINS if o != m]
-            mass = F.col("tokens") * F.col("by_" + rest[0]) * F.col("by_" + rest[1])
-            have = cells.join(by[rest[0]].select(rest[0], "by_" + rest[0]), rest[0]).join(by[rest[1]].select(rest[1], "by_" + rest[1]), rest[1]).groupBy(m).agg(F.sum(mass).alias("have"))
-            new = F.when(F.col("have") > 0, F.col("goal") / F.col("have")).otherwise(0.0)
-            step = F.when(F.col("by_" + m) > 0, F.abs(new / F.col("by_" + m) - 1)).otherwise(0.0)
-            by[m] = cut(have.join(goal[m], m).join(by[m].select(m, "by_" + m), m).select(m, new.alias("by_" + m), step.alias("step")))
-            moved = by[m].select("step") if moved is None else moved.unionByName(by[m].select("step"))
-        if moved.agg(F.max("step")).head()[0] <= tolerance:
+        mass = np.zeros(len(pairs))
+        for r in fitted().groupBy("pair").agg(F.sum(F.col("tokens") * F.col("factor")).alias("mass")).collect():
+            mass[r["pair"]] = r["mass"]
+        before = [b.copy() for b in by]
+        for _ in range(rounds):
+            for k in (0, 1):
+                reached = np.bincount(at[k], weights=mass, minlength=len(goal[k]))
+                step = np.divide(goal[k], reached, out=np.zeros(len(reached)), where=reached > 0)
+                by[k] *= step
+                mass *= step[at[k]]
+        moved = [np.abs(b[o > 0] / o[o > 0] - 1).max(initial=0) for b, o in zip(by, before)]
+        if max(moved) <= tolerance:
             break
-    for m in MARGINS:
-        cells = cells.join(by[m].select(m, "by_" + m), m)
-    return cells.select(*MARGINS, "tokens", (F.col("by_source") * F.col("by_lang") * F.col("by_topic")).alias("factor"))
+    return fitted().join(numbered, "pair").select(*MARGINS, "tokens", "factor")
 
 
 def draw(doc_id: Column, text: Column, seed: str = SEED) -> Column:
