@@ -83,21 +83,24 @@ def test_encoder_is_the_library(sf_dir):
     texts = ["".join(rng.choices("aB é'st\n\t 12的😀ก߀\u0558<|endoftext|>", k=rng.randint(0, 60))) for _ in range(400)]
     texts += ["a<|endoftext|>b", "\ud7a3\ufeff x\u00a0\u2028 y", "  lead", "trail \n "]
     texts += [r for (r,) in duckdb.sql("SELECT coalesce(text, '') FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()]
-    e.REMEMBERED = 20_000
-    for a in range(0, len(texts), 100):
-        for text, got in zip(texts[a : a + 100], e(texts[a : a + 100])):
-            assert got.tolist() == e.library.encode(text, add_special_tokens=False).ids
+    for text in texts:
+        assert e(text).tolist() == e.library.encode(text, add_special_tokens=False).ids
 
 
-def test_agreed_code_points():
-    """Every code point of the fast way is cut off by both alike, after a letter, a number and another sign."""
+def test_both_libraries_agree_on_the_vocabulary_and_its_code_points():
+    """Every token by itself and beside another, and every code point of the fast way after a letter, a number and another sign."""
     e = packing.Encoder(packing.vocabulary_path("byte_bpe_50k.json"))
     inside = re.compile(f"[{packing.AGREED}]")
     agreed = [c for c in map(chr, range(0x110000)) if inside.match(c)]
     assert len(agreed) > 35_000
-    for a in range(0, len(agreed), 50):
-        text = "".join(f"a{c}1{c}!{c}" for c in agreed[a : a + 50])
-        assert e.cut(text) == [text[x:y] for _, (x, y) in e.library.pre_tokenizer.pre_tokenize_str(text)]
+    texts = ["".join(f"a{c}1{c}!{c}" for c in agreed[a : a + 50]) for a in range(0, len(agreed), 50)]
+    tokens = [e.library.decode([i]) for i in range(e.library.get_vocab_size())]
+    tokens = [t for t in tokens if not e.odd.search(t)]
+    assert len(tokens) > 45_000
+    rng = random.Random(5)
+    texts += tokens + [a + b for a, b in zip(tokens, rng.sample(tokens, len(tokens)))]
+    for got, want in zip(map(e.fast.encode_ordinary, texts), e.library.encode_batch(texts, add_special_tokens=False)):
+        assert got == want.ids
 
 
 @pytest.mark.parametrize("room", [1, 3, 1024])
