@@ -100,6 +100,9 @@ class Engine:
                 tell(20, "compare")
                 out = self._full(root, files, token, tell) if not self.store.knows(root) or verdict == "truly_corrupted" else self._incremental(root, files, token, tell)
             finally:
+                # what this thread runs later is not the token's to cancel
+                for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+                    self.spark.sparkContext.setLocalProperty(name, None)
                 self.store._delete([work])
             self.hashes.clear_mark(root)
             self.hashes.save(self.config.cache.hash_cache_path)

@@ -41,11 +41,14 @@ def sliding_spans(text: Column, size: int, overlap: int) -> Column:
 
 
 def chunk_by(files: DataFrame, spans: Column) -> DataFrame:
-    """One row for each span that is not blank."""
+    """One row for each span that is not blank. Spans of the same lines, as of units that share a line, get ids of their own."""
     kept = F.filter(spans, lambda s: ~is_blank(s["content"]))
+    same = lambda a, b: (a["start_line"] == b["start_line"]) & (a["end_line"] == b["end_line"])
+    numbered = let(kept, lambda ks: F.transform(ks, lambda s, i: F.struct(s["start_line"].alias("start_line"), s["end_line"].alias("end_line"), s["content"].alias("content"), F.size(F.filter(F.slice(ks, F.lit(1), i), lambda o: same(o, s))).alias("nth"))))
     rest = [c for c in files.columns if c != "content"]
-    cut = files.select(*rest, F.inline(kept))
-    return cut.withColumn("chunk_id", chunk_id(F.col("root_path"), F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("file_hash")))
+    cut = files.select(*rest, F.inline(numbered))
+    plain = chunk_id(F.col("root_path"), F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("file_hash"))
+    return cut.withColumn("chunk_id", F.when(F.col("nth") > 0, F.concat_ws("-", plain, F.col("nth").cast("string"))).otherwise(plain)).drop("nth")
 
 
 def chunk_fixed(files: DataFrame, size: int = FALLBACK_LINES) -> DataFrame:

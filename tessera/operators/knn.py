@@ -45,15 +45,25 @@ def knn_batch(rows: DataFrame, queries: DataFrame, k: int, block: int = 1024, ke
 
         def task(batches, held=held):
             ids, q = held.value
+            best, keys = np.full((len(ids), 0), np.inf), np.full((len(ids), 0), None, object)
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 x = np.asarray(batch.column(1).flatten(), float).reshape(batch.num_rows, -1)
+                own, kind = np.array(batch.column(0).to_pylist(), object), batch.column(0).type
                 far = ((q**2).sum(1)[:, None] - 2 * q @ x.T) + (x**2).sum(1)[None]
-                n = min(k + 8, batch.num_rows)  # a few more, as rounding may swap the last
-                at = np.argpartition(far, n - 1, axis=1)[:, :n]
+                n = min(k, batch.num_rows)
+                # all within rounding of the k-th, so that equal distances are told apart by key below
+                edge = np.partition(far, n - 1, axis=1)[:, n - 1]
+                wide = int((far <= (edge + 1e-9 * (1 + np.abs(edge)))[:, None]).sum(1).max())
+                at = np.argpartition(far, wide - 1, axis=1)[:, :wide]
                 exact = ((x[at] - q[:, None]) ** 2).sum(2)
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(ids, n)), "key": batch.column(0).take(pa.array(at.ravel())), "distance": pa.array(exact.ravel())})
+                best, keys = np.concatenate([best, exact], 1), np.concatenate([keys, own[at]], 1)
+                order = np.array([sorted(range(best.shape[1]), key=lambda j, d=d, w=w: (d[j], w[j]))[:k] for d, w in zip(best, keys)])
+                best, keys = np.take_along_axis(best, order, 1), np.take_along_axis(keys, order, 1)
+            n = best.shape[1]
+            if n:
+                yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.repeat(ids, n)), "key": pa.array(keys.ravel().tolist(), kind), "distance": pa.array(best.ravel())})
 
         kind = dict(rows.dtypes)[key]
         found = rows.select(key, vector).mapInArrow(task, f"query_id {dict(queries.dtypes)['query_id']}, key {kind}, distance double")

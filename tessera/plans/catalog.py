@@ -131,11 +131,11 @@ def knn_root_filter(spark, sf_dir):
     return near.select("chunk_id", "root_path", F.round("vector_score", 6).alias("vector_score"))
 
 
-@query(f"""WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 50 = 0), x AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, list_sum(list_transform(range(1, 65), lambda i: (CAST(embedding[i] AS DOUBLE) - qv[i]) * (CAST(embedding[i] AS DOUBLE) - qv[i]))) AS d FROM q, embeddings e)
+@query(f"""WITH q AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 20 = 0), x AS (SELECT q.vec_id AS query_id, e.vec_id AS chunk_id, list_sum(list_transform(range(1, 65), lambda i: (CAST(embedding[i] AS DOUBLE) - qv[i]) * (CAST(embedding[i] AS DOUBLE) - qv[i]))) AS d FROM q, embeddings e)
 SELECT query_id, chunk_id, rank, round(d, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, chunk_id) AS rank FROM x) WHERE rank <= 5""")
 def knn_batch(spark, sf_dir):
     rows = corpus.vectors(spark, sf_dir)
-    asked = rows.where(F.col("chunk_id") % 50 == 0).select(F.col("chunk_id").alias("query_id"), "vector")
+    asked = rows.where(F.col("chunk_id") % 20 == 0).select(F.col("chunk_id").alias("query_id"), "vector")
     return knn.knn_batch(rows, asked, 5).withColumn("distance", F.round("distance", 6))
 
 
@@ -524,9 +524,9 @@ def visibility(spark, sf_dir):
     return corpus.files(spark, sf_dir).select("doc_id", lang.visibility(F.get(texts, (F.col("doc_id") % 6).cast("int"))).alias("visibility"))
 
 
-@query(f"WITH {FILES}, {LINES}, s AS (SELECT doc_id, trim(coalesce(ls[1], '')) AS s FROM l) SELECT doc_id, CASE WHEN strlen(s) <= 200 THEN s ELSE list_last(list_filter(list_transform(range(190, 201), lambda i: s[1:i]), lambda p: strlen(p) <= 200)) || '...' END AS signature FROM s WHERE regexp_full_match(s, '[ -~]*')")
+@query(f"WITH {FILES}, {LINES}, s AS (SELECT doc_id, trim(coalesce(ls[1], '')) AS s FROM l) SELECT doc_id, CASE WHEN strlen(s) <= 200 THEN s ELSE list_last(list_filter(list_transform(range(50, 201), lambda i: s[1:i]), lambda p: strlen(p) <= 200)) || '...' END AS signature FROM s")
 def signature_truncate(spark, sf_dir):
-    return corpus.files(spark, sf_dir).select("doc_id", T.signature(F.col("content")).alias("signature")).join(corpus.files(spark, sf_dir).where(F.trim(T.first_line(F.col("content"))).rlike("^[ -~]*$")).select("doc_id"), "doc_id")
+    return corpus.files(spark, sf_dir).select("doc_id", T.signature(F.col("content")).alias("signature"))
 
 
 @query(f"WITH {FILES}, {LINES}, x AS (SELECT file_path, unnest(range(1, len(ls) + 1)) AS line_no, trim(unnest(ls)) AS line FROM l) SELECT file_path, line_no FROM x WHERE len(list_filter(regexp_split_to_array(line, '\\s+'), lambda c: c <> '')) >= 3 AND (contains(line, chr(9)) OR contains(line, '  '))")
@@ -554,7 +554,7 @@ def first_per_name(spark, sf_dir):
 
 @query(f"WITH {SPANS} SELECT name, count(*) AS definitions, CAST(min(start_line) AS INTEGER) AS first_line FROM defs GROUP BY name")
 def definitions_by_name(spark, sf_dir):
-    return corpus.spans(spark, sf_dir).groupBy("name").agg(F.size(F.collect_list("def_id")).cast("long").alias("definitions"), F.min("start_line").alias("first_line"))
+    return corpus.spans(spark, sf_dir).groupBy("name").agg(F.count("def_id").alias("definitions"), F.min("start_line").alias("first_line"))
 
 
 @query(f"""WITH {FILES} SELECT doc_id, '{{"file_path":"' || file_path || '","language":"' || language || '","n_chars":' || length(content) || '}}' AS response FROM files""")

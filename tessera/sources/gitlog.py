@@ -107,10 +107,11 @@ def read(path: str, wanted: list[str]) -> Iterator[tuple]:
     """Rows of SCHEMA for the given hashes."""
     if not wanted:
         return
-    form = "--format=%x1e%H%x1f%P%x1f%an%x1f%ae%x1f%ct%x1f%B%x1f"
+    # NUL stands neither in names nor in messages, and files that hold it are binary to git, so no patch has it
+    form = "--format=%x00%H%x00%P%x00%an%x00%ae%x00%ct%x00%B%x00"
     text = git(path, "log", "--no-walk=unsorted", "--stdin", "--root", "-m", "--first-parent", "-p", "-U3", "--no-color", "--no-ext-diff", "--no-renames", form, text="\n".join(wanted) + "\n")
-    for block in text.split("\x1e")[1:]:
-        h, parents, name, email, when, message, patch = block.split("\x1f", 6)
+    fields = iter(text.split("\0")[1:])
+    for h, parents, name, email, when, message, patch in zip(*[fields] * 7, strict=True):
         files, diff = _patch(patch)
         yield h, _clean(message), _clean(name) or "Unknown", _clean(email), int(when), files, diff, parents.split()
 

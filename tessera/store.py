@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
+import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .errors import StoreError
+from .errors import StoreError, StoreUnavailable
 from .functions.text import tokens
 from .operators import stats
 
@@ -27,6 +30,9 @@ POSTINGS = "chunk_id string, term string, tf long, length long"
 COMMITS = CHUNKS + ", " + COMMIT_COLUMNS
 #: Folders of deleted chunks that a root may have before it is written anew.
 MAX_TOMBS = 8
+#: Seconds after which a claim on the manifest counts as left behind.
+STALE = 60
+_LOCKS: dict[str, threading.Lock] = {}
 FILES = "root_path string, file_path string, file_hash string"
 
 
@@ -73,6 +79,29 @@ class Store:
         options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         context.rename(self._fs.makeQualified(new), self._fs.makeQualified(place), options)
 
+    @contextmanager
+    def _edit(self) -> Iterator[dict]:
+        """The manifest, held alone from reading to writing: by a lock among threads, by a claim file among processes.
+
+        A claim is held for as long as the manifest takes to be written; one of over STALE seconds is left by a process that
+        ended meanwhile.
+        """
+        claim = self._at(f"{self.path}/manifest.claim")
+        with _LOCKS.setdefault(self.path, threading.Lock()):
+            until = time.monotonic() + 4 * STALE
+            while not self._fs.createNewFile(claim):
+                if time.monotonic() > until:
+                    raise StoreUnavailable(f"the manifest of {self.path} is held by another process")
+                if self._fs.exists(claim) and time.time() - self._fs.getFileStatus(claim).getModificationTime() / 1000 > STALE:
+                    self._fs.delete(claim, False)
+                time.sleep(0.05)
+            try:
+                manifest = self._load()
+                yield manifest
+                self._save(manifest)
+            finally:
+                self._fs.delete(claim, False)
+
     def _delete(self, folders: Sequence[str]) -> None:
         for f in folders:
             self._fs.delete(self._at(f), True)
@@ -80,12 +109,13 @@ class Store:
     # ---- lifecycle ----
     def initialize(self, dimension: int) -> None:
         """Create an empty store; an existing one stays, if its vectors have this length."""
-        manifest = self._load()
-        if manifest["version"] and manifest["dimension"] not in (None, dimension):
-            raise StoreError(f"the store holds vectors of length {manifest['dimension']}, not {dimension}")
-        if not manifest["version"]:
-            manifest["dimension"] = dimension
-            self._save(manifest)
+        held = self._load()
+        if not held["version"]:
+            with self._edit() as held:
+                if not held["version"]:
+                    held["dimension"] = dimension
+        if held["dimension"] not in (None, dimension):
+            raise StoreError(f"the store holds vectors of length {held['dimension']}, not {dimension}")
         self.dimension = dimension
 
     def flush(self) -> None:
@@ -127,20 +157,18 @@ class Store:
         part = self._write(root, chunks, commits)
         if part is None:
             return 0
-        manifest = self._load()
-        held = manifest["roots"].setdefault(key_of(root), self._fresh(root, commits))
-        held["parts"].append(part | {"seq": held["seq"]})
-        self._save(manifest)
+        with self._edit() as manifest:
+            held = manifest["roots"].setdefault(key_of(root), self._fresh(root, commits))
+            held["parts"].append(part | {"seq": held["seq"]})
         return part["chunks"]
 
     def replace(self, root: str, chunks: DataFrame, commits: bool = False) -> int:
         """Put chunks in place of all that the root has."""
         part = self._write(root, chunks, commits)
-        manifest = self._load()
-        old = manifest["roots"].pop(key_of(root), self._fresh(root, commits))
-        if part is not None:
-            manifest["roots"][key_of(root)] = self._fresh(root, commits) | {"parts": [part | {"seq": 0}]}
-        self._save(manifest)
+        with self._edit() as manifest:
+            old = manifest["roots"].pop(key_of(root), self._fresh(root, commits))
+            if part is not None:
+                manifest["roots"][key_of(root)] = self._fresh(root, commits) | {"parts": [part | {"seq": 0}]}
         self._delete([p["folder"] for p in old["parts"] + old["tombs"]])
         return 0 if part is None else part["chunks"]
 
@@ -157,17 +185,16 @@ class Store:
     def _change(self, root: str, dead: DataFrame, added: DataFrame | None) -> int:
         part = self._write(root, added, False) if added is not None else None
         tomb = self._bury(root, dead)
-        manifest = self._load()
-        held = manifest["roots"].setdefault(key_of(root), self._fresh(root, False))
-        held["seq"] += 1
-        if tomb is not None:
-            held["tombs"].append(tomb | {"seq": held["seq"]})
-        if part is not None:
-            held["parts"].append(part | {"seq": held["seq"]})
-        empty = not self._live(held)
-        if empty:
-            manifest["roots"].pop(key_of(root))
-        self._save(manifest)
+        with self._edit() as manifest:
+            held = manifest["roots"].setdefault(key_of(root), self._fresh(root, False))
+            held["seq"] += 1
+            if tomb is not None:
+                held["tombs"].append(tomb | {"seq": held["seq"]})
+            if part is not None:
+                held["parts"].append(part | {"seq": held["seq"]})
+            empty = not self._live(held)
+            if empty:
+                manifest["roots"].pop(key_of(root))
         if empty:
             self._delete([p["folder"] for p in held["parts"] + held["tombs"]])
         elif len(held["tombs"]) > MAX_TOMBS:
@@ -200,23 +227,21 @@ class Store:
         """Remember a root's files as they were indexed (root_path, file_path, file_hash): what the next run compares with."""
         folder = f"{self.path}/files/root_key={key_of(root)}/{uuid.uuid4().hex}"
         files.select("root_path", "file_path", "file_hash").write.parquet(folder)
-        manifest = self._load()
-        old = manifest["files"].get(key_of(root))
-        manifest["files"][key_of(root)] = folder
-        self._save(manifest)
+        with self._edit() as manifest:
+            old = manifest["files"].get(key_of(root))
+            manifest["files"][key_of(root)] = folder
         self._delete([old] if old else [])
 
     def clear(self) -> None:
-        manifest = self._load()
-        old = [p["folder"] for r in manifest["roots"].values() for p in r["parts"] + r["tombs"]] + [*manifest["files"].values()]
-        self._save(manifest | {"roots": {}, "files": {}})
+        with self._edit() as manifest:
+            old = [p["folder"] for r in manifest["roots"].values() for p in r["parts"] + r["tombs"]] + [*manifest["files"].values()]
+            manifest |= {"roots": {}, "files": {}}
         self._delete(old)
 
     def clear_root(self, root: str) -> None:
-        manifest = self._load()
-        old = manifest["roots"].pop(key_of(root), self._fresh(root, False))
-        state = manifest["files"].pop(key_of(root), None)
-        self._save(manifest)
+        with self._edit() as manifest:
+            old = manifest["roots"].pop(key_of(root), self._fresh(root, False))
+            state = manifest["files"].pop(key_of(root), None)
         self._delete([p["folder"] for p in old["parts"] + old["tombs"]] + ([state] if state else []))
 
     # ---- reading ----

@@ -188,6 +188,28 @@ def test_store(spark, tmp_path):
     assert store.chunks().count() == 0 and len(store.chunks().columns) == 12
 
 
+def test_roots_written_at_once_are_all_kept(spark, tmp_path):
+    Store(spark, str(tmp_path / "s")).initialize(1)
+    failed = []
+
+    def write(root):
+        store = Store(spark, str(tmp_path / "s"), 1)
+        rows = spark.createDataFrame([(root, "x", root, "p", 1, 1, "Rust", "rs", "h", 0, "text", [1.0])], "chunk_id string, file_path string, root_path string, project string, start_line int, end_line int, language string, extension string, file_hash string, indexed_at long, content string, vector array<float>")
+        try:
+            for _ in range(2):
+                store.append(root, rows)
+        except Exception as e:
+            failed.append(e)
+
+    threads = [threading.Thread(target=write, args=(f"/r{k}",)) for k in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    store = Store(spark, str(tmp_path / "s"))
+    assert not failed and {r: store.count(r) for r in store.roots()} == {f"/r{k}": 2 for k in range(4)} and store.version == 9
+
+
 def test_embedder(spark):
     e = HashingEmbedder(32)
     a, b = e.embed(["Some words here", ""])

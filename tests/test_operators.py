@@ -118,6 +118,24 @@ def test_knn(spark):
     assert got == {(1, 1): "a", (1, 2): "c", (2, 1): "b", (2, 2): "a"}
 
 
+def test_knn_batch_over_many_batches(spark):
+    """A task keeps k rows a query over all its batches, equal distances by key."""
+    rows = spark.range(500).select(F.col("id").alias("chunk_id"), F.array((F.col("id") % 50).cast("float"), F.lit(0.0).cast("float")).alias("vector")).coalesce(1)
+    asked = spark.createDataFrame([(7, [3.0, 0.0])], "query_id long, vector array<float>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = [(r["rank"], r["chunk_id"], r["distance"]) for r in knn.knn_batch(rows, asked, 4).orderBy("rank").collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(1, 3, 0.0), (2, 53, 0.0), (3, 103, 0.0), (4, 153, 0.0)]
+
+
+def test_units_on_one_line_have_ids_of_their_own(spark):
+    files = files_of(spark, ("a.js", "class A { m() { return 1; } }\nfunction f() { return 2; }\n"), ("b.rs", "impl X { fn a() {} fn b() {} }\n"))
+    ids = [r["chunk_id"] for r in chunking.chunk_hybrid(files).collect()]
+    assert len(ids) == len(set(ids)) > 3
+
+
 def _state(spark, rows):
     return spark.createDataFrame([("/r", f, h) for f, h in rows], "root_path string, file_path string, file_hash string")
 

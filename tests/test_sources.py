@@ -103,6 +103,19 @@ def test_commits(spark, repo):
     assert (n(since=1700001000), n(until=1700001000), n(since=1700001000, until=1700001000), n(most=1), n(branch="main")) == (2, 2, 1, 1, 3)
 
 
+def test_control_bytes_in_commits(spark, tmp_path):
+    run = lambda *a: subprocess.run(["git", "-c", "user.name=A", "-c", "user.email=a@x", *a], cwd=tmp_path, check=True, capture_output=True)
+    run("init", "-q", "-b", "main")
+    (tmp_path / "a.txt").write_bytes(b"one\x1etwo\x1fthree\n")
+    run("add", ".")
+    run("commit", "-q", "-m", "Bytes \x1e and \x1f\x1f in a message")
+    (tmp_path / "a.txt").write_bytes(b"other\n")
+    run("commit", "-qam", "Next")
+    rows = gitlog.commits(spark, str(tmp_path)).collect()
+    assert [r["message"] for r in rows] == ["Next\n", "Bytes \x1e and \x1f\x1f in a message\n"]
+    assert "+one\x1etwo\x1fthree" in rows[1]["diff_content"] and rows[0]["files_changed"] == rows[1]["files_changed"] == ["a.txt"]
+
+
 def test_repository(repo, tmp_path):
     assert gitlog.discover(str(repo / "inner" / "a.py")) == str(repo)
     assert gitlog.current_branch(str(repo)) == "main" and gitlog.has_commits(str(repo)) and gitlog.commit_count(str(repo)) == 3
