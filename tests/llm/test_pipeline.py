@@ -11,6 +11,7 @@ import numpy as np
 import __spark_entry__ as entry
 import corpus_pipeline
 from tessera.llm import mixing, packing, quality
+from test_mixing import brute as drawn
 from test_neardup import brute as components
 from test_packing import check
 from test_quality import brute as counts
@@ -86,8 +87,8 @@ def test_against_brute_force(spark, tmp_path):
     assert {d: r["text"] for d, r in deduplicated.items()} == want
     assert all(r["n_chars"] == len(r["text"]) for r in deduplicated.values())
     mixed = {r["doc_id"]: r["text"] for r in stages["mix_sources"].collect()}
-    again = {r["doc_id"] for r in mixing.mix(stages["suffix_dedup"]).where("mix_kept").collect()}
-    assert mixed.items() <= want.items() and set(mixed) == again
+    chances = drawn([(d, r["text"], r["lang"], r["source"]) for d, r in deduplicated.items()], mixing.TARGETS, mixing.KEEP)
+    assert mixed.items() <= want.items() and set(mixed) == {d for d, (_, kept) in chances.items() if kept}
     check(stages["pack_sequences"].collect(), list(mixed.items()), packing.CAPACITY)
     whole = sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
     assert {(d, s) for d, s, _, _ in whole if s == 0} == {(d, 0) for d in mixed}
