@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,12 @@ from ..functions import glob as globs
 from ..functions import language as lang
 from ..functions import pdf
 from ..functions import text as T
+from ..lineage import shared_dir
 from ..operators import chunking, fusion, keyword, knn, navigation, snapshot, stats
 from ..operators import commits as history
 from ..session import read_table
 from ..sources.definitions import definitions_of
+from ..store import Store
 from . import corpus
 from .corpus import COMMITS, FILES, SPANS
 
@@ -45,6 +48,14 @@ def oracle_sql() -> dict[str, str]:
 
 
 # ---- SQL pieces ----
+def _cut_sql(text: str, most: int, mark: str) -> str:
+    """The longest prefix of whole characters in `most` bytes, by trying the last four places in the text's hex digits."""
+    tries = ", ".join(f"try(decode(unhex(substr(hex({text}), 1, {2 * (most - k)}))))" for k in range(4))
+    return f"CASE WHEN strlen({text}) <= {most} THEN {text} ELSE coalesce({tries}) || {mark} END"
+
+
+QUOTED_DOTS = "'...'"
+CUT_SQL = "chr(10) || chr(10) || '[... content truncated for embedding ...]'"
 Q0 = "q AS (SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0)"
 L2 = "list_sum(list_transform(range(1, len(e.v) + 1), lambda i: (e.v[i] - q.v[i]) * (e.v[i] - q.v[i])))"
 VECS = f"{Q0}, vecs AS (SELECT vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS v, 'p' || label AS project FROM embeddings), dist AS (SELECT chunk_id, project, {L2} AS distance FROM vecs e, q)"
@@ -60,12 +71,12 @@ v AS (SELECT chunk_id, 1 / (1 + distance) AS vector_score, row_number() OVER (OR
 w AS (SELECT chunk_id, keyword_score, row_number() OVER (ORDER BY keyword_score DESC, chunk_id) AS rank FROM (SELECT doc_id AS chunk_id, keyword_score FROM bm ORDER BY keyword_score DESC, doc_id LIMIT 30)),
 f AS (SELECT chunk_id, sum(term) AS score, coalesce(max(vs), 0.0) AS vector_score, max(ks) AS keyword_score FROM
   (SELECT chunk_id, 1 / (60.0 + rank) AS term, vector_score AS vs, NULL AS ks FROM v UNION ALL SELECT chunk_id, 1 / (60.0 + rank), NULL, keyword_score FROM w) GROUP BY chunk_id),
-fused AS (SELECT * FROM f ORDER BY score DESC, chunk_id LIMIT 10)""".replace("FROM files), st AS", "FROM files WHERE doc_id IN (SELECT vec_id FROM embeddings)), st AS")
+fused AS (SELECT * FROM f ORDER BY score DESC, chunk_id LIMIT 10)"""
 
 
 def _hybrid(spark: SparkSession, sf_dir: str, limit: int = LIMIT) -> DataFrame:
     rows = corpus.chunks_with_vectors(spark, sf_dir)
-    near = knn.knn(rows, corpus.query_vector(spark, sf_dir), fusion.DEPTH * limit)
+    near = knn.knn(rows.where("vector IS NOT NULL"), corpus.query_vector(spark, sf_dir), fusion.DEPTH * limit)
     words = keyword.top(keyword.bm25(rows, TEXT), "keyword_score", fusion.DEPTH * limit)
     return fusion.hybrid(near, words, limit)
 
@@ -127,7 +138,7 @@ def knn_project_filter(spark, sf_dir):
 
 @query(f"WITH {FILES}, {VECS} SELECT chunk_id, root_path, round(1 / (1 + distance), 6) AS vector_score FROM dist JOIN files ON chunk_id = doc_id WHERE root_path = 'src0' ORDER BY distance, chunk_id LIMIT 10")
 def knn_root_filter(spark, sf_dir):
-    near = knn.knn(corpus.chunks_with_vectors(spark, sf_dir), corpus.query_vector(spark, sf_dir), LIMIT, where=F.col("root_path") == "src0")
+    near = knn.knn(corpus.chunks_with_vectors(spark, sf_dir), corpus.query_vector(spark, sf_dir), LIMIT, where=(F.col("root_path") == "src0") & F.col("vector").isNotNull())
     return near.select("chunk_id", "root_path", F.round("vector_score", 6).alias("vector_score"))
 
 
@@ -165,18 +176,36 @@ def bm25_avgdl100_clamped(spark, sf_dir):
 @query(f"""WITH {FILES}, {Q0}, {FLAT}, v AS (SELECT vec_id AS doc_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT v FROM q)) AS s FROM embeddings WHERE vec_id IN (SELECT doc_id FROM files) ORDER BY s DESC, doc_id LIMIT 30)
 SELECT doc_id AS chunk_id, round(0.7 * s + 0.3 * coalesce(keyword_score, 0), 6) AS score FROM v LEFT JOIN bf USING (doc_id) ORDER BY 0.7 * s + 0.3 * coalesce(keyword_score, 0) DESC, doc_id LIMIT 10""")
 def weighted_hybrid(spark, sf_dir):
-    rows = corpus.chunks_with_vectors(spark, sf_dir)
+    rows = corpus.chunks_with_vectors(spark, sf_dir).where("vector IS NOT NULL")
     words = keyword.bm25_flat(corpus.files(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id"), "the of blest")
     near = knn.knn_cosine(rows, corpus.query_vector(spark, sf_dir), 30)
     return fusion.weighted(near, words, LIMIT).select("chunk_id", F.round("score", 6).alias("score"))
 
 
+WANTED = "(ends_with(file_path, '.md') OR ends_with(file_path, '.txt')) AND language IN ('Markdown', 'Text') AND regexp_matches(file_path, '^(.*/)?src[12]/.*$')"
+FILTERED = HYBRID.replace("(SELECT doc_id FROM files)", f"(SELECT doc_id FROM files WHERE {WANTED})").replace("FROM bm ORDER BY", f"FROM bm WHERE doc_id IN (SELECT doc_id FROM files WHERE {WANTED}) ORDER BY")
+
+
+def _wanted():
+    path = F.col("file_path")
+    return (path.endswith(".md") | path.endswith(".txt")) & F.col("language").isin("Markdown", "Text") & globs.matches_any(path, ["src[12]/**"])
+
+
+@query(f"WITH {FILTERED} SELECT chunk_id, file_path, language, round(score, 9) AS score, round(vector_score, 6) AS vector_score, round(keyword_score, 6) AS keyword_score FROM fused JOIN files ON chunk_id = doc_id")
+def filtered_hybrid(spark, sf_dir):
+    """Hybrid search below filters on extension, language and path; the fused ids get their stored rows back."""
+    rows = corpus.chunks_with_vectors(spark, sf_dir)
+    kept = rows.where(_wanted())
+    near = knn.knn(kept.where("vector IS NOT NULL"), corpus.query_vector(spark, sf_dir), fusion.DEPTH * LIMIT)
+    words = keyword.bm25(rows, TEXT).join(kept.select("chunk_id"), "chunk_id", "left_semi")
+    fused = fusion.hybrid(near, keyword.top(words, "keyword_score", fusion.DEPTH * LIMIT), LIMIT)
+    return _shown(fused).join(corpus.files(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), "file_path", "language"), "chunk_id")
+
+
 @query(f"""WITH {FILES}, {BM25} SELECT doc_id, file_path, language, round(keyword_score, 6) AS keyword_score FROM bm JOIN files USING (doc_id)
-WHERE (ends_with(file_path, '.md') OR ends_with(file_path, '.txt')) AND language IN ('Markdown', 'Text') AND regexp_matches(file_path, '^(.*/)?src[12]/.*$') ORDER BY bm.keyword_score DESC, doc_id LIMIT 10""")
+WHERE {WANTED} ORDER BY bm.keyword_score DESC, doc_id LIMIT 10""")
 def filtered_ext_lang_glob(spark, sf_dir):
-    f = corpus.files(spark, sf_dir)
-    path = F.col("file_path")
-    wanted = (path.endswith(".md") | path.endswith(".txt")) & F.col("language").isin("Markdown", "Text") & globs.matches_any(path, ["src[12]/**"])
+    f, wanted = corpus.files(spark, sf_dir), _wanted()
     held = keyword.bm25(f, TEXT, "doc_id").join(f.where(wanted).select("doc_id", "file_path", "language"), "doc_id")
     return keyword.top(held, "keyword_score", LIMIT, "doc_id").select("doc_id", "file_path", "language", F.round("keyword_score", 6).alias("keyword_score"))
 
@@ -250,13 +279,36 @@ def root_key16(spark, sf_dir):
 LANG_CASE = "CASE lower(regexp_extract(file_path, '\\.([^./]+)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lang.LANGUAGES.items()) + " END"
 
 
-@query(f"WITH {FILES}, p AS (SELECT doc_id, 'a/b' || doc_id || '.' || ['rs', 'PY', 'tsx', 'h', 'hh', 'xyz', 'toml', 'org'][1 + CAST(doc_id % 8 AS INTEGER)] AS file_path FROM files) SELECT doc_id, {LANG_CASE} AS language FROM p")
+EXTENSIONS = [*sorted(lang.LANGUAGES), "xyz", "rs~"]
+NODES = [*sorted(lang.KIND_OF_NODE), "comment"]
+
+
+def _one_of(values: list[str], key: str = "doc_id"):
+    return F.get(F.array(*(F.lit(x) for x in values)), (F.col(key) % len(values)).cast("int"))
+
+
+def _list_sql(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][1 + CAST(doc_id % {len(values)} AS INTEGER)]"
+
+
+@query(f"WITH {FILES}, p AS (SELECT doc_id, 'a/b' || doc_id || '.' || CASE WHEN doc_id % 2 = 1 THEN upper(e) ELSE e END AS file_path FROM (SELECT doc_id, {_list_sql(EXTENSIONS)} AS e FROM files)) SELECT doc_id, {LANG_CASE} AS language FROM p")
 def detect_language(spark, sf_dir):
-    exts = F.array(*(F.lit(x) for x in ("rs", "PY", "tsx", "h", "hh", "xyz", "toml", "org")))
-    path = F.concat(F.lit("a/b"), F.col("doc_id").cast("string"), F.lit("."), F.get(exts, (F.col("doc_id") % 8).cast("int")))
+    """Every extension of the table, in both cases, and two that are in none."""
+    ext = _one_of(EXTENSIONS)
+    path = F.concat(F.lit("a/b"), F.col("doc_id").cast("string"), F.lit("."), F.when(F.col("doc_id") % 2 == 1, F.upper(ext)).otherwise(ext))
     return corpus.files(spark, sf_dir).select("doc_id", lang.language_of(T.extension(path)).alias("language"))
 
 
+KIND_CASE = "CASE n " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in lang.KIND_OF_NODE.items()) + " ELSE 'unknown' END"
+
+
+@query(f"WITH {FILES}, p AS (SELECT doc_id, {_list_sql(NODES)} AS n FROM files) SELECT doc_id, n AS node, kind, replace(kind, '_', ' ') AS display_name FROM (SELECT doc_id, n, {KIND_CASE} AS kind FROM p)")
+def symbol_kinds(spark, sf_dir):
+    """The kind of every node kind, and its name for people."""
+    made = corpus.files(spark, sf_dir).select("doc_id", _one_of(NODES).alias("node"))
+    return made.withColumn("kind", lang.symbol_kind(F.col("node"))).withColumn("display_name", lang.display_name(F.col("kind")))
+
+
 @query("WITH u AS (SELECT page_id, '/site/' || regexp_replace(coalesce(url, ''), '^[a-z]+://', '') AS path FROM pages) SELECT page_id, substr(path, 7) AS relative_path, nullif(regexp_extract(regexp_extract(path, '([^/]*)$', 1), '^.+\\.([^.]+)$', 1, 's'), '') AS extension FROM u")
 def paths(spark, sf_dir):
     path = F.concat(F.lit("/site/"), F.regexp_replace(F.coalesce("url", F.lit("")), "^[a-z]+://", ""))
@@ -393,12 +445,26 @@ DOC = """doc AS (SELECT *, 'Commit Message:' || chr(10) || message || chr(10) ||
   || CASE WHEN diff_content <> '' THEN 'Diff:' || chr(10) || diff_content ELSE '' END AS content FROM commits)"""
 
 
-@query(f"WITH {COMMITS}, {DOC} SELECT hash, sha256(content) AS content_hash, 'git:///repo' AS file_path, 'git-commit' AS language, commit_date AS indexed_at FROM doc")
-def commit_document(spark, sf_dir):
-    c = history.commit_chunks(corpus.commits(spark, sf_dir), "/repo", most=1 << 30)
+def _document_sql(most: int) -> str:
+    return f"WITH {COMMITS}, {DOC} SELECT hash, sha256({_cut_sql('content', most, CUT_SQL)}) AS content_hash, 'git:///repo' AS file_path, 'git-commit' AS language, commit_date AS indexed_at FROM doc"
+
+
+def _document(spark, sf_dir, most):
+    c = history.commit_chunks(corpus.commits(spark, sf_dir), "/repo", most=most)
     return c.select(F.col("chunk_id").alias("hash"), F.sha2("content", 256).alias("content_hash"), "file_path", "language", "indexed_at")
 
 
+@query(_document_sql(history.DOCUMENT_BYTES))
+def commit_document(spark, sf_dir):
+    return _document(spark, sf_dir, history.DOCUMENT_BYTES)
+
+
+@query(_document_sql(600))
+def commit_document_cut(spark, sf_dir):
+    """The same with a length that most of these commits exceed."""
+    return _document(spark, sf_dir, 600)
+
+
 @query(f"WITH {COMMITS} SELECT hash, author_name, author_email FROM commits")
 def author_parse(spark, sf_dir):
     c = corpus.commits(spark, sf_dir)
@@ -406,10 +472,10 @@ def author_parse(spark, sf_dir):
     return c.select("hash", name.alias("author_name"), email.alias("author_email"))
 
 
-@query(f"WITH {COMMITS} SELECT hash, sha256(message) AS message_hash, author_name, author_email, array_to_string(files_changed, ',') AS files FROM commits")
+@query(f"WITH {COMMITS} SELECT hash, sha256(message) AS message_hash, author_name, author_email, array_to_string(files_changed, ',') AS files, {_cut_sql('diff_content', history.SNIPPET_BYTES, QUOTED_DOTS)} AS snippet FROM commits")
 def commit_reparse(spark, sf_dir):
-    c = corpus.commits(spark, sf_dir).select("hash", history.commit_text(1 << 30).alias("content")).select("hash", history.reparse(F.col("content")).alias("r"))
-    return c.select("hash", F.sha2("r.message", 256).alias("message_hash"), "r.author_name", "r.author_email", F.array_join("r.files_changed", ",").alias("files"))
+    c = corpus.commits(spark, sf_dir).select("hash", history.commit_text().alias("content")).select("hash", history.reparse(F.col("content")).alias("r"))
+    return c.select("hash", F.sha2("r.message", 256).alias("message_hash"), "r.author_name", "r.author_email", F.array_join("r.files_changed", ",").alias("files"), "r.snippet")
 
 
 @query(f"WITH {COMMITS} SELECT hash, commit_date FROM commits WHERE commit_date BETWEEN 1704067200 AND 1713000000")
@@ -417,11 +483,13 @@ def date_filter(spark, sf_dir):
     return history.dated(corpus.commits(spark, sf_dir), 1_704_067_200, 1_713_000_000).select("hash", "commit_date")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE CAST(epoch(o_orderdate) AS BIGINT) END AS seconds FROM orders")
+@query("SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) + CASE o_orderkey % 6 WHEN 2 THEN NULL WHEN 3 THEN 3723 WHEN 4 THEN -5400 WHEN 5 THEN 28800 ELSE 0 END AS seconds FROM orders")
 def date_parse(spark, sf_dir):
+    """Epoch seconds, days, timestamps at UTC and at offsets from it, and what is no date."""
     o = read_table(spark, sf_dir, "orders")
-    stamp = F.col("o_orderdate").cast("timestamp")
-    text = F.when(F.col("o_orderkey") % 3 == 0, F.unix_seconds(stamp).cast("string")).when(F.col("o_orderkey") % 3 == 1, F.date_format(stamp, "yyyy-MM-dd")).otherwise(F.lit("invalid"))
+    stamp, kind = F.col("o_orderdate").cast("timestamp"), F.col("o_orderkey") % 6
+    day = F.date_format(stamp, "yyyy-MM-dd")
+    text = F.when(kind == 0, F.unix_seconds(stamp).cast("string")).when(kind == 1, day).when(kind == 3, F.concat(day, F.lit("T01:02:03Z"))).when(kind == 4, F.concat(day, F.lit("T00:00:00+01:30"))).when(kind == 5, F.concat(day, F.lit("T00:00:00-08:00"))).otherwise(F.lit("invalid"))
     return o.select("o_orderkey", history.parse_date(text).alias("seconds"))
 
 
@@ -455,21 +523,22 @@ REFKIND = """CASE WHEN contains(lower(line), 'import ') OR contains(lower(line),
   WHEN contains(before, ':') OR contains(before, '->') OR contains(before, '<') THEN 'type_reference' ELSE 'read' END"""
 
 
-@query(f"WITH x AS (SELECT page_id, html AS line, substr(html, 1, strpos(html, 'class') - 1) AS before, substr(html, strpos(html, 'class') + 5) AS after FROM pages WHERE contains(html, 'class')) SELECT page_id, {REFKIND} AS kind FROM x")
+@query(f"WITH p AS (SELECT page_id, html AS line, string_split(html, 'class') AS ps FROM pages), x AS (SELECT page_id, line, i, array_to_string(ps[1:i], 'class') AS before, array_to_string(ps[i + 1:], 'class') AS after FROM (SELECT *, unnest(range(1, len(ps))) AS i FROM p)) SELECT page_id, CAST(i AS INTEGER) AS nth, {REFKIND} AS kind FROM x")
 def reference_kind(spark, sf_dir):
-    p = read_table(spark, sf_dir, "pages").where(F.col("html").contains("class"))
-    line, at = F.col("html"), F.instr("html", F.lit("class"))
-    return p.select("page_id", lang.reference_kind(line, F.substr(line, F.lit(1), at - 1), F.substr(line, at + 5)).alias("kind"))
+    """What every `class` of a page is, by the text around it."""
+    p = read_table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("line"), F.split("html", "class").alias("ps")).where(F.size("ps") > 1)
+    p = p.withColumn("nth", F.explode(F.sequence(F.lit(1), F.size("ps") - 1)))
+    before, after = F.array_join(F.slice("ps", F.lit(1), F.col("nth")), "class"), F.array_join(F.slice("ps", F.col("nth") + 1, F.size("ps")), "class")
+    return p.select("page_id", "nth", lang.reference_kind(F.col("line"), before, after).alias("kind"))
 
 
-DEFS = "d AS (SELECT DISTINCT file_path, name, 1 + (length(name) % 3) AS a, 3 + (length(name) % 3) AS b FROM ident WHERE length(name) >= 9 AND line_no <= 2)"
+DEFS = "d AS (SELECT file_path, name, min(line_no) AS a, min(line_no) + 2 AS b FROM ident GROUP BY file_path, name)"
 
 
 def _word_definitions(spark, sf_dir):
-    """The long words of the first two lines of a file, as if defined over lines 1 to 5."""
-    found = navigation.occurrences(corpus.files(spark, sf_dir)).where((F.char_length("name") >= 9) & (F.col("line_no") <= 2)).select("file_path", "name").distinct()
-    shift = F.char_length("name") % 3
-    return found.select("file_path", "name", (1 + shift).alias("start_line"), (3 + shift).alias("end_line"), F.lit(0).alias("pre"), F.concat_ws(":", F.lit("def"), "file_path", "name").alias("def_id"))
+    """Every identifier as if defined where its file has it first, over three lines."""
+    found = navigation.occurrences(corpus.files(spark, sf_dir)).groupBy("file_path", "name").agg(F.min("line_no").alias("start_line"))
+    return found.select("file_path", "name", "start_line", (F.col("start_line") + 2).alias("end_line"), F.lit(0).alias("pre"), F.concat_ws(":", F.lit("def"), "file_path", "name").alias("def_id"))
 
 
 @query(f"""WITH {IDENT}, {DEFS}, f AS (SELECT name, first('def:' || file_path || ':' || name ORDER BY file_path) AS target_id FROM d GROUP BY name)
@@ -492,6 +561,13 @@ def definition_at_position(spark, sf_dir):
     return navigation.definition_at(corpus.spans(spark, sf_dir), "42", 21).select("def_id", "name", "start_line", "end_line")
 
 
+@query(f"WITH {SPANS} SELECT def_id, name, start_line % 13 AS start_col FROM defs WHERE file_path = '42' AND 21 BETWEEN start_line AND end_line AND start_line % 13 <= 5 ORDER BY pre LIMIT 1")
+def definition_at_column(spark, sf_dir):
+    """As above, among definitions that start at or before the column."""
+    spans = corpus.spans(spark, sf_dir).withColumn("start_col", F.col("start_line") % 13)
+    return navigation.definition_at(spans, "42", 21, 5).select("def_id", "name", "start_col")
+
+
 @query(f"""WITH {SPANS}, calls AS (SELECT CAST(l_orderkey AS VARCHAR) AS file_path, CAST(l_linenumber * 11 AS INTEGER) AS line_no, 'f' || l_partkey AS callee FROM lineitem)
 SELECT c.file_path, c.line_no, callee, first(def_id ORDER BY pre) AS caller FROM (SELECT DISTINCT * FROM calls) c JOIN defs ON defs.file_path = c.file_path AND c.line_no BETWEEN start_line AND end_line GROUP BY 1, 2, 3""")
 def callers_range_join(spark, sf_dir):
@@ -524,15 +600,40 @@ def visibility(spark, sf_dir):
     return corpus.files(spark, sf_dir).select("doc_id", lang.visibility(F.get(texts, (F.col("doc_id") % 6).cast("int"))).alias("visibility"))
 
 
-@query(f"WITH {FILES}, {LINES}, s AS (SELECT doc_id, trim(coalesce(ls[1], '')) AS s FROM l) SELECT doc_id, CASE WHEN strlen(s) <= 200 THEN s ELSE list_last(list_filter(list_transform(range(50, 201), lambda i: s[1:i]), lambda p: strlen(p) <= 200)) || '...' END AS signature FROM s")
+@query(f"WITH {FILES}, {LINES}, s AS (SELECT doc_id, trim(coalesce(ls[1], '')) AS s FROM l) SELECT doc_id, {_cut_sql('s', 200, QUOTED_DOTS)} AS signature FROM s")
 def signature_truncate(spark, sf_dir):
     return corpus.files(spark, sf_dir).select("doc_id", T.signature(F.col("content")).alias("signature"))
 
 
-@query(f"WITH {FILES}, {LINES}, x AS (SELECT file_path, unnest(range(1, len(ls) + 1)) AS line_no, trim(unnest(ls)) AS line FROM l) SELECT file_path, line_no FROM x WHERE len(list_filter(regexp_split_to_array(line, '\\s+'), lambda c: c <> '')) >= 3 AND (contains(line, chr(9)) OR contains(line, '  '))")
+CUTS = {"chunk": (8000, ""), "document": (history.DOCUMENT_BYTES, history.CUT_MARK), "snippet": (history.SNIPPET_BYTES, "...")}
+CUT_MARKS = {"chunk": "''", "document": CUT_SQL, "snippet": "'...'"}
+
+
+@query(f"WITH {FILES} SELECT doc_id, " + ", ".join(f"sha256({_cut_sql('content', n, CUT_MARKS[k])}) AS {k}_hash" for k, (n, _) in CUTS.items()) + " FROM files")
+def byte_cuts(spark, sf_dir):
+    """Whole texts cut to the lengths that chunks, commits' documents and snippets may have."""
+    return corpus.files(spark, sf_dir).select("doc_id", *(F.sha2(T.cut_bytes(F.col("content"), n, mark), 256).alias(f"{k}_hash") for k, (n, mark) in CUTS.items()))
+
+
+def _order_line():
+    """lineitem as a line of text: cells between tabs, between blanks, or with nothing that makes a table."""
+    key, line, ship = F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"), F.col("l_returnflag")
+    apart = lambda *gaps: F.concat(key, F.lit(gaps[0]), line, F.lit(gaps[1]), ship)
+    return F.when(F.col("l_suppkey") % 3 == 0, apart("\t", " \t")).when(F.col("l_suppkey") % 3 == 1, apart("  ", "     ")).otherwise(apart(" ", " "))
+
+
+ORDER_LINE = "CASE l_suppkey % 3 WHEN 0 THEN l_orderkey || chr(9) || l_linenumber || ' ' || chr(9) || l_returnflag WHEN 1 THEN l_orderkey || '  ' || l_linenumber || '     ' || l_returnflag ELSE l_orderkey || ' ' || l_linenumber || ' ' || l_returnflag END"
+SPACE = "[\\t-\\r \\x{85}\\p{Z}]+"
+IS_ROW = f"(len(list_filter(regexp_split_to_array(line, '{SPACE}'), lambda c: c <> '')) >= 3 AND (contains(line, chr(9)) OR contains(line, '  ')))"
+CELLS = "CASE WHEN contains(line, chr(9)) THEN list_transform(string_split(line, chr(9)), lambda c: trim(c)) ELSE list_transform(list_filter(string_split(line, '  '), lambda c: trim(c) <> ''), lambda c: trim(c)) END"
+
+
+@query(f"""SELECT l_orderkey, l_linenumber, line, {IS_ROW} AS is_row, '| ' || array_to_string({CELLS}, ' | ') || ' |' AS made, '| ' || array_to_string(list_transform({CELLS}, lambda c: '---'), ' | ') || ' |' AS separator
+FROM (SELECT l_orderkey, l_linenumber, {ORDER_LINE} AS line FROM lineitem)""")
 def pdf_table_row(spark, sf_dir):
-    rows = corpus.files(spark, sf_dir).select("file_path", F.posexplode(T.lines(F.col("content"))).alias("at", "line"))
-    return rows.where(pdf.is_table_row(F.trim("line"))).select("file_path", (F.col("at") + 1).cast("long").alias("line_no"))
+    rows = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", _order_line().alias("line"))
+    line = F.col("line")
+    return rows.select("*", pdf.is_table_row(line).alias("is_row"), pdf.table_row(line).alias("made"), pdf.table_separator(line).alias("separator"))
 
 
 @query(f"""WITH {FILES}, {LINES}, x AS (SELECT file_path, unnest(range(1, len(ls) + 1)) AS line_no, trim(unnest(ls)) AS line FROM l), y AS (SELECT *, length(regexp_replace(line, '[^\\p{{Lu}}]', '', 'g')) AS up, length(regexp_replace(line, '[^\\p{{L}}]', '', 'g')) AS al FROM x)
@@ -542,11 +643,29 @@ def pdf_heading(spark, sf_dir):
     return rows.where(pdf.is_heading(F.col("line"))).select("file_path", (F.col("at") + 1).cast("long").alias("line_no"), pdf.heading(F.col("line")).alias("heading"))
 
 
-@query()
+MARKDOWN = f"""nl AS (SELECT id, unnest(range(1, len(ls) + 1)) AS n, unnest(ls) AS raw FROM texts), tl AS (SELECT id, n, regexp_replace(raw, '^{SPACE}|{SPACE}$', '', 'g') AS line FROM nl),
+fl AS (SELECT *, line <> '' AND {IS_ROW} AS tab, length(regexp_replace(line, '[^\\p{{Lu}}]', '', 'g')) AS up, length(regexp_replace(line, '[^\\p{{L}}]', '', 'g')) AS al FROM tl),
+ll AS (SELECT *, coalesce(lag(tab) OVER (PARTITION BY id ORDER BY n), FALSE) AS was FROM fl),
+made AS (SELECT id, n, CASE WHEN was AND NOT tab THEN chr(10) ELSE '' END || CASE WHEN line = '' THEN '' WHEN tab THEN '| ' || array_to_string({CELLS}, ' | ') || ' |' || CASE WHEN was THEN '' ELSE chr(10) || '| ' || array_to_string(list_transform({CELLS}, lambda c: '---'), ' | ') || ' |' END
+  WHEN (al > 0 AND up > 0.8 * al AND strlen(line) < 100) OR (ends_with(line, ':') AND strlen(line) < 80 AND NOT contains(line, '://')) THEN (CASE WHEN strlen(line) < 30 THEN '## ' ELSE '### ' END) || rtrim(line, ':') || chr(10) ELSE line END || chr(10) AS part FROM ll),
+pages_md AS (SELECT id, string_agg(part, '' ORDER BY n) AS markdown FROM made GROUP BY id)"""
+
+
+@query(f"WITH {FILES}, {LINES}, texts AS (SELECT doc_id AS id, ls FROM l), {MARKDOWN} SELECT doc_id, coalesce(markdown, '') AS markdown FROM files LEFT JOIN pages_md ON id = doc_id")
 def pdf_markdown(spark, sf_dir):
     return corpus.files(spark, sf_dir).select("doc_id", pdf.markdown(F.col("content")).alias("markdown"))
 
 
+@query(f"""WITH lined AS (SELECT l_orderkey, l_linenumber, max({ORDER_LINE}) AS line FROM lineitem GROUP BY ALL), texts AS (SELECT l_orderkey AS id, ['ORDER ' || l_orderkey] || list(line ORDER BY l_linenumber) || ['', 'total of the order:', 'end'] AS ls FROM lined GROUP BY l_orderkey), {MARKDOWN}
+SELECT id AS l_orderkey, markdown FROM pages_md""")
+def pdf_markdown_tables(spark, sf_dir):
+    """Orders as pages with a heading, lines that are partly tables, and a closing line."""
+    lined = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(_order_line()).alias("line"))
+    one = lined.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "line")))["line"].alias("ls"))
+    text = F.concat(F.lit("ORDER "), F.col("l_orderkey").cast("string"), F.lit("\n"), F.array_join("ls", "\n"), F.lit("\n\ntotal of the order:\nend\n"))
+    return one.select("l_orderkey", pdf.markdown(text).alias("markdown"))
+
+
 @query(f"WITH {SPANS} SELECT name, def_id FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY file_path, pre) AS n FROM defs) WHERE n = 1")
 def first_per_name(spark, sf_dir):
     return navigation.first_per(corpus.spans(spark, sf_dir), "name", "file_path", "pre").select("name", "def_id")
@@ -584,6 +703,86 @@ def definitions(spark, sf_dir):
     return definitions_of(_code(spark, sf_dir)).select("file_path", "name", "kind", "signature", "visibility", "def_id")
 
 
+#: extension -> a definition with {k} for a supplier's key, its kind, and the lines it takes; a comment stands above each.
+SAMPLES = {
+    "rs": ("// about {k}\nfn s{k}() {\n    return 1;\n}\n\n", "function", 3),
+    "js": ("// about {k}\nfunction s{k}() {\n    return 1;\n}\n\n", "function", 3),
+    "ts": ("// about {k}\nfunction s{k}() {\n    return 1;\n}\n\n", "function", 3),
+    "go": ("// about {k}\nfunc s{k}() int {\n    return 1\n}\n\n", "function", 3),
+    "java": ("// about {k}\nclass s{k} {\n    int x = 1;\n}\n\n", "class", 3),
+    "swift": ("// about {k}\nfunc s{k}() {\n    return 1\n}\n\n", "function", 3),
+    "c": ("// about {k}\nint s{k}() {\n    return 1;\n}\n\n", "function", 3),
+    "cpp": ("// about {k}\nint s{k}() {\n    return 1;\n}\n\n", "function", 3),
+    "cs": ("// about {k}\nclass s{k} {\n    int x = 1;\n}\n\n", "class", 3),
+    "rb": ("# about {k}\ndef s{k}\n    1\nend\n\n", "method", 3),
+    "php": ("// about {k}\nfunction s{k}() {\n    return 1;\n}\n\n", "function", 3),
+    "py": ("# about {k}\ndef s{k}():\n    x = 1\n    return x\n\n", "function", 3),
+}
+SAMPLE_SQL = "SELECT s_suppkey AS key, ext, kind, 5 * row_number() OVER (PARTITION BY s_nationkey, ext ORDER BY s_suppkey) - 3 AS a, 'n' || s_nationkey || '.' || ext AS file_path FROM supplier, (VALUES " + ", ".join(f"('{e}', '{k}')" for e, (_, k, _) in SAMPLES.items()) + ") AS g(ext, kind)"
+
+
+def _samples(spark, sf_dir):
+    """A file for each nation and grammar with a commented definition for each of its suppliers."""
+    one = read_table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list("s_suppkey")).alias("keys"))
+    body = lambda text: F.array_join(F.transform("keys", lambda k: F.replace(F.lit(text), F.lit("{k}"), k.cast("string"))), "")
+    every = one.select("s_nationkey", F.explode(F.create_map(*(x for e, (t, _, _) in SAMPLES.items() for x in (F.lit(e), body(t))))).alias("extension", "content"))
+    path = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"), F.lit("."), F.col("extension"))
+    return every.select(path.alias("file_path"), F.lit("/code").alias("root_path"), F.lit(None).cast("string").alias("project"), "extension", lang.language_of(F.col("extension")).alias("language"), F.sha2("content", 256).alias("file_hash"), "content")
+
+
+@query(f"SELECT file_path, 's' || key AS name, kind, CAST(a AS INTEGER) AS start_line, CAST(a + 2 AS INTEGER) AS end_line, 'about ' || key AS doc_comment, 'def:' || file_path || ':s' || key || ':' || a AS def_id FROM ({SAMPLE_SQL})")
+def definitions_by_grammar(spark, sf_dir):
+    return definitions_of(_samples(spark, sf_dir)).select("file_path", "name", "kind", "start_line", "end_line", "doc_comment", "def_id")
+
+
+@query(f"SELECT file_path, CAST(a AS INTEGER) AS start_line, CAST(a + 2 AS INTEGER) AS end_line FROM ({SAMPLE_SQL}) UNION ALL SELECT * FROM (WITH {FILES}, {LINES}, c AS (SELECT file_path, i * 50 + 1 AS a, least((i + 1) * 50, len(ls)) AS b, array_to_string(ls[i * 50 + 1 : (i + 1) * 50], chr(10)) AS content FROM (SELECT *, unnest(range(0, CAST(ceil(len(ls) / 50) AS BIGINT))) AS i FROM l)) SELECT file_path, CAST(a AS INTEGER), CAST(b AS INTEGER) FROM c WHERE regexp_matches(content, '\\S'))")
+def chunk_hybrid_mixed(spark, sf_dir):
+    """Code in all grammars and prose together: units where there are any, fixed chunks elsewhere."""
+    code = _samples(spark, sf_dir)
+    return chunking.chunk_hybrid(code.unionByName(corpus.files(spark, sf_dir).select(*code.columns))).select("file_path", "start_line", "end_line")
+
+
+# ---- the store ----
+STORED = f"""{FILES}, kept AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, root_path, file_path, content FROM files WHERE root_path = 'src0' AND doc_id % 9 <> 4 UNION ALL
+SELECT CASE WHEN doc_id % 5 = 0 THEN 'new-' ELSE '' END || doc_id, root_path, file_path, CASE WHEN doc_id % 5 = 0 THEN content || ' again' ELSE content END FROM files WHERE root_path = 'src1')"""
+
+
+def _stored(spark, sf_dir) -> Store:
+    """A store after appends of three roots, deletion of files in one, an update of another, and the third's removal."""
+    store = Store(spark, f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/store-{uuid.uuid4().hex}")
+    store.initialize(2)
+    f = corpus.files(spark, sf_dir)
+    none = F.lit(None)
+    rows = lambda d, name: d.select(name.alias("chunk_id"), "file_path", "root_path", "project", F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), "language", "extension", "file_hash", F.lit(0).cast("long").alias("indexed_at"), "content", none.cast("array<float>").alias("vector"))
+    name = F.col("doc_id").cast("string")
+    for root in ("src0", "src1", "src2"):
+        store.append(root, rows(f.where(F.col("root_path") == root), name))
+    store.delete_files("src0", f.where("root_path = 'src0' AND doc_id % 9 = 4"))
+    edited = f.where("root_path = 'src1' AND doc_id % 5 = 0").withColumn("content", F.concat("content", F.lit(" again")))
+    store.update("src1", edited, rows(edited, F.concat(F.lit("new-"), name)))
+    store.clear_root("src2")
+    return store
+
+
+@query(f"WITH {STORED} SELECT chunk_id, root_path, file_path, sha256(content) AS content_hash FROM kept")
+def store_lifecycle(spark, sf_dir):
+    return _stored(spark, sf_dir).chunks().select("chunk_id", "root_path", "file_path", F.sha2("content", 256).alias("content_hash"))
+
+
+@query(f"WITH {STORED} SELECT chunk_id, CAST(max(n) AS BIGINT) AS length, count(*) AS terms FROM (SELECT chunk_id, len(t) AS n, unnest(list_distinct(t)) AS term FROM (SELECT chunk_id, {TOKENS} AS t FROM kept)) GROUP BY chunk_id")
+def store_postings(spark, sf_dir):
+    """The keyword index that the store holds after the same changes: each document's length and different terms."""
+    return _stored(spark, sf_dir).postings().groupBy("chunk_id").agg(F.max("length").alias("length"), F.count("*").alias("terms"))
+
+
+@query(f"WITH {STORED} SELECT root_path, count(*) AS documents, CAST(sum(n) AS BIGINT) AS terms FROM (SELECT root_path, len({TOKENS}) AS n FROM kept) WHERE n > 0 GROUP BY root_path")
+def store_term_stats(spark, sf_dir):
+    """Documents and terms of each root's keyword index, as the manifest counts them: at most one row a root."""
+    store = _stored(spark, sf_dir)
+    found = [(root, *store.term_stats(root)) for root in store.roots()]
+    return spark.createDataFrame([(r, n, round(n * mean)) for r, n, mean in found if n], "root_path string, documents long, terms long")
+
+
 @query()
 def hashing_embed(spark, sf_dir):
     f = corpus.files(spark, sf_dir)

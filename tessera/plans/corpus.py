@@ -40,8 +40,8 @@ def query_vector(spark: SparkSession, sf_dir: str, vec_id: int = 0) -> list[floa
 
 
 def chunks_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """files with the vector of the same number: one chunk a file, chunk_id = doc_id."""
-    return files(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id").join(vectors(spark, sf_dir).select("chunk_id", "vector"), "chunk_id")
+    """files with the vector of the same number, or null where there is none: one chunk a file, chunk_id = doc_id."""
+    return files(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id").join(vectors(spark, sf_dir).select("chunk_id", "vector"), "chunk_id", "left")
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:

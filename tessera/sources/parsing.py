@@ -124,6 +124,8 @@ def _python(text: str) -> list[Unit]:
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         return []
     out: list[Unit] = []
+    rows = text.split("\n")
+    doc = lambda node, line: _comment_above(rows, line) or ast.get_docstring(node)
 
     def visit(node: ast.AST, parent: int) -> None:
         for child in ast.iter_child_nodes(node):
@@ -132,9 +134,9 @@ def _python(text: str) -> list[Unit]:
                 kind = "class_definition" if isinstance(child, ast.ClassDef) else "function_definition"
                 if child.decorator_list:
                     first = child.decorator_list[0]
-                    out.append(Unit("decorated_definition", child.name, first.lineno, child.end_lineno, max(0, first.col_offset - 1), child.end_col_offset, at, ast.get_docstring(child)))
+                    out.append(Unit("decorated_definition", child.name, first.lineno, child.end_lineno, max(0, first.col_offset - 1), child.end_col_offset, at, doc(child, first.lineno)))
                     at = len(out) - 1
-                out.append(Unit(kind, child.name, child.lineno, child.end_lineno, child.col_offset, child.end_col_offset, at, ast.get_docstring(child)))
+                out.append(Unit(kind, child.name, child.lineno, child.end_lineno, child.col_offset, child.end_col_offset, at, doc(child, child.lineno)))
                 at = len(out) - 1
             visit(child, at)
 

@@ -209,3 +209,10 @@ def test_definitions(spark, tmp_path):
     g = rows["greet3"]
     assert (g["kind"], g["visibility"], g["signature"], g["doc_comment"], g["def_id"]) == ("function", "public", "pub fn greet(n: &str) -> String {", "Says hello.", "def:a.rs:greet:3")
     assert rows["new8"]["parent_id"] == f"a.rs:{rows['Person7']['pre']}" and rows["greet3"]["parent_id"] is None and rows["new8"]["visibility"] == "private"
+
+
+def test_python_comments():
+    from tessera.sources.parsing import definitions
+
+    text = "# says so\n@cached\ndef a():\n    '''inside'''\n\ndef b():\n    '''inside'''\n\nx = 1\ndef c():\n    pass\n"
+    assert [(u.name, u.doc) for _, _, u in definitions("py", text) if u.node == "function_definition"] == [("a", "says so"), ("b", "inside"), ("c", None)]
