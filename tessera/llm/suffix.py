@@ -7,7 +7,8 @@ anchor; what has an anchor of its own in the whole corpus ends there. Of segment
 are repeats as a whole.
 
 Different segments with one anchor may still share strings. Their earliest copies, in blocks of bounded size, are joined
-to one text each, whose Burrows-Wheeler transform is expanded breadth-first: from the interval of all suffixes, each
+to one text each, without the strings whose SIDE bytes beside the anchor no other segment of the block has; its
+Burrows-Wheeler transform is expanded breadth-first: from the interval of all suffixes, each
 round extends the intervals to the left by every byte that occurs in them, which gives the places between suffixes whose
 longest common prefix is 0, 1, 2, ... bytes, and stops at LENGTH. Places not reached by then join suffixes that share
 LENGTH bytes. An anchor with more than CHUNK different segments is made finer until its blocks are small: the strings that
@@ -36,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import cut, mix, utf8
 
 LENGTH, ANCHOR, STEP = 100, 32, 16
+#: Bytes beside the anchor that a string of a block has to share with another; with it they fill the longer window hashed.
+SIDE = 32
 #: Different segments of one anchor that may meet in a block, and the segments aimed at in a block.
 CHUNK, BLOCK = 4096, 6000
 #: Starts of strings that are looked at together: their arrays fit a core's cache.
@@ -180,16 +183,24 @@ def suffix_array(symbol: np.ndarray) -> np.ndarray:
     n = len(symbol)
     bits = int(symbol.max()).bit_length() or 1
     size = 63 // bits
-    padded = np.append(symbol, np.zeros(size, np.int64)).astype(np.uint64)
-    key, alive = np.zeros(n, np.uint64), np.ones(n, bool)
-    for k in range(size):  # as many symbols as fit; nothing beyond a terminator counts
-        here = padded[k : n + k]
-        key <<= np.uint64(bits)
-        key |= np.where(alive, here, np.uint64(0))
-        alive &= here != 0
-    order = np.argsort(key, kind="stable")  # so equal keys with a terminator stand in the terminators' order
+    ends = np.flatnonzero(symbol == 0)
+    left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)  # symbols before the terminator
+    key, held = symbol.astype(np.uint64), 1
+    while held < size:  # as many symbols as fit, by doubling; nothing beyond a terminator counts
+        more = min(held, size - held)
+        further = np.zeros(n, np.uint64)
+        further[: max(0, n - held)] = key[held:] >> np.uint64(bits * (held - more))
+        further[left < held] = 0
+        key = key << np.uint64(bits * more) | further
+        held += more
+    alive = left >= size
+    order = np.argsort(key)
+    over = ~alive[order]  # equal keys with a terminator stand in the terminators' order
+    ended = order[over]
+    order[over] = ended[np.lexsort((ended, key[ended]))]
     fresh = np.ones(n + 1, bool)
-    fresh[1:n] = (key[order[1:]] != key[order[:-1]]) | ~alive[order[1:]]
+    sorted_key = key[order]
+    fresh[1:n] = (sorted_key[1:] != sorted_key[:-1]) | over[1:]
     rank = np.empty(n, np.int64)
     rank[order] = np.maximum.accumulate(np.where(fresh[:n], np.arange(n), 0))
     again = order[~(fresh[:-1] & fresh[1:])]
@@ -216,7 +227,9 @@ class Wavelet:
         self.levels = []
         for b in range(max(1, (symbols - 1).bit_length()) - 1, -1, -1):
             bit = (seq >> b) & 1 == 1
-            self.levels.append((np.concatenate([[0], np.cumsum(bit)]), len(seq) - int(bit.sum())))
+            ones = np.zeros(len(seq) + 1, np.int32)
+            np.cumsum(bit, out=ones[1:])
+            self.levels.append((ones, len(seq) - int(ones[-1])))
             seq = np.concatenate([seq[~bit], seq[bit]])
         self.start = np.zeros(symbols, np.int64)
         found, at = np.unique(seq, return_index=True)
@@ -246,7 +259,7 @@ def shared_prefix_groups(parts: list[bytes], length: int = LENGTH) -> tuple[np.n
     code[alphabet] = np.arange(1, len(alphabet) + 1)
     symbol_of = np.where(is_end, 0, code[text])
     order = suffix_array(symbol_of)
-    last = symbol_of[order - 1]
+    last = symbol_of[order - 1].astype(np.int16)  # in 16 bits numpy sorts by digits
     tree = Wavelet(last, len(alphabet) + 1)
     first = np.concatenate([[0, terms], terms + np.cumsum(count)])  # of the suffixes that start with a symbol
     before = np.empty(n, np.int64)  # rank of the suffix that starts one symbol earlier; for terminators of no meaning
@@ -278,11 +291,45 @@ def shared_prefix_groups(parts: list[bytes], length: int = LENGTH) -> tuple[np.n
     return np.concatenate([run, run[opens]]), part, place - (ends[part] - sizes[part] + 1)
 
 
+def narrowed(keys: np.ndarray, parts: list[bytes], core: np.ndarray) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Part's number, bytes and place in the part of what can share a string with another part; the parts differ, and all those of a key are given.
+
+    Every string of a segment holds SIDE bytes more to the right of its anchor, or else to the left. Equal strings hold
+    the same ones, so those whose bytes on that side no other part has are not looked for. Finer pieces stay whole, if
+    their key has several.
+    """
+    sizes = np.array([len(p) for p in parts], np.int64)
+    base = np.cumsum(sizes) - sizes
+    short, long = _window_hashes(np.frombuffer(b"".join(parts), np.uint8))
+    own = np.repeat(np.arange(len(parts)), sizes)[: len(short)]
+    hits = np.flatnonzero((short.view(np.int64) == keys[own]) & (core[own] < 0))
+    numbers, first = np.unique(own[hits], return_index=True)
+    place = hits[first] - base[numbers]
+    split = np.clip(place + ANCHOR + SIDE - LENGTH, 0, sizes[numbers] - LENGTH + 1)
+    at = base[numbers] + place
+    left, right = split > 0, split < sizes[numbers] - LENGTH + 1
+    for side, window in ((left, at - SIDE), (right, at)):
+        _, which, times = np.unique(long[window[side]], return_inverse=True, return_counts=True)
+        side[side] = times[which] > 1
+    a = np.where(left, 0, split)
+    b = np.where(right, sizes[numbers], split - 1 + LENGTH)
+    some = left | right
+    rest = np.setdiff1d(np.arange(len(parts)), numbers)
+    _, which, times = np.unique(keys[rest], return_inverse=True, return_counts=True)
+    rest = rest[times[which] > 1]
+    number = np.concatenate([numbers[some], rest])
+    a, b = np.concatenate([a[some], np.zeros(len(rest), np.int64)]), np.concatenate([b[some], sizes[rest]])
+    return number, [parts[k][x:y] for k, x, y in zip(number.tolist(), a.tolist(), b.tolist())], a
+
+
 def _earlier(table: pa.Table) -> pa.Table:
     """The spans of one block's segments that repeat an earlier string."""
-    parts = table.column("part").to_pylist()
     doc, tie, pos = (np.asarray(table.column(c)) for c in ("doc", "tie", "pos"))
+    number, parts, cut_off = narrowed(np.asarray(table.column("key")), table.column("part").to_pylist(), np.asarray(table.column("core")))
+    if not parts:
+        return table.select(["doc", "tie", "pos"]).slice(0, 0).rename_columns(["doc", "tie", "start"]).append_column("stop", pa.array([], pa.int64()))
     group, part, start = shared_prefix_groups(parts)
+    start, part = start + cut_off[part], number[part]
     doc, tie, pos = doc[part], tie[part], pos[part] + start
     order = np.lexsort((tie, pos, doc, group))
     group, doc, tie, pos = group[order], doc[order], tie[order], pos[order]
@@ -394,7 +441,8 @@ def repeated_spans(base: DataFrame, chunk: int = CHUNK, block: int = BLOCK) -> D
         wanted = parts = kinds.select("key", "f.doc", "f.tie", "f.pos", "part", "core", "width")
         total += parts.count()
     number = F.pmod(F.xxhash64("key"), F.lit(-(-total // block))).alias("block")
-    blocks = small.select("key", "doc", "tie", "pos", "part").groupBy(number)
+    # a piece that is one string has a key of its own
+    blocks = small.where(F.col("width") < LENGTH).select("key", "doc", "tie", "pos", "part", "core").groupBy(number)
     return spans.unionByName(blocks.applyInArrow(lambda key, t: _earlier(t), "doc long, tie int, start long, stop long"))
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import suffix
@@ -66,6 +67,33 @@ def test_finer_pieces_cover_every_string_once():
                 todo.append((k, part[x:y], c, w))
 
 
+def test_only_what_can_repeat_is_transformed(monkeypatch):
+    """Segments that share no more than their anchor's bytes stay out of the transform, and no repeat is lost by that."""
+    rng = random.Random(8)
+    text = lambda k: "".join(rng.choices("abcdefgh", k=k)).encode()
+    anchor = text(suffix.ANCHOR)
+    datas = [text(150) + anchor + text(150) for _ in range(40)]
+    repeat = text(15) + anchor + text(90)
+    datas += [text(20) + repeat + text(60), text(70) + repeat]
+    rows = []
+    for d, data in enumerate(datas):
+        h = suffix._window_hashes(np.frombuffer(data, np.uint8))[0].view(np.int64)
+        p = data.index(anchor)
+        a, b = max(0, p - 68), min(len(data), p + 100)
+        rows.append((int(h[p]), d, 0, a, data[a:b], -1))
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int32())
+    table = pa.table([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=["key", "doc", "tie", "pos", "part", "core"])
+    seen, whole = [], suffix.shared_prefix_groups
+    monkeypatch.setattr(suffix, "shared_prefix_groups", lambda parts, *a: seen.extend(parts) or whole(parts, *a))
+    got = suffix._earlier(table).to_pylist()
+    p = datas[41].index(repeat)
+    assert len(got) == 1 and got[0]["doc"] == 41 and (got[0]["start"], got[0]["stop"]) == (p, p + 15 + N)
+    assert 2 <= len(seen) <= 4
+    lone = table.slice(0, 40)
+    seen.clear()
+    assert suffix._earlier(lone).num_rows == 0 and not seen
+
+
 def test_order_of_ids_decides(spark):
     p = "".join(random.Random(1).choices("abcdefgh", k=300))
     got = measured(spark, [(5, "A" + p), (2, p + "B"), (9, p)])
