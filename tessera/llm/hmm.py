@@ -11,6 +11,7 @@ unknown words, so the probabilities of all words sum to one. The model's size is
 size. Baum-Welch starts from states drawn at random around the classes' shares; every round runs over all training
 documents, uncut, each task giving its expected counts, which Spark adds up, until a round adds less than GAIN; steps are
 stretched (over-relaxed), which needs fewer rounds. Scoring runs the scaled forward recursion through every whole document.
+Both recursions step through lanes of whole documents laid end to end, joined by a state that stands between documents.
 
 Edge cases: a null text is empty, that is one end token; a text of white space likewise; repeated rows count and are
 scored as often as they occur; words of equal count are ordered by their bytes; without training documents every token is
@@ -21,27 +22,30 @@ their names. A text of any length is one sequence; a task holds some 200 bytes a
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, repeat
+from functools import cached_property
+from heapq import heapreplace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, is_held_out, words_of
+from .common import cut, is_held_out
 
 STATES, TOP, HASHED, KNOWN = 8, 8192, 2048, 1 << 17
 #: Rounds end where one adds less than this to the training likelihood, in log10 a token.
 GAIN = 1e-4
 #: From the third round on, steps go so many times as far as Baum-Welch's own; one that lowers the likelihood is taken back.
 STRETCH = 1.5
-#: Tokens (with padding) that are worked on at once, as many as stay in a core's cache; steps between two scalings.
-CELLS, SCALED = 1 << 17, 8
-#: Different words that a task counts before it hands them on.
-COUNTED = 400_000
+#: Tokens whose forward states are held at once, if no document is longer; lanes they are laid in, at most.
+CELLS, LANES = 1 << 21, 512
+#: Tokens in a span of steps, as many as stay in a core's cache; steps between two scalings.
+SPAN, SCALED = 1 << 14, 8
+#: Bytes of text that are split into words at once, if no document is longer.
+SLICE = 1 << 23
 ALPHA = 0.1
 #: The end of a document as a token; no word holds white space.
 END = b"\n"
@@ -49,22 +53,32 @@ ENCODED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long,
 
 
 # ---- counts ----
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """text -> word, n."""
-    seen: Counter[bytes] = Counter()
+def _tokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array]]:
+    """Of some documents after others: the first one's number, how many words each has, and their words as numbers in an array of different words.
+
+    Arrow lower-cases ASCII letters alone and splits on exactly the six ASCII white-space bytes, as `words_of` does.
+    """
+    k = 0
+    bytes_before = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    while k < len(texts):
+        to = max(k + 1, int(np.searchsorted(bytes_before, bytes_before[k] + SLICE, "right")) - 1)
+        text = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.slice(k, to - k), "")))
+        # a text without words is split into one empty string
+        full = pc.not_equal(text, "")
+        split = pc.ascii_split_whitespace(pc.filter(text, full))
+        size = np.zeros(to - k, np.int64)
+        size[full.to_numpy(zero_copy_only=False)] = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+        words = split.flatten().dictionary_encode()
+        yield k, size, words.indices.to_numpy(), words.dictionary.cast(pa.binary())
+        k = to
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"word": pa.array(list(seen.keys()), pa.binary()), "n": pa.array(list(seen.values()), pa.int64())})
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """text -> word, n; a word may come again."""
     for batch in batches:
-        for text in batch.column(0):
-            seen.update(words_of(text.as_py()))
-            if len(seen) > COUNTED:
-                yield out()
-                seen.clear()
-        seen[END] += batch.num_rows
-    if seen:
-        yield out()
+        for _, size, at, words in _tokens(batch.column(0)):
+            yield pa.RecordBatch.from_pydict({"word": words, "n": pa.array(np.bincount(at, minlength=len(words)).astype(np.int64))})
+        yield pa.RecordBatch.from_pydict({"word": pa.array([END], pa.binary()), "n": pa.array([batch.num_rows], pa.int64())})
 
 
 def _class(word: Column) -> Column:
@@ -75,7 +89,7 @@ class Words:
     """The known words in falling order of their counts, and the totals of the hashed classes; of bounded size."""
 
     def __init__(self, known: list[tuple[bytes, int]], total: np.ndarray, distinct: np.ndarray) -> None:
-        self.index = {w: i for i, (w, _) in enumerate(known)}
+        self.known = pa.array([w for w, _ in known], pa.binary())
         self.n, self.v = int(total.sum()), int(distinct.sum())
         self.n_top = min(TOP, len(known))
         self.size = self.n_top + HASHED
@@ -92,6 +106,10 @@ class Words:
         prior = np.concatenate([count[: self.n_top], total]) + ALPHA
         self.prior = prior / prior.sum()
 
+    @cached_property
+    def index(self) -> dict[bytes, int]:
+        return {w: i for i, w in enumerate(self.known.to_pylist())}
+
 
 def count_words(training: DataFrame) -> tuple[Words, DataFrame]:
     """Words, and the written table (word, n) of all training words. training: text."""
@@ -116,39 +134,45 @@ def _encode(held):
 
     def task(batches):
         words: Words = held.value
-        row, index = TaskContext.get().partitionId() << 33, words.index
-        for whole in batches:
-            for a in range(0, whole.num_rows, 500):
-                batch = whole.slice(a, 500)
-                texts = [[*words_of(t.as_py()), END] for t in batch.column(2)]
-                size = np.array([len(t) for t in texts])
-                doc = np.repeat(np.arange(len(texts)), size)
-                at = np.fromiter(map(index.get, chain.from_iterable(texts), repeat(-1)), np.int32, len(doc))
-                known = at >= 0
-                classes = np.empty(len(doc), np.uint16)
-                classes[known] = words.of[at[known]]
-                first = np.cumsum(size) - size
-                rest = np.flatnonzero(~known)
-                other = [texts[d][k] for d, k in zip(doc[rest].tolist(), (rest - first[doc[rest]]).tolist())]
-                classes[rest] = np.fromiter(map(zlib.crc32, other), np.int64, len(other)) % HASHED + words.n_top
-                cuts = np.searchsorted(doc[rest], np.arange(len(texts) + 1)).tolist()
-                pairs = [Counter(other[x:y]) for x, y in zip(cuts, cuts[1:])]
-                flat = pa.StructArray.from_arrays([pa.array([w for p in pairs for w in p], pa.binary()), pa.array([n for p in pairs for n in p.values()], pa.int32())], ["word", "times"])
-                ends = np.concatenate([[0], np.cumsum([len(p) for p in pairs])]).astype(np.int32)
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for k, size, at, different in _tokens(batch.column(2)):
+                # of each different word, the end being the last: its place among the known ones and its class
+                different = pa.concat_arrays([different, pa.array([END], pa.binary())])
+                place = pc.fill_null(pc.index_in(different, value_set=words.known), -1).to_numpy()
+                known = place >= 0
+                of, log = np.empty(len(place), np.uint16), np.zeros(len(place))
+                of[known], log[known] = words.of[place[known]], words.log[place[known]]
+                other = np.flatnonzero(~known)
+                of[other] = np.fromiter(map(zlib.crc32, different.take(pa.array(other)).to_pylist()), np.int64, len(other)) % HASHED + words.n_top
+                # every document's words and its end
+                docs = len(size)
+                size = size + 1
+                ends = np.cumsum(size)
+                is_word = np.ones(ends[-1], bool)
+                is_word[ends - 1] = False
+                token = np.full(ends[-1], len(place) - 1, np.int32)
+                token[is_word] = at
+                doc = np.repeat(np.arange(docs), size)
+                classes = of[token]
+                rest = np.flatnonzero(~known[token])
+                pair, times = np.unique(doc[rest] * len(place) + token[rest], return_counts=True)
+                cuts = np.searchsorted(pair, np.arange(docs + 1) * len(place)).astype(np.int32)
+                flat = pa.StructArray.from_arrays([different.take(pa.array(pair % len(place))), pa.array(times.astype(np.int32))], ["word", "times"])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(row + np.arange(len(texts))),
-                        batch.column(0),
-                        batch.column(1),
-                        pa.array(size.astype(np.int64)),
-                        pa.array(np.bincount(doc[known], minlength=len(texts)).astype(np.int64)),
-                        pa.array(np.bincount(doc[known], weights=words.log[at[known]], minlength=len(texts)), pa.float64()),
-                        pa.array([c.tobytes() for c in np.split(classes, first[1:])], pa.binary()),
-                        pa.ListArray.from_arrays(pa.array(ends), flat),
+                        pa.array(row + np.arange(docs)),
+                        batch.column(0).slice(k, docs),
+                        batch.column(1).slice(k, docs),
+                        pa.array(size),
+                        pa.array(size - np.bincount(doc[rest], minlength=docs)),
+                        pa.array(np.bincount(doc, weights=log[token], minlength=docs), pa.float64()),
+                        pa.Array.from_buffers(pa.binary(), docs, [None, pa.py_buffer(np.concatenate([[0], 2 * ends]).astype(np.int32)), pa.py_buffer(classes)]),
+                        pa.ListArray.from_arrays(pa.array(cuts), flat),
                     ],
                     names=["row", "doc_id", "held_out", "n_tokens", "n_known", "known_sum", "classes", "rare"],
                 )
-                row += len(texts)
+                row += docs
 
     return task
 
@@ -157,6 +181,13 @@ def _sequences(column) -> list[np.ndarray]:
     return [np.frombuffer(c.as_buffer(), np.uint16) for c in column]
 
 
+def _sums(value: np.ndarray, docs: list[np.ndarray]) -> np.ndarray:
+    """The sum of the classes' values in each document; none is empty, each has its end."""
+    if not docs:
+        return np.zeros(0)
+    return np.add.reduceat(value[np.concatenate(docs)], np.cumsum([0, *map(len, docs[:-1])]))
+
+
 # ---- the model ----
 class Model:
     """Start, transition and emission probabilities of the states over the classes."""
@@ -184,88 +215,135 @@ class Model:
         further = (new * (new / old) ** (STRETCH - 1) for old, new in zip((start, move, emit), (self.start, self.move, self.emit)))
         self.start, self.move, self.emit = (x / x.sum(-1, keepdims=True) for x in further)
 
-    @staticmethod
-    def _batches(docs: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-        """Numbers of documents of like length, their lengths, and their classes by step, padded with 0."""
+    def _lanes(self, docs: list[np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+        """Numbers of documents, the lane and the first cell of each, and the lanes' classes.
+
+        A lane holds whole documents; a cell of the class `size` stands before, between and after them and fills lanes up.
+        The longest go first, each to the shortest lane, so lanes end alike and no step but a long document's own is narrow.
+        """
         order = sorted(range(len(docs)), key=lambda i: -len(docs[i]))
         k = 0
         while k < len(order):
-            own = order[k : k + max(1, min(4096, CELLS // len(docs[order[k]])))]
-            k += len(own)
-            size = np.array([len(docs[i]) for i in own])
-            obs = np.zeros((size[0], len(own)), np.int32)
-            for j, i in enumerate(own):
-                obs[: size[j], j] = docs[i]
-            yield own, size, obs
-
-    def _ratio(self, kind) -> np.ndarray:
-        """Emission over prior by class: near one, so products of a few stay in range; what the prior says is added at the end."""
-        return np.ascontiguousarray((self.emit / self.prior).T.astype(kind))
+            first, total = k, 0
+            while k < len(order) and (k == first or total + len(docs[order[k]]) < CELLS):
+                total += len(docs[order[k]]) + 1
+                k += 1
+            own = order[first:k]
+            shortest = [(1, j) for j in range(max(1, min(LANES, total // (len(docs[own[0]]) + 1))))]
+            lane, start = np.empty(len(own), int), np.empty(len(own), int)
+            for d, i in enumerate(own):
+                start[d], lane[d] = cell, j = shortest[0]
+                heapreplace(shortest, (cell + len(docs[i]) + 1, j))
+            classes = np.full((len(shortest), max(shortest)[0]), self.size, np.uint16)
+            for i, j, cell in zip(own, lane.tolist(), start.tolist()):
+                classes[j, cell : cell + len(docs[i])] = docs[i]
+            yield own, lane, start, classes
+
+    def _joined(self, kind) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Emissions by state and class, moves, and the first state of lanes, for the states and one more that stands between documents.
+
+        That one alone emits the class `size`, moves on as documents start, and is reached from any state with one, so a
+        lane's probability is the product of its documents'. Emissions are over the prior: near one, so that products of
+        a few stay in range; what the prior says is added at the end.
+        """
+        ratio, move, between = np.zeros((STATES + 1, self.size + 1), kind), np.ones((STATES + 1, STATES + 1), kind), np.zeros(STATES + 1, kind)
+        ratio[:-1, :-1], ratio[-1, -1] = self.emit / self.prior, 1
+        move[:-1, :-1], move[-1, :-1] = self.move, self.start
+        between[-1] = 1
+        return ratio, move, between
 
-    def forward(self, docs: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each class sequence, by the scaled recursion.
+    @staticmethod
+    def _spans(classes: np.ndarray) -> list[slice]:
+        """Spans of the lanes' steps; each begins at a step that is scaled."""
+        lanes, steps = classes.shape
+        width = max(1, SPAN // lanes // SCALED) * SCALED
+        return [slice(a, min(a + width, steps)) for a in range(0, steps, width)]
 
-        Padding emits with one from every state, and a state's moves sum to one, so it changes no sum.
-        """
-        out, ratio, log_prior, one = np.zeros(len(docs)), self._ratio(float), np.log10(self.prior), np.ones(STATES)
-        for own, size, obs in self._batches(docs):
-            there = np.arange(size[0])[:, None] < size
-            e = ratio[obs]
-            e[~there] = 1
-            a, b, log = e[0] * self.start, np.empty((len(own), STATES)), np.zeros(len(own))
-            for t in range(1, size[0]):
-                np.matmul(a, self.move, out=b)
-                b *= e[t]
-                a, b = b, a
-                if t % SCALED == 0:
-                    s = a @ one
-                    log += np.log10(s)
-                    a /= s[:, None]
-            out[own] = log + np.log10(a @ one) + np.where(there, log_prior[obs], 0).sum(0)
+    @staticmethod
+    def _emitted(ratio: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Classes of a span by step and lane, and their emissions by step, state and lane."""
+        obs = classes.T.astype(np.intp, order="C")
+        return obs, np.ascontiguousarray(np.take(ratio, obs, axis=1, mode="clip").swapaxes(0, 1))
+
+    @staticmethod
+    def _ahead(move: np.ndarray, last: np.ndarray, e: np.ndarray, w: np.ndarray, scale: np.ndarray) -> np.ndarray:
+        """The forward recursion through a span, from the states before it; e may be w."""
+        onward = np.ascontiguousarray(move.T)
+        room = np.empty_like(last)
+        for t, (emitted, now) in enumerate(zip(e, w)):
+            np.dot(onward, last, room)
+            np.multiply(room, emitted, now)
+            if t % SCALED == 0:
+                s = now.sum(0)
+                scale[t // SCALED] = s
+                now /= s
+            last = now
+        return last
+
+    def forward(self, docs: list[np.ndarray]) -> np.ndarray:
+        """log10 probability of each class sequence, by the scaled recursion."""
+        out = _sums(np.log10(self.prior), docs)
+        ratio, move, between = self._joined(float)
+        for own, lane, start, classes in self._lanes(docs):
+            lanes, steps = classes.shape
+            passed, scale = np.empty((steps, lanes)), np.empty((-(-steps // SCALED), lanes))
+            last = np.repeat(between[:, None], lanes, axis=1)
+            for span in self._spans(classes):
+                e = self._emitted(ratio, classes[:, span])[1]
+                last = self._ahead(move, last, e, e, scale[span.start // SCALED :])
+                passed[span] = e[:, -1]
+            # what the lane has come to before a document and after it
+            scale = np.log10(scale).cumsum(0)
+            before, after = start - 1, start + [len(docs[i]) for i in own]
+            out[own] += np.log10(passed[after, lane] / passed[before, lane]) + scale[after // SCALED, lane] - scale[before // SCALED, lane]
         return out
 
     def counts(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Baum-Welch counts of whole documents (start, transitions, emissions), and their log10 likelihood before the update.
 
-        Both recursions step together: forward through a document's classes, backward through them reversed, each
-        multiplied by the emissions, so that one product of matrices does for both. Scales cancel out in the posteriors.
+        The forward states of all steps are held; the backward recursion goes span by span, and each span's posteriors are
+        added up while they are in the cache. Scales cancel out in the posteriors.
         """
         kind = np.float32
-        start, move, seen, log = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, self.size)), 0.0
-        ratio, one, log_prior = self._ratio(kind), np.ones(STATES, kind), np.log10(self.prior)
-        both = np.stack([self.move, self.move.T]).astype(kind)
-        room = np.empty((3, 2 * max([CELLS, *map(len, docs)]) * STATES), kind)
-        for own, size, obs in self._batches(docs):
-            steps, n = obs.shape
-            there = np.arange(steps)[:, None] < size
-            e, w = (r[: 2 * steps * n * STATES].reshape(steps, 2, n, STATES) for r in room[:2])
-            flat = room[2][: steps * n * STATES].reshape(steps, n, STATES)
-            np.take(ratio, obs, axis=0, out=flat, mode="clip")
-            flat[~there] = 1
-            e[:, 0], e[:, 1] = flat, flat[::-1]
-            scale = np.ones((steps, n), kind)
-            w[0] = e[0]
-            w[0, 0] *= self.start.astype(kind)
-            for t in range(1, steps):
-                np.matmul(w[t - 1], both, out=w[t])
-                w[t] *= e[t]
-                if t % SCALED == 0:
-                    s = w[t] @ one
-                    scale[t] = s[0]
-                    w[t] /= s[:, :, None]
-            alpha, x = np.ascontiguousarray(w[:, 0]), np.ascontiguousarray(w[::-1, 1])
-            log += np.log10(scale).sum(dtype=float) + np.log10(alpha[-1] @ one).sum(dtype=float) + log_prior[obs[there]].sum()
-            gamma = np.divide(alpha, flat, out=flat)
-            gamma *= x
-            inverse = np.where(there, 1 / (gamma @ one), 0)
-            gamma *= inverse[:, :, None]
-            start += gamma[0].sum(0)
-            x[1:] *= (inverse[1:] / scale[1:])[:, :, None]
-            move += self.move * (alpha[:-1].reshape(-1, STATES).T @ x[1:].reshape(-1, STATES))
-            at, weight = obs.ravel(), gamma.reshape(-1, STATES).T
-            for s in range(STATES):
-                seen[s] += np.bincount(at, weights=weight[s], minlength=self.size)
-        return start, move, seen, log
+        ratio, move, between = self._joined(kind)
+        moved, seen, log = np.zeros(move.shape), np.zeros((STATES, self.size + 1)), 0.0
+        one, room = np.ones(STATES + 1, kind), np.empty(0, kind)
+        for _, _, _, classes in self._lanes(docs):
+            lanes, steps = classes.shape
+            cells = classes.size * (STATES + 1)
+            if len(room) < cells:
+                room = np.empty(cells, kind)
+            w, scale = room[:cells].reshape(steps, STATES + 1, lanes), np.empty((-(-steps // SCALED), lanes), kind)
+            edge = np.repeat(between[:, None], lanes, axis=1)
+            last, spans = edge, self._spans(classes)
+            for span in spans:
+                e = self._emitted(ratio, classes[:, span])[1]
+                last = self._ahead(move, last, e, w[span], scale[span.start // SCALED :])
+            log += np.log10(scale).sum(dtype=float) + np.log10(last.sum(0)).sum(dtype=float)
+            after = edge
+            for span in reversed(spans):
+                obs, x = self._emitted(ratio, classes[:, span])
+                b = np.empty_like(x)
+                for t in range(len(x) - 1, -1, -1):
+                    rest, now = b[t], x[t]
+                    np.dot(move, after, rest)
+                    if t % SCALED == 0:
+                        rest /= rest.sum(0)
+                    np.multiply(rest, now, now)
+                    after = now
+                gamma = np.multiply(w[span], b, out=b)
+                inverse = 1 / (one @ gamma)
+                gamma *= inverse[:, None]
+                at = obs.ravel()
+                for s in range(STATES):
+                    seen[s] += np.bincount(at, weights=gamma[:, s].ravel(), minlength=self.size + 1)
+                inverse[::SCALED] /= scale[span.start // SCALED :][: -(-len(x) // SCALED)]
+                x *= inverse[:, None]
+                into = max(span.start, 1)
+                moved += np.matmul(w[into - 1 : span.stop - 1], x[into - span.start :].swapaxes(1, 2)).sum(0, dtype=float)
+        moved *= move
+        seen = seen[:, :-1]
+        return moved[-1, :-1], moved[:-1, :-1], seen, log + float(seen.sum(0) @ np.log10(self.prior))
 
 
 def _counts(held):
@@ -325,7 +403,7 @@ def _scores(held):
         model, inside = held.value
         for batch in batches:
             docs = _sequences(batch.column("classes"))
-            path = model.forward(docs) - np.array([inside[d].sum() for d in docs])
+            path = model.forward(docs) - _sums(inside, docs)
             names = [c for c in batch.schema.names if c != "classes"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(path)], names=[*names, "path"])
 

@@ -6,6 +6,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import hmm
@@ -230,3 +231,48 @@ def test_edge_cases(spark):
     held = next(d for d in range(100) if zlib.crc32(str(d).encode()) % 10 == 0)
     lone = hmm.score_documents(spark.createDataFrame([(held, "no training at all")], SCHEMA)).head()
     assert (lone["train_tokens"], lone["n_known"], lone["held_out"]) == (0, 0, True) and math.isfinite(lone["score"])
+
+
+def test_steps_are_wide():
+    """Documents of any lengths fill the cells of wide steps whole and end to end; one long document does not narrow the others' steps."""
+    m = small_model()
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 6, n) for n in [4000, *rng.integers(1, 300, 1500).tolist(), 2500]]
+    tokens = sum(map(len, docs)) + len(docs)
+    steps = met = 0
+    for own, lane, start, classes in m._lanes(docs):
+        steps += classes.shape[1]
+        for i, j, a in zip(own, lane, start):
+            assert (classes[j, a : a + len(docs[i])] == docs[i]).all() and classes[j, a - 1] == classes[j, a + len(docs[i])] == m.size
+            met += 1
+        assert classes.size < 1.1 * tokens
+    assert met == len(docs) and steps < 1.1 * 4001
+    apart = [m.counts([d]) for d in docs]
+    for got, want in zip(m.counts(docs), (sum(x) for x in zip(*apart))):
+        assert got == pytest.approx(want, rel=1e-4, abs=1e-3)
+    assert m.forward(docs) == pytest.approx([m.forward([d])[0] for d in docs], rel=1e-12)
+
+
+def test_words_are_split_as_stated(monkeypatch):
+    """Counts and encoded rows of odd texts are those of words_of, however little text is split at once."""
+    texts = [None, "", " \n", "  a  B ", "a\x1cb \x0bc\x85d\xa0e f\x00g É ÀB", "b b zz", "a " * 50]
+    want = [[*words_of(t), hmm.END] for t in texts]
+    count = Counter(w for t in want for w in t)
+    words = small_words(count, 3)
+    monkeypatch.setattr(hmm.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    for size in (1, 12, 1 << 20):
+        monkeypatch.setattr(hmm, "SLICE", size)
+        got = Counter()
+        for b in hmm._count(iter([pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})])):
+            for r in b.to_pylist():
+                got[r["word"]] += r["n"]
+        assert got == count
+        batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts))), "held_out": pa.array([False] * len(texts)), "text": pa.array(texts, pa.string())})
+        rows = [r for b in hmm._encode(type("Held", (), {"value": words}))(iter([batch])) for r in b.to_pylist()]
+        assert [r["row"] for r in rows] == [r["doc_id"] for r in rows] == list(range(len(texts)))
+        for r, ts in zip(rows, want):
+            known = [w for w in ts if w in words.index]
+            assert (r["n_tokens"], r["n_known"]) == (len(ts), len(known))
+            assert r["known_sum"] == pytest.approx(sum(math.log10(count[w] + 0.1) for w in known))
+            assert {x["word"]: x["times"] for x in r["rare"]} == Counter(w for w in ts if w not in words.index)
+            assert np.frombuffer(r["classes"], np.uint16).tolist() == [words.of[words.index[w]] if w in words.index else words.n_top + zlib.crc32(w) % hmm.HASHED for w in ts]
