@@ -5,8 +5,12 @@ definitions: file_path, name, kind, start_line, end_line, start_col, pre (order
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,9 +18,14 @@ from pyspark.sql import functions as F
 from ..functions.language import reference_kind
 from ..functions.text import lines
 from ..lineage import cut
+from .rows import by_row
 
-#: Identifiers that stand alone; letters beyond ASCII are parts of words.
-WORD = r"(?<![\p{L}\p{N}_])([a-zA-Z_][a-zA-Z0-9_]*)(?![\p{L}\p{N}_])"
+#: Identifiers that stand alone; letters beyond ASCII are parts of words. A run is taken whole, so none is tried twice.
+WORD = r"(?<![\p{L}\p{N}_])([a-zA-Z_][a-zA-Z0-9_]*+)(?![\p{L}\p{N}_])"
+#: The same in Python.
+IDENTIFIER = re.compile(r"\b[a-zA-Z_][a-zA-Z0-9_]*+\b")
+#: Uses that a task gathers before it hands them on.
+NAMES = 100_000
 
 
 def symbol_id(path: Column, name: Column, line: Column, column: Column) -> Column:
@@ -43,6 +52,81 @@ def occurrences(files: DataFrame) -> DataFrame:
     return rows.select("file_path", (F.col("at") + 1).alias("line_no"), "line", F.posexplode(F.regexp_extract_all("line", F.lit(WORD), 1)).alias("nth", "name"))
 
 
+def names(files: DataFrame) -> DataFrame:
+    """file_path, name, n: every identifier of a file once, with its number there, counted where the file is read."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, found, n = [], [], []
+        for batch in batches:
+            for path, text in zip(batch.column(0), batch.column(1)):
+                times = Counter(IDENTIFIER.findall(text.as_py() or ""))
+                paths += [path.as_py()] * len(times)
+                found += times
+                n += times.values()
+                if len(n) >= NAMES:
+                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(found, pa.string()), pa.array(n, pa.int64())], ["file_path", "name", "n"])
+                    paths, found, n = [], [], []
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(found, pa.string()), pa.array(n, pa.int64())], ["file_path", "name", "n"])
+
+    merged = lambda out: out.groupBy("file_path", "name").agg(F.sum("n").alias("n"))
+    return by_row(files.select("file_path", "content"), "file_path", lambda rows: rows.mapInArrow(task, "file_path string, name string, n bigint"), merged)
+
+
+def name_lines(files: DataFrame) -> DataFrame:
+    """file_path, name, uses: every identifier of a file once, with the lines that have it, in order: (line_no, n).
+
+    All of it is gathered where the file is read; only files whose path repeats are put together by a shuffle.
+    """
+    out = "file_path string, name string, uses array<struct<line_no:int,n:bigint>>"
+
+    def merged(found: DataFrame) -> DataFrame:
+        one = found.select("file_path", "name", F.inline("uses")).groupBy("file_path", "name", "line_no").agg(F.sum("n").alias("n"))
+        return one.groupBy("file_path", "name").agg(F.sort_array(F.collect_list(F.struct("line_no", "n"))).alias("uses"))
+
+    return by_row(files.select("file_path", "content"), "file_path", lambda rows: rows.mapInArrow(_gather, out), merged)
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """name_lines() of batches of (file_path, content), in batches of some NAMES names, so that no task holds more than a file's beyond these."""
+
+    def made() -> pa.RecordBatch:
+        uses = pa.StructArray.from_arrays([pa.array(line_no, pa.int32()), pa.array(n, pa.int64())], ["line_no", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(names, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), uses)], ["file_path", "name", "uses"])
+
+    paths, names, ends, line_no, n = [], [], [0], [], []
+    for batch in batches:
+        for path, text in zip(batch.column(0), batch.column(1)):
+            found: dict[str, list[int]] = {}
+            for at, line in enumerate((text.as_py() or "").split("\n"), 1):
+                for name in IDENTIFIER.findall(line):
+                    if (lines_of := found.get(name)) is None:
+                        found[name] = [at]
+                    else:
+                        lines_of.append(at)
+            for lines_of in found.values():
+                if len(lines_of) == 1:
+                    line_no.append(lines_of[0])
+                    n.append(1)
+                else:
+                    times = Counter(lines_of)  # in the order of lines, as they came
+                    line_no += times
+                    n += times.values()
+                ends.append(len(n))
+            names += found
+            paths += [path.as_py()] * len(found)
+            if len(n) >= NAMES:
+                yield made()
+                paths, names, ends, line_no, n = [], [], [0], [], []
+    if names:
+        yield made()
+
+
+def within(line: Column, spans: Column) -> Column:
+    """Whether any of the spans (start_line, end_line) has the line."""
+    return F.exists(spans, lambda s: line.between(s["start_line"], s["end_line"]))
+
+
 def with_context(found: DataFrame) -> DataFrame:
     """start_col, end_col (from 0, in characters), and the line before and after each occurrence."""
     length = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.char_length(x))
@@ -67,10 +151,20 @@ def references(files: DataFrame, definitions: DataFrame) -> DataFrame:
     used = occurrences(files).join(first_definitions(definitions), "name")
     used = used.join(spans, ["file_path", "name"], "left")
     line = F.col("line_no")
-    used = used.where(F.col("spans").isNull() | ~F.exists("spans", lambda s: line.between(s["start_line"], s["end_line"]))).drop("spans")
+    used = used.where(F.col("spans").isNull() | ~within(line, F.col("spans"))).drop("spans")
     return with_context(used).withColumn("reference_kind", reference_kind(F.col("line"), F.col("before"), F.col("after"))).drop("before", "after", "nth")
 
 
+def referenced(used: DataFrame, definitions: DataFrame) -> DataFrame:
+    """file_path, line_no, name, target_id, uses: what references() finds, counted by line, from name_lines() with `spans`.
+
+    Lines within the spans go before the join, which gets a row for each name of a file, not for each of its uses.
+    """
+    left = F.filter("uses", lambda u: F.col("spans").isNull() | ~within(u["line_no"], F.col("spans")))
+    out = used.select("file_path", "name", left.alias("uses")).where(F.size("uses") > 0).join(first_definitions(definitions), "name")
+    return out.select("file_path", "name", "target_id", F.inline("uses")).withColumnRenamed("n", "uses")
+
+
 def definition_at(definitions: DataFrame, path: str, line: int, column: int = 0) -> DataFrame:
     """The first definition in the file, outer before inner, that holds the position; no row if none does."""
     held = definitions.where((F.col("file_path") == path) & (F.col("start_line") <= line) & (F.col("end_line") >= line))
