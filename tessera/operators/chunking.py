@@ -6,6 +6,7 @@ chunk_id. Blank chunks are left out; their line numbers are not given to others.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,12 +17,13 @@ from ..functions.text import chunk_id, is_blank, let, lines
 
 FILE_COLUMNS = ("file_path", "root_path", "project", "extension", "language", "file_hash", "content")
 FALLBACK_LINES = 50
-UNITS = "array<struct<kind:string,start_line:int,end_line:int>>"
+UNITS = "array<struct<kind:string,start_line:int,end_line:int,nth:int>>"
 
 
-def _span(rows: Column, start: Column, size: Column | int) -> Column:
+def _span(rows: Column, start: Column, size: Column | int, nth: Column | None = None) -> Column:
+    """nth: how many spans before this one have its lines; without it there are none."""
     end = F.least(start + size - 1, F.size(rows))
-    return F.struct(start.cast("int").alias("start_line"), end.cast("int").alias("end_line"), F.array_join(F.slice(rows, start, size), "\n").alias("content"))
+    return F.struct(start.cast("int").alias("start_line"), end.cast("int").alias("end_line"), F.array_join(F.slice(rows, start, size), "\n").alias("content"), (F.lit(0) if nth is None else nth).alias("nth"))
 
 
 def fixed_spans(text: Column, size: int) -> Column:
@@ -43,10 +45,8 @@ def sliding_spans(text: Column, size: int, overlap: int) -> Column:
 def chunk_by(files: DataFrame, spans: Column) -> DataFrame:
     """One row for each span that is not blank. Spans of the same lines, as of units that share a line, get ids of their own."""
     kept = F.filter(spans, lambda s: ~is_blank(s["content"]))
-    same = lambda a, b: (a["start_line"] == b["start_line"]) & (a["end_line"] == b["end_line"])
-    numbered = let(kept, lambda ks: F.transform(ks, lambda s, i: F.struct(s["start_line"].alias("start_line"), s["end_line"].alias("end_line"), s["content"].alias("content"), F.size(F.filter(F.slice(ks, F.lit(1), i), lambda o: same(o, s))).alias("nth"))))
     rest = [c for c in files.columns if c != "content"]
-    cut = files.select(*rest, F.inline(numbered))
+    cut = files.select(*rest, F.inline(kept))
     plain = chunk_id(F.col("root_path"), F.col("file_path"), F.col("start_line"), F.col("end_line"), F.col("file_hash"))
     return cut.withColumn("chunk_id", F.when(F.col("nth") > 0, F.concat_ws("-", plain, F.col("nth").cast("string"))).otherwise(plain)).drop("nth")
 
@@ -60,23 +60,36 @@ def chunk_sliding(files: DataFrame, size: int, overlap: int) -> DataFrame:
 
 
 def with_units(files: DataFrame, parse: Callable[[str | None, str], list[tuple[str, int, int]]] | None = None) -> DataFrame:
-    """files and `units`, the structural units of each: (kind, start_line, end_line), outer ones before inner ones."""
+    """files and `units`, the structural units of each: (kind, start_line, end_line, nth), outer ones before inner ones.
+
+    nth counts the units before that have the same lines of the file, in one walk, as a file may have any number of units.
+    """
     from ..sources.parsing import chunk_units
 
     parse = parse or chunk_units
 
+    def numbered(ext: str | None, text: str) -> list[dict[str, str | int]]:
+        last = text.count("\n") + (bool(text) and not text.endswith("\n"))  # lines() ends there
+        seen: Counter[tuple[int, int]] = Counter()
+        out = []
+        for k, a, b in parse(ext, text):
+            at = (a, min(b, last))
+            out.append({"kind": k, "start_line": a, "end_line": b, "nth": seen[at]})
+            seen[at] += 1
+        return out
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())]))
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("nth", pa.int32())]))
         for batch in batches:
             exts, texts = batch.column("extension").to_pylist(), batch.column("content").to_pylist()
-            found = [[{"kind": k, "start_line": a, "end_line": b} for k, a, b in parse(e, t or "")] for e, t in zip(exts, texts)]
+            found = [numbered(e, t or "") for e, t in zip(exts, texts)]
             yield batch.append_column("units", pa.array(found, kind))
 
     return files.mapInArrow(task, ", ".join(f"`{n}` {t}" for n, t in files.dtypes) + f", units {UNITS}")
 
 
 def unit_spans(text: Column, units: Column) -> Column:
-    return let(lines(text), lambda rows: F.transform(units, lambda u: _span(rows, u["start_line"], u["end_line"] - u["start_line"] + 1)))
+    return let(lines(text), lambda rows: F.transform(units, lambda u: _span(rows, u["start_line"], u["end_line"] - u["start_line"] + 1, u["nth"])))
 
 
 def chunk_units(files: DataFrame) -> DataFrame:
@@ -88,4 +101,4 @@ def chunk_hybrid(files: DataFrame, size: int = FALLBACK_LINES) -> DataFrame:
     """Structural units, or fixed chunks for a file that has none."""
     text, units = F.col("content"), F.col("units")
     by_unit = F.filter(unit_spans(text, units), lambda s: ~is_blank(s["content"]))
-    return chunk_by(with_units(files), F.when(F.size(by_unit) > 0, by_unit).otherwise(fixed_spans(text, size))).drop("units")
+    return chunk_by(with_units(files), let(by_unit, lambda own: F.when(F.size(own) > 0, own).otherwise(fixed_spans(text, size)))).drop("units")
