@@ -2,12 +2,15 @@
 
 import random
 import time
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from helpers import files_of
-from tessera.operators import chunking, navigation
+from tessera.operators import chunking, knn, navigation
 from tessera.operators.rows import by_row
 
 PROSE = [("a.txt", "The cat_1 sat, the cat_1\nécat cat x2 2x\r\n\nThe end\nthe cat_1"), ("b.txt", "the\nend of the END"), ("c.txt", ""), ("d.txt", "cat²\n_x _x _x")]
@@ -103,3 +106,27 @@ def test_units_past_the_last_line_are_numbered_as_they_are_cut(spark):
     assert [u["nth"] for u in found.head()["units"]] == [0, 1, 0, 2]
     ids = [r["chunk_id"] for r in chunking.chunk_by(found, chunking.unit_spans(F.col("content"), F.col("units"))).collect()]
     assert len(set(ids)) == 4
+
+
+def vectors(x):
+    return pa.RecordBatch.from_pydict({"key": pa.array(range(len(x))), "vector": pa.FixedSizeListArray.from_arrays(pa.array(x.ravel(), pa.float32()), x.shape[1])})
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_batch_search_holds_little(same):
+    """A task's memory hangs on its queries, not on a batch's rows or on how many are equally far; before, it held every pair at once."""
+    dice = np.random.default_rng(1)
+    q, x = dice.normal(size=(256, 64)), np.ones((10_000, 64)) if same else dice.normal(size=(10_000, 64))
+    batch = vectors(x)
+    tracemalloc.start()
+    out = pa.Table.from_batches(knn.nearest(iter([batch]), np.arange(len(q)), q, 5))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    x = x.astype(np.float32).astype(float)
+    for i, vector in enumerate(q[:20]):
+        d = ((x - vector) ** 2).sum(1)
+        want = sorted(range(len(x)), key=lambda j: (d[j], j))[:5]
+        assert out["key"].to_pylist()[5 * i : 5 * i + 5] == want and np.allclose(out["distance"].to_numpy()[5 * i : 5 * i + 5], d[want])
+    few = pa.Table.from_batches(knn.nearest(iter([batch.slice(0, 0), batch.slice(0, 2), batch.slice(2, 1)]), np.arange(3), q[:3], 5))
+    assert few["query_id"].to_pylist() == [0, 0, 0, 1, 1, 1, 2, 2, 2]
