@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it, for blank tests.
 BLANK = r"(?U)^\s*$"
+#: Tokens of so many characters, or more, don't count.
+LONGEST = 40
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -16,17 +18,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def counted(values: Column, name: str = "value") -> Column:
-    """struct(name, n) of every different value of an array, by a sort of the array: nothing leaves the row."""
-
-    def every(xs: Column) -> Column:
-        some = F.when(F.size(xs) > 0, F.sequence(F.lit(1), F.size(xs))).otherwise(F.array().cast("array<int>"))
-        last = F.filter(some, lambda i: (i == F.size(xs)) | (F.get(xs, i) != F.get(xs, i - 1)))
-        return let(last, lambda at: F.transform(at, lambda i, k: F.struct(F.get(xs, i - 1).alias(name), (i - F.coalesce(F.get(at, k - 1), F.lit(0))).cast("long").alias("n"))))
-
-    return let(F.sort_array(values), every)
-
-
 def lines(text: Column) -> Column:
     """Lines without their ends (\\n or \\r\\n); a final line end opens no further line, an empty text has none."""
     return let(F.split(text, "\r?\n"), lambda p: F.slice(p, 1, F.size(p) - F.when(F.element_at(p, -1) == "", 1).otherwise(0)))
@@ -36,7 +27,7 @@ def is_blank(text: Column) -> Column:
     return text.rlike(BLANK)
 
 
-def tokens(text: Column, longest: int = 40) -> Column:
+def tokens(text: Column, longest: int = LONGEST) -> Column:
     """Lower-cased runs of letters and digits of fewer than `longest` characters, in order."""
     return F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), 1), lambda t: F.char_length(t) < longest)
 

@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import space_tokens, tokens
+from ..functions.text import LONGEST, space_tokens, tokens
+from .rows import by_row, counted_words
 
 # Parameters of the two formulas.
 K1, B = 1.2, 0.75
@@ -23,13 +24,17 @@ def query_terms(query: str) -> list[str]:
     """The query's own tokens as tokens() would cut them, in order, repeats kept."""
     import regex
 
-    return [t for t in regex.findall(r"[\p{L}\p{N}]+", query.lower()) if len(t) < 40]
+    return [t for t in regex.findall(r"[\p{L}\p{N}]+", query.lower()) if len(t) < LONGEST]
 
 
 def postings(chunks: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
-    """key, term, tf, length: the inverted index, one row for each term of a document."""
-    cut = chunks.select(key, tokens(F.col(text)).alias("t"))
-    return cut.select(key, F.size("t").cast("long").alias("length"), F.explode("t").alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    """key, term, tf, length: the inverted index, one row for each term of a document.
+
+    Terms are counted in the document's row; only documents whose key repeats are put together by a shuffle.
+    """
+    made = lambda rows: counted_words(rows, r"[^\W_]+", "term", LONGEST).select(key, "term", F.col("n").alias("tf"), "length")
+    merged = lambda out: out.groupBy(key, "term").agg(F.sum("tf").alias("tf"), F.max("length").alias("length"))
+    return by_row(chunks.select(key, F.lower(text).alias("lower")), key, made, merged)
 
 
 def document_frequency(index: DataFrame) -> DataFrame:

@@ -18,14 +18,13 @@ from pyspark.sql import functions as F
 from ..functions.language import reference_kind
 from ..functions.text import lines
 from ..lineage import cut
-from .rows import by_row
+from . import rows as R
+from .rows import by_row, counted_words
 
 #: Identifiers that stand alone; letters beyond ASCII are parts of words. A run is taken whole, so none is tried twice.
 WORD = r"(?<![\p{L}\p{N}_])([a-zA-Z_][a-zA-Z0-9_]*+)(?![\p{L}\p{N}_])"
 #: The same in Python.
 IDENTIFIER = re.compile(r"\b[a-zA-Z_][a-zA-Z0-9_]*+\b")
-#: Uses that a task gathers before it hands them on.
-NAMES = 100_000
 
 
 def symbol_id(path: Column, name: Column, line: Column, column: Column) -> Column:
@@ -54,23 +53,9 @@ def occurrences(files: DataFrame) -> DataFrame:
 
 def names(files: DataFrame) -> DataFrame:
     """file_path, name, n: every identifier of a file once, with its number there, counted where the file is read."""
-
-    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths, found, n = [], [], []
-        for batch in batches:
-            for path, text in zip(batch.column(0), batch.column(1)):
-                times = Counter(IDENTIFIER.findall(text.as_py() or ""))
-                paths += [path.as_py()] * len(times)
-                found += times
-                n += times.values()
-                if len(n) >= NAMES:
-                    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(found, pa.string()), pa.array(n, pa.int64())], ["file_path", "name", "n"])
-                    paths, found, n = [], [], []
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(found, pa.string()), pa.array(n, pa.int64())], ["file_path", "name", "n"])
-
+    made = lambda rows: counted_words(rows, IDENTIFIER.pattern, "name").drop("length")
     merged = lambda out: out.groupBy("file_path", "name").agg(F.sum("n").alias("n"))
-    return by_row(files.select("file_path", "content"), "file_path", lambda rows: rows.mapInArrow(task, "file_path string, name string, n bigint"), merged)
+    return by_row(files.select("file_path", "content"), "file_path", made, merged)
 
 
 def name_lines(files: DataFrame) -> DataFrame:
@@ -88,7 +73,7 @@ def name_lines(files: DataFrame) -> DataFrame:
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """name_lines() of batches of (file_path, content), in batches of some NAMES names, so that no task holds more than a file's beyond these."""
+    """name_lines() of batches of (file_path, content), in batches of some WORDS uses, so that no task holds more than a file's beyond these."""
 
     def made() -> pa.RecordBatch:
         uses = pa.StructArray.from_arrays([pa.array(line_no, pa.int32()), pa.array(n, pa.int64())], ["line_no", "n"])
@@ -115,7 +100,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ends.append(len(n))
             names += found
             paths += [path.as_py()] * len(found)
-            if len(n) >= NAMES:
+            if len(n) >= R.WORDS:
                 yield made()
                 paths, names, ends, line_no, n = [], [], [0], [], []
     if names:

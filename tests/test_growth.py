@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import files_of
-from tessera.operators import chunking, knn, navigation
+from tessera.functions import text as T
+from tessera.operators import chunking, keyword, knn, navigation, rows
 from tessera.operators.rows import by_row
 
 PROSE = [("a.txt", "The cat_1 sat, the cat_1\nécat cat x2 2x\r\n\nThe end\nthe cat_1"), ("b.txt", "the\nend of the END"), ("c.txt", ""), ("d.txt", "cat²\n_x _x _x")]
@@ -20,14 +21,14 @@ TWICE = [*PROSE, ("b.txt", "new end\nthe the")]
 
 def by_line(files):
     """file_path, line_no, name: uses, from the plain list of all occurrences."""
-    rows = navigation.occurrences(files).groupBy("file_path", "line_no", "name").count().collect()
-    return {(r["file_path"], r["line_no"], r["name"]): r["count"] for r in rows}
+    found = navigation.occurrences(files).groupBy("file_path", "line_no", "name").count().collect()
+    return {(r["file_path"], r["line_no"], r["name"]): r["count"] for r in found}
 
 
 @pytest.mark.parametrize("given", [PROSE, TWICE, []])
 @pytest.mark.parametrize("batch", [1, 100_000])
 def test_names_are_counted_by_file(spark, given, batch, monkeypatch):
-    monkeypatch.setattr(navigation, "NAMES", batch)
+    monkeypatch.setattr(rows, "WORDS", batch)
     files = files_of(spark, *given)
     want = by_line(files)
     got = [(r["file_path"], u["line_no"], r["name"], u["n"]) for r in navigation.name_lines(files).collect() for u in r["uses"]]
@@ -37,8 +38,8 @@ def test_names_are_counted_by_file(spark, given, batch, monkeypatch):
     sums = {}
     for (path, _, name), n in want.items():
         sums[path, name] = sums.get((path, name), 0) + n
-    rows = navigation.names(files).collect()
-    assert len(rows) == len(sums) and {(r["file_path"], r["name"]): r["n"] for r in rows} == sums
+    found = navigation.names(files).collect()
+    assert len(found) == len(sums) and {(r["file_path"], r["name"]): r["n"] for r in found} == sums
 
 
 @pytest.mark.parametrize("given", [PROSE, TWICE])
@@ -82,11 +83,30 @@ def test_names_of_a_file_are_not_shuffled(spark):
     assert shuffled(spark, navigation.name_lines(files.unionByName(files.limit(1)))) > 20_000
 
 
+@pytest.mark.parametrize("batch", [1, 100_000])
+def test_postings_are_those_of_tokens(spark, batch, monkeypatch):
+    """Words, lengths and limits as tokens() has them, a key's documents together."""
+    monkeypatch.setattr(rows, "WORDS", batch)
+    texts = [(1, "The the été_x ÉTÉ x²  " + "y" * 39 + " " + "z" * 40), (2, ""), (3, None), (4, "ΟΔΟΣ İx a1 ½ ٣ 漢字 a\u0301b"), (1, "the end"), (None, "null key")]
+    for given in (texts, texts[:4]):
+        chunks = spark.createDataFrame(given, "id long, content string")
+        plain = chunks.select("id", T.tokens(F.col("content")).alias("t")).select("id", F.size("t").cast("long").alias("length"), F.explode("t").alias("term"))
+        want = {tuple(r) for r in plain.groupBy("id", "term").agg(F.count("*"), F.max("length")).collect()}
+        got = [tuple(r) for r in keyword.postings(chunks, "id").collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_postings_are_not_shuffled(spark):
+    """Before, every term of a document passed a shuffle."""
+    files = many(spark)
+    assert keyword.postings(files, "file_path").count() > 20_000 and shuffled(spark, keyword.postings(files, "file_path")) < 500
+
+
 def test_by_row(spark):
-    rows = spark.createDataFrame([(1, 2), (None, 3)], "k long, n long")
+    given = spark.createDataFrame([(1, 2), (None, 3)], "k long, n long")
     total = lambda df: df.groupBy("k").agg(F.sum("n").alias("n"))
-    assert {tuple(r) for r in by_row(rows, "k", lambda r: r, total).collect()} == {(1, 2), (None, 3)}
-    assert {tuple(r) for r in by_row(rows.union(rows), "k", lambda r: r, total).collect()} == {(1, 4), (None, 6)}
+    assert {tuple(r) for r in by_row(given, "k", lambda r: r, total).collect()} == {(1, 2), (None, 3)}
+    assert {tuple(r) for r in by_row(given.union(given), "k", lambda r: r, total).collect()} == {(1, 4), (None, 6)}
 
 
 def test_units_are_numbered_in_one_walk(spark):
@@ -94,9 +114,9 @@ def test_units_are_numbered_in_one_walk(spark):
     n = 20_000
     text = "".join(f"fn a{i}() {{}} fn b{i}() {{}}\n" for i in range(n))
     began = time.monotonic()
-    rows = chunking.chunk_units(files_of(spark, ("a.rs", text))).select("start_line", "end_line", "chunk_id").collect()
+    found = chunking.chunk_units(files_of(spark, ("a.rs", text))).select("start_line", "end_line", "chunk_id").collect()
     assert time.monotonic() - began < 60
-    assert len(rows) == 2 * n == len({r["chunk_id"] for r in rows}) and {(r["start_line"], r["end_line"]) for r in rows} == {(i, i) for i in range(1, n + 1)}
+    assert len(found) == 2 * n == len({r["chunk_id"] for r in found}) and {(r["start_line"], r["end_line"]) for r in found} == {(i, i) for i in range(1, n + 1)}
 
 
 def test_units_past_the_last_line_are_numbered_as_they_are_cut(spark):
