@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import lines
+from .text import let, lines
+
+#: White space as Unicode has it: what (?U)\\s matches, as a set of characters to trim.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def _columns(line: Column) -> Column:
@@ -17,7 +20,7 @@ def _columns(line: Column) -> Column:
 def is_table_row(line: Column) -> Column:
     """Three words at least, and a tab or two blanks in a row."""
     words = F.filter(F.split(line, r"(?U)\s+"), lambda c: c != "")
-    return (F.size(words) >= 3) & (line.contains("\t") | line.contains("  "))
+    return (line.contains("\t") | line.contains("  ")) & (F.size(words) >= 3)  # the cheap test first
 
 
 def table_row(line: Column) -> Column:
@@ -33,7 +36,7 @@ def is_heading(line: Column) -> Column:
     upper = F.char_length(F.regexp_replace(line, r"[^\p{Lu}]", ""))
     letters = F.char_length(F.regexp_replace(line, r"[^\p{L}]", ""))
     size = F.octet_length(line)
-    capitals = (letters > 0) & (upper > 0.8 * letters) & (size < 100)
+    capitals = (size < 100) & (letters > 0) & (upper > 0.8 * letters)  # only short lines have their letters counted
     return capitals | (line.endswith(":") & (size < 80) & ~line.contains("://"))
 
 
@@ -44,13 +47,16 @@ def heading(line: Column) -> Column:
 def markdown(text: Column) -> Column:
     """The whole text, line by line: a table's first row gets a separator below it, headings get their level and a blank line."""
 
-    def step(state: Column, raw: Column) -> Column:
-        line = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
-        table = (line != "") & is_table_row(line)
-        leave = F.when(state["table"] & ~table, "\n").otherwise("")
-        row = F.when(state["table"], table_row(line)).otherwise(F.concat_ws("\n", table_row(line), table_separator(line)))
+    def part(line: Column, table: Column, was: Column) -> Column:
+        leave = F.when(was & ~table, "\n").otherwise("")
+        row = F.when(was, table_row(line)).otherwise(F.concat_ws("\n", table_row(line), table_separator(line)))
         made = F.when(line == "", "").when(table, row).when(is_heading(line), F.concat(heading(line), F.lit("\n"))).otherwise(line)
-        return F.struct(F.concat(state["out"], leave, made, F.lit("\n")).alias("out"), table.alias("table"))
+        return F.concat(leave, made, F.lit("\n"))
+
+    def joined(rows: Column, tables: Column) -> Column:
+        was = lambda i: F.coalesce(F.get(tables, i - 1), F.lit(False))
+        return F.array_join(F.transform(rows, lambda line, i: part(line, F.get(tables, i), was(i))), "")
 
-    start = F.struct(F.lit("").alias("out"), F.lit(False).alias("table"))
-    return F.aggregate(lines(text), start, step, lambda s: s["out"])
+    # each line is trimmed and tested once, and the parts are joined once: a text that grows by every line is copied by every line
+    trimmed = F.transform(lines(text), lambda raw: F.trim(raw, F.lit(SPACE)))
+    return let(trimmed, lambda rows: let(F.transform(rows, lambda line: (line != "") & is_table_row(line)), lambda tables: joined(rows, tables)))

@@ -1,8 +1,10 @@
 """Steps that have to grow no faster than their input: what they shuffle, how often they look at a row, and what they hold."""
 
 import random
+import re
 import time
 import tracemalloc
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from helpers import files_of
+from tessera.functions import pdf
 from tessera.functions import text as T
 from tessera.operators import chunking, keyword, knn, navigation, rows
 from tessera.operators.rows import by_row
@@ -150,3 +153,42 @@ def test_batch_search_holds_little(same):
         assert out["key"].to_pylist()[5 * i : 5 * i + 5] == want and np.allclose(out["distance"].to_numpy()[5 * i : 5 * i + 5], d[want])
     few = pa.Table.from_batches(knn.nearest(iter([batch.slice(0, 0), batch.slice(0, 2), batch.slice(2, 1)]), np.arange(3), q[:3], 5))
     assert few["query_id"].to_pylist() == [0, 0, 0, 1, 1, 1, 2, 2, 2]
+
+
+def plain_markdown(text):
+    """pdf.markdown() line by line, as a state that runs along the lines."""
+    found, was = [], False
+    for raw in re.split("\r?\n", text)[: -1 if not text or text.endswith("\n") else None]:
+        line = raw.strip(pdf.SPACE)
+        words = [w for w in re.split(f"[{pdf.SPACE}]+", line) if w]
+        table = len(words) >= 3 and ("\t" in line or "  " in line)
+        cells = [c.strip(" ") for c in (line.split("\t") if "\t" in line else [c for c in line.split("  ") if c.strip(" ")])]
+        upper, letters = sum(unicodedata.category(c) == "Lu" for c in line), sum(unicodedata.category(c)[0] == "L" for c in line)
+        size = len(line.encode())
+        out = "\n" if was and not table else ""
+        if table:
+            out += f"| {' | '.join(cells)} |" + ("" if was else f"\n| {' | '.join('---' for _ in cells)} |")
+        elif (letters and upper > 0.8 * letters and size < 100) or (line.endswith(":") and size < 80 and "://" not in line):
+            out += ("## " if size < 30 else "### ") + line.rstrip(":") + "\n"
+        else:
+            out += line
+        found.append(out + "\n")
+        was = table
+    return "".join(found)
+
+
+def test_markdown_is_that_of_plain_loops(spark):
+    dice = random.Random(3)
+    pieces = ["A", "b", "É", " ", "  ", "\t", "\n", "\r\n", " ", " ", "\u0085", " ", ":", "://", "HEAD", "x  y  z\n", "a\tb\tc\n", "L" * 60, "\n\n"]
+    texts = ["", "\n", "a  b  c", *("".join(dice.choice(pieces) for _ in range(dice.randrange(60))) for _ in range(300))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, x string")
+    got = {r["i"]: r["v"] for r in df.select("i", pdf.markdown(F.col("x")).alias("v")).collect()}
+    assert got == {i: plain_markdown(t) for i, t in enumerate(texts)}
+
+
+def test_markdown_of_a_long_text(spark):
+    """Before, the result was copied anew for each of the lines: here some 50 GB in all."""
+    text = "a line of words and words\n" * 60_000
+    began = time.monotonic()
+    row = spark.createDataFrame([(text,)], "x string").select(F.length(pdf.markdown(F.col("x"))).alias("n")).head()
+    assert row["n"] == len(text) and time.monotonic() - began < 10
