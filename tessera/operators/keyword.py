@@ -71,14 +71,17 @@ def bm25(chunks: DataFrame, query: str, key: str = "chunk_id", text: str = "cont
 def bm25_postings(index: DataFrame, query: str, key: str = "chunk_id", stats: tuple[int, float] | None = None) -> DataFrame:
     """The same from stored postings: only the query's terms are read. stats: documents and mean length, if they are known."""
     terms = list(dict.fromkeys(query_terms(query)))
-    own = index.where(F.col("term").isin(terms))
-    df = own.groupBy("term").agg(F.count("*").cast("double").alias("df"))  # one row a query term
-    scored = own.join(F.broadcast(df), "term")
+    own, term = index.where(F.col("term").isin(terms)), F.col("term")
     if stats is None:
-        lengths = index.groupBy(key).agg(F.first("length").cast("double").alias("length"))
-        scored = scored.withColumn("s", lengths.agg(F.struct(F.count("*").cast("double").alias("n"), F.avg("length").alias("mean")).alias("s")).scalar())
+        # one pass over the index gives all that is known of it, the terms' document frequencies too
+        held = (F.count_if(term == t).cast("double").alias(f"df{i}") for i, t in enumerate(terms))
+        documents = index.groupBy(key).agg(F.first("length").cast("double").alias("length"), *held)
+        known = F.struct(F.count("*").cast("double").alias("n"), F.avg("length").alias("mean"), *(F.sum(f"df{i}").alias(f"df{i}") for i in range(len(terms))))
+        scored = own.withColumn("s", documents.agg(known.alias("s")).scalar())
+        scored = scored.withColumn("df", F.coalesce(*(F.when(term == t, F.col("s")[f"df{i}"]) for i, t in enumerate(terms)), F.lit(None).cast("double")))
     else:
-        scored = scored.withColumn("s", F.struct(F.lit(float(stats[0])).alias("n"), F.lit(float(stats[1])).alias("mean")))
+        df = own.groupBy("term").agg(F.count("*").cast("double").alias("df"))  # one row a query term
+        scored = own.join(F.broadcast(df), "term").withColumn("s", F.struct(F.lit(float(stats[0])).alias("n"), F.lit(float(stats[1])).alias("mean")))
     s = F.col("s")
     return scored.groupBy(key).agg(F.sum(idf(s["n"], F.col("df")) * term_score(F.col("tf").cast("double"), F.col("length").cast("double"), s["mean"])).alias("keyword_score"))
 

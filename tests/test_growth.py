@@ -192,3 +192,21 @@ def test_markdown_of_a_long_text(spark):
     began = time.monotonic()
     row = spark.createDataFrame([(text,)], "x string").select(F.length(pdf.markdown(F.col("x"))).alias("n")).head()
     assert row["n"] == len(text) and time.monotonic() - began < 10
+
+
+def test_bm25_of_postings_reads_them_twice(spark):
+    """Once for what is known of the index, once for the terms' rows; before, a third time for the terms' frequencies."""
+    files = files_of(spark, ("1.txt", "the cat sat on the mat"), ("2.txt", "a dog"), ("3.txt", "The THE dog"), ("4.txt", ""))
+    index = keyword.postings(files, "file_path").where("tf > 0")
+    seen = spark.sparkContext.accumulator(0)
+
+    def task(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    own = index.mapInArrow(task, index.schema)
+    got = {r["file_path"]: r["keyword_score"] for r in keyword.bm25_postings(own, "the dog nowhere", "file_path").collect()}
+    assert seen.value == 2 * index.count()
+    assert got == pytest.approx({r["file_path"]: r["keyword_score"] for r in keyword.bm25_postings(index, "the dog nowhere", "file_path", stats=(3, 11 / 3)).collect()})
+    assert keyword.bm25_postings(index, "?!", "file_path").count() == 0
