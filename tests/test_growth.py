@@ -16,6 +16,7 @@ from tessera.functions import pdf
 from tessera.functions import text as T
 from tessera.operators import chunking, keyword, knn, navigation, rows
 from tessera.operators.rows import by_row
+from tessera.plans import catalog
 
 PROSE = [("a.txt", "The cat_1 sat, the cat_1\nécat cat x2 2x\r\n\nThe end\nthe cat_1"), ("b.txt", "the\nend of the END"), ("c.txt", ""), ("d.txt", "cat²\n_x _x _x")]
 #: One path twice: its rows count as one file.
@@ -210,3 +211,9 @@ def test_bm25_of_postings_reads_them_twice(spark):
     assert seen.value == 2 * index.count()
     assert got == pytest.approx({r["file_path"]: r["keyword_score"] for r in keyword.bm25_postings(index, "the dog nowhere", "file_path", stats=(3, 11 / 3)).collect()})
     assert keyword.bm25_postings(index, "?!", "file_path").count() == 0
+
+
+def test_markdown_of_orders_aggregates_once(spark, sf_dir):
+    """Lines of an order pass one exchange; before, they were grouped by line first, in another. Equal line numbers keep the largest line."""
+    plan = catalog.queries()["pdf_markdown_tables"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
